@@ -31,5 +31,5 @@ def register(name: str, ids: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from tillcycle.plans import queries_core, queries_forecast  # noqa: F401
+    from tillcycle.plans import queries_core, queries_cycle, queries_forecast  # noqa: F401
     return REGISTRY
