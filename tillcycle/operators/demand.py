@@ -13,10 +13,23 @@ produce are bounded by its calendar length, not by its sales volume.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def key_list(key) -> list[str]:
+    """A key is one column name or a list of names (e.g. run_id, stock_code)."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def date_expr(as_of) -> Column:
+    """``as_of`` as a date Column: a literal date, or a Column (per-row as_of,
+    e.g. the run's as_of_date carried as part of the key)."""
+    if isinstance(as_of, Column):
+        return as_of.cast("date")
+    return F.lit(str(as_of)[:10]).cast("date")
+
+
 
 def daily_demand(facts: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
     """AG6: units sold per (key, day), sales lines only (quantity > 0).
@@ -25,18 +38,20 @@ def daily_demand(facts: DataFrame, key: str, keys: DataFrame | None = None) -> D
     ``IN (list)``); a top-k key frame carries its row bound, so Catalyst
     broadcasts it without a hint.  Output: key, ds (date), y (double).
     """
+    ks = key_list(key)
     f = facts.where(F.col("quantity") > 0)
     if keys is not None:
-        f = f.join(keys.select(key), key, "left_semi")
-    return f.groupBy(key, F.to_date("invoice_date").alias("ds")) \
+        f = f.join(keys.select(*ks), ks, "left_semi")
+    return f.groupBy(*ks, F.to_date("invoice_date").alias("ds")) \
         .agg(F.sum("quantity").cast("double").alias("y"))
 
 
 def forecastable(demand: DataFrame, key: str, as_of, min_sale_days: int = 14) -> DataFrame:
     """FI9: keys with at least ``min_sale_days`` sale days up to as_of."""
-    return demand.where(F.col("ds") <= F.lit(str(as_of)).cast("date")) \
-        .groupBy(key).agg(F.count(F.lit(1)).alias("sale_days")) \
-        .where(F.col("sale_days") >= min_sale_days).select(key, "sale_days")
+    ks = key_list(key)
+    return demand.where(F.col("ds") <= date_expr(as_of)) \
+        .groupBy(*ks).agg(F.count(F.lit(1)).alias("sale_days")) \
+        .where(F.col("sale_days") >= min_sale_days).select(*ks, "sale_days")
 
 
 def densify(demand: DataFrame, key: str, as_of, ffill_limit: int = 6) -> DataFrame:
@@ -45,17 +60,18 @@ def densify(demand: DataFrame, key: str, as_of, ffill_limit: int = 6) -> DataFra
     Keys first sold after as_of (possible in omniscient mode) have no
     series and are dropped.  Output: key, ds, y.
     """
-    end = F.lit(str(as_of)).cast("date")
+    ks = key_list(key)
+    end = date_expr(as_of)
     d = demand.where(F.col("ds") <= end)
-    w = Window.partitionBy(key).orderBy("ds")
+    w = Window.partitionBy(*ks).orderBy("ds")
     nxt = F.coalesce(F.lead("ds").over(w), F.date_add(end, 1))
-    d = d.select(key, "ds", "y", F.datediff(nxt, F.col("ds")).alias("span"))
-    d = d.select(key, "ds", "y", F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("o"))
+    d = d.select(*ks, "ds", "y", F.datediff(nxt, F.col("ds")).alias("span"))
+    d = d.select(*ks, "ds", "y", F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("o"))
     filled = F.when(F.col("o") <= ffill_limit, F.col("y")).otherwise(F.lit(0.0))
-    return d.select(key, F.date_add("ds", F.col("o")).alias("ds"), filled.alias("y"))
+    return d.select(*ks, F.date_add("ds", F.col("o")).alias("ds"), filled.alias("y"))
 
 
-def series_stats(series: DataFrame, key: str, demand: DataFrame | None = None,
+def series_stats(series: DataFrame, key,
                  min_tree_days: int = 56, min_nonzero: int = 14,
                  min_fit_rows: int = 42) -> DataFrame:
     """TS19 + FI9: n_days, nonzero_days, train_start/end and the model choice.
@@ -64,7 +80,7 @@ def series_stats(series: DataFrame, key: str, demand: DataFrame | None = None,
     >= 14 non-zero days, and enough rows left after the 28 lag-warm-up rows
     for a 28-day holdout plus 14 training rows), else 'seasonal_naive'.
     """
-    s = series.groupBy(key).agg(
+    s = series.groupBy(*key_list(key)).agg(
         F.count(F.lit(1)).alias("n_days"),
         F.count_if(F.col("y") > 0).alias("nonzero_days"),
         F.min("ds").alias("train_start"),
@@ -81,10 +97,12 @@ def same_weekday(series: DataFrame, key: str, targets: DataFrame, n_weeks: int =
 
     An equi-join on the shifted date; output: key, target, pos, y.
     """
-    t = targets.select(key, "target",
+    ks = key_list(key)
+    t = targets.select(*ks, "target",
                        F.explode(F.sequence(F.lit(1), F.lit(n_weeks))).alias("w"))
     t = t.withColumn("ds", F.date_sub("target", F.col("w") * 7))
-    j = t.join(series.select(key, "ds", "y"), [key, "ds"])
-    pos = F.row_number().over(Window.partitionBy(key, "target").orderBy("w"))
-    return j.select(key, "target", pos.alias("pos"), "y")
+    j = t.join(series.select(*ks, "ds", "y"), ks + ["ds"])
+    # at most n_weeks rows per (key, target): a bounded window partition
+    pos = F.row_number().over(Window.partitionBy(*ks, "target").orderBy("w"))
+    return j.select(*ks, "target", pos.alias("pos"), "y")
 

@@ -16,14 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcycle.operators.demand import date_expr, key_list
+
 WINDOW_DAYS = 56  # 28 holdout days + 28 days of same-weekday look-back
 
 
-def _recent_state(series: DataFrame, key: str, as_of, holdout: int = 28) -> DataFrame:
-    end = F.lit(str(as_of)).cast("date")
+def _recent_state(series: DataFrame, key, as_of, holdout: int = 28) -> DataFrame:
+    end = date_expr(as_of)
     recent = F.col("ds") > F.date_sub(end, WINDOW_DAYS)
     train = F.col("ds") <= F.date_sub(end, holdout)
-    return series.where(F.col("ds") <= end).groupBy(key).agg(
+    return series.where(F.col("ds") <= end).groupBy(*key_list(key)).agg(
         F.map_from_entries(F.collect_list(F.when(recent, F.struct("ds", "y")))).alias("m"),
         F.count(F.lit(1)).alias("n"),
         F.min("ds").alias("first_ds"),
@@ -56,7 +58,7 @@ def _pop_std(vals: Column) -> Column:
     return F.sqrt(ss / n)
 
 
-def naive_forecast(series: DataFrame, key: str, as_of, horizon: int = 28) -> DataFrame:
+def naive_forecast(series: DataFrame, key, as_of, horizon: int = 28) -> DataFrame:
     """TS4 + TS5: ``horizon`` days after as_of for every key in ``series``.
 
     yhat = weighted same-weekday mean, or the mean of positive days when no
@@ -65,9 +67,10 @@ def naive_forecast(series: DataFrame, key: str, as_of, horizon: int = 28) -> Dat
     sample std of the series when none).  All three floored at 0, 2 dp.
     Output: key, ds, yhat, yhat_lower, yhat_upper.
     """
-    end = F.lit(str(as_of)).cast("date")
+    ks = key_list(key)
+    end = date_expr(as_of)
     st = _recent_state(series, key, as_of)
-    st = st.select(key, "m", "n", "mean_pos", "sd_all",
+    st = st.select(*ks, "m", "n", "mean_pos", "sd_all",
                    F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("i"))
     st = st.withColumn("target", F.date_add(end, F.col("i")))
     st = st.withColumn("vals", _found(F.col("m"), F.col("target"), end))
@@ -77,16 +80,16 @@ def naive_forecast(series: DataFrame, key: str, as_of, horizon: int = 28) -> Dat
     sd = F.when(k > 1, _pop_std(F.col("vals"))) \
         .when(k == 1, F.abs(yhat) * 0.2) \
         .otherwise(F.when(F.col("n") > 1, F.col("sd_all")).otherwise(F.lit(1.0)))
-    out = st.select(key, F.col("target").alias("ds"), yhat.alias("raw"), sd.alias("sd"))
+    out = st.select(*ks, F.col("target").alias("ds"), yhat.alias("raw"), sd.alias("sd"))
     half = F.greatest(F.col("sd") * 1.5, F.lit(0.5))
     return out.select(
-        key, "ds",
+        *ks, "ds",
         F.round(F.greatest(F.col("raw"), F.lit(0.0)), 2).alias("yhat"),
         F.round(F.greatest(F.col("raw") - half, F.lit(0.0)), 2).alias("yhat_lower"),
         F.round(F.greatest(F.col("raw") + half, F.lit(0.0)), 2).alias("yhat_upper"))
 
 
-def naive_backtest(series: DataFrame, key: str, as_of, holdout: int = 28,
+def naive_backtest(series: DataFrame, key, as_of, holdout: int = 28,
                    min_train: int = 14) -> DataFrame:
     """TS6: hold out the last ``holdout`` days, predict each from training
     values only, score MAPE (days with actual > 0) and RMSE (all days).
@@ -94,7 +97,8 @@ def naive_backtest(series: DataFrame, key: str, as_of, holdout: int = 28,
     Keys shorter than holdout + min_train days get NULL metrics.
     Output: key, mape, rmse (6 dp).
     """
-    end = F.lit(str(as_of)).cast("date")
+    ks = key_list(key)
+    end = date_expr(as_of)
     train_end = F.date_sub(end, holdout)
     st = _recent_state(series, key, as_of, holdout)
 
@@ -107,7 +111,7 @@ def naive_backtest(series: DataFrame, key: str, as_of, holdout: int = 28,
         return F.struct(actual.alias("a"), F.greatest(pred, F.lit(0.0)).alias("p"))
 
     days = F.transform(F.sequence(F.lit(0), F.lit(holdout - 1)), day)
-    st = st.select(key, "n", days.alias("d"))
+    st = st.select(*ks, "n", days.alias("d"))
     pos = F.filter("d", lambda e: e["a"] > 0)
     ape = F.aggregate(pos, F.lit(0.0), lambda acc, e: acc + F.abs(e["a"] - e["p"]) / e["a"])
     sq = F.aggregate(F.col("d"), F.lit(0.0),
@@ -115,4 +119,4 @@ def naive_backtest(series: DataFrame, key: str, as_of, holdout: int = 28,
     ok = F.col("n") >= holdout + min_train
     mape = F.when(ok & (F.size(pos) > 0), ape / F.size(pos))
     rmse = F.when(ok, F.sqrt(sq / F.size("d")))
-    return st.select(key, F.round(mape, 6).alias("mape"), F.round(rmse, 6).alias("rmse"))
+    return st.select(*ks, F.round(mape, 6).alias("mape"), F.round(rmse, 6).alias("rmse"))

@@ -58,51 +58,72 @@ SELECT {key}, COUNT(*) AS n_days, COUNT(*) FILTER (WHERE y > 0) AS nonzero_days,
 FROM series GROUP BY {key}"""
 
 
-def _forecast_sql(prefix: str, key: str) -> str:
+def _on(a: str, b: str, keys: list[str]) -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+
+def forecast_sql(prefix: str, keys, asof: str = D_AS_OF) -> str:
+    """Seasonal-naive forecast over CTE ``series(keys..., ds, y)``; ``asof``
+    is a date literal or a key column holding each series' as_of."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    K = ", ".join(keys)
+    tk = ", ".join(f"t.{k}" for k in keys)
+    a_st = asof if asof.startswith("DATE") else f"st.{asof}"
     return prefix + f""",
-st AS (SELECT {key}, AVG(y) FILTER (WHERE y > 0) AS mean_pos, STDDEV_SAMP(y) AS sd, COUNT(*) AS n
-       FROM series GROUP BY {key}),
-tgt AS (SELECT st.{key}, r.i, CAST({D_AS_OF} + CAST(r.i AS INTEGER) AS DATE) AS target
+st AS (SELECT {K}, AVG(y) FILTER (WHERE y > 0) AS mean_pos, STDDEV_SAMP(y) AS sd, COUNT(*) AS n
+       FROM series GROUP BY {K}),
+tgt AS (SELECT {", ".join(f"st.{k}" for k in keys)}, r.i, CAST({a_st} + CAST(r.i AS INTEGER) AS DATE) AS target
         FROM st, range(1, 29) r(i)),
-lk AS (SELECT t.{key}, t.i, w.w, s.y FROM tgt t, range(1, 5) w(w), series s
-       WHERE s.{key} = t.{key} AND s.ds = CAST(t.target - CAST(7 * w.w AS INTEGER) AS DATE)),
-pos AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key}, i ORDER BY w) AS p FROM lk),
-ag AS (SELECT {key}, i, COUNT(*) AS nf,
+lk AS (SELECT {tk}, t.i, w.w, s.y FROM tgt t, range(1, 5) w(w), series s
+       WHERE {_on("s", "t", keys)} AND s.ds = CAST(t.target - CAST(7 * w.w AS INTEGER) AS DATE)),
+pos AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, i ORDER BY w) AS p FROM lk),
+ag AS (SELECT {K}, i, COUNT(*) AS nf,
               SUM(y * CASE WHEN p <= 2 THEN 2 ELSE 1 END) / SUM(CASE WHEN p <= 2 THEN 2 ELSE 1 END) AS wavg,
               STDDEV_POP(y) AS sdp
-       FROM pos GROUP BY {key}, i),
-f AS (SELECT t.{key}, t.target,
+       FROM pos GROUP BY {K}, i),
+f AS (SELECT {tk}, t.target,
              CASE WHEN ag.nf IS NULL THEN COALESCE(st.mean_pos, 0.0) ELSE ag.wavg END AS yhat,
              CASE WHEN ag.nf IS NULL THEN (CASE WHEN st.n > 1 THEN st.sd ELSE 1.0 END)
                   WHEN ag.nf = 1 THEN ABS(ag.wavg) * 0.2 ELSE ag.sdp END AS sd
-      FROM tgt t LEFT JOIN ag ON t.{key} = ag.{key} AND t.i = ag.i JOIN st ON t.{key} = st.{key})
-SELECT {key}, target AS ds, ROUND(GREATEST(yhat, 0), 2) AS yhat,
+      FROM tgt t LEFT JOIN ag ON {_on("t", "ag", keys)} AND t.i = ag.i JOIN st ON {_on("t", "st", keys)}),
+fc AS (SELECT {K}, target AS ds, ROUND(GREATEST(yhat, 0), 2) AS yhat,
        ROUND(GREATEST(yhat - GREATEST(1.5 * sd, 0.5), 0), 2) AS yhat_lower,
        ROUND(GREATEST(yhat + GREATEST(1.5 * sd, 0.5), 0), 2) AS yhat_upper
-FROM f"""
+FROM f)"""
 
 
-def _backtest_sql(prefix: str, key: str) -> str:
+def backtest_sql(prefix: str, keys, asof: str = D_AS_OF) -> str:
+    """Naive holdout backtest over CTE ``series``; defines CTE ``bt``."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    K = ", ".join(keys)
     return prefix + f""",
-tr AS (SELECT * FROM series WHERE ds <= CAST({D_AS_OF} - 28 AS DATE)),
-te AS (SELECT * FROM series WHERE ds > CAST({D_AS_OF} - 28 AS DATE)),
-n AS (SELECT {key}, COUNT(*) AS n FROM series GROUP BY {key}),
-mp AS (SELECT {key}, AVG(y) FILTER (WHERE y > 0) AS mean_pos FROM tr GROUP BY {key}),
-lk AS (SELECT te.{key}, te.ds, w.w, tr.y FROM te, range(1, 5) w(w), tr
-       WHERE tr.{key} = te.{key} AND tr.ds = CAST(te.ds - CAST(7 * w.w AS INTEGER) AS DATE)),
-pos AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key}, ds ORDER BY w) AS p FROM lk),
-ag AS (SELECT {key}, ds,
+tr AS (SELECT * FROM series WHERE ds <= CAST({asof} - 28 AS DATE)),
+te AS (SELECT * FROM series WHERE ds > CAST({asof} - 28 AS DATE)),
+nn AS (SELECT {K}, COUNT(*) AS n FROM series GROUP BY {K}),
+mp AS (SELECT {K}, AVG(y) FILTER (WHERE y > 0) AS mean_pos FROM tr GROUP BY {K}),
+lk2 AS (SELECT {", ".join(f"te.{k}" for k in keys)}, te.ds, w.w, tr.y FROM te, range(1, 5) w(w), tr
+       WHERE {_on("tr", "te", keys)} AND tr.ds = CAST(te.ds - CAST(7 * w.w AS INTEGER) AS DATE)),
+pos2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, ds ORDER BY w) AS p FROM lk2),
+ag2 AS (SELECT {K}, ds,
               SUM(y * CASE WHEN p <= 2 THEN 2 ELSE 1 END) / SUM(CASE WHEN p <= 2 THEN 2 ELSE 1 END) AS wavg
-       FROM pos GROUP BY {key}, ds),
-pr AS (SELECT te.{key}, te.y AS a,
-              GREATEST(COALESCE(ag.wavg, mp.mean_pos, 0.0), 0) AS p
-       FROM te LEFT JOIN ag ON te.{key} = ag.{key} AND te.ds = ag.ds
-       LEFT JOIN mp ON te.{key} = mp.{key}),
-sc AS (SELECT {key}, AVG(ABS(a - p) / a) FILTER (WHERE a > 0) AS mape, SQRT(AVG((a - p) * (a - p))) AS rmse
-       FROM pr GROUP BY {key})
-SELECT n.{key}, CASE WHEN n.n >= 42 THEN ROUND(sc.mape, 6) END AS mape,
-       CASE WHEN n.n >= 42 THEN ROUND(sc.rmse, 6) END AS rmse
-FROM n LEFT JOIN sc ON n.{key} = sc.{key}"""
+       FROM pos2 GROUP BY {K}, ds),
+pr AS (SELECT {", ".join(f"te.{k}" for k in keys)}, te.y AS a,
+              GREATEST(COALESCE(ag2.wavg, mp.mean_pos, 0.0), 0) AS p
+       FROM te LEFT JOIN ag2 ON {_on("te", "ag2", keys)} AND te.ds = ag2.ds
+       LEFT JOIN mp ON {_on("te", "mp", keys)}),
+sc AS (SELECT {K}, AVG(ABS(a - p) / a) FILTER (WHERE a > 0) AS mape, SQRT(AVG((a - p) * (a - p))) AS rmse
+       FROM pr GROUP BY {K}),
+bt AS (SELECT {", ".join(f"nn.{k}" for k in keys)}, CASE WHEN nn.n >= 42 THEN ROUND(sc.mape, 6) END AS mape,
+       CASE WHEN nn.n >= 42 THEN ROUND(sc.rmse, 6) END AS rmse
+FROM nn LEFT JOIN sc ON {_on("nn", "sc", keys)})"""
+
+
+def _forecast_sql(prefix: str, key: str) -> str:
+    return forecast_sql(prefix, key) + "\nSELECT * FROM fc"
+
+
+def _backtest_sql(prefix: str, key: str) -> str:
+    return backtest_sql(prefix, key) + "\nSELECT * FROM bt"
 
 
 @register("dense_series_brand", "TS1 TS2 FI9", BRAND_SERIES + "\nSELECT brand, ds, y FROM series")

@@ -51,9 +51,9 @@ def parse_timestamp(col: str):
 def clean_sales(raw: DataFrame) -> DataFrame:
     """PR1-PR8 on a raw frame; adds ``_bad_date`` for the quarantine split."""
     df = normalise_columns(raw)
-    qty_d = F.try_cast(F.col("quantity"), "double")
-    price = F.coalesce(F.try_cast(F.col("unit_price"), "double"), F.lit(0.0))
-    qty = F.coalesce(F.try_cast(F.coalesce(qty_d, F.lit(0.0)), "int"), F.lit(0))
+    qty_d = F.trim(F.col("quantity")).try_cast("double")
+    price = F.coalesce(F.trim(F.col("unit_price")).try_cast("double"), F.lit(0.0))
+    qty = F.coalesce(F.coalesce(qty_d, F.lit(0.0)).try_cast("int"), F.lit(0))
     out = df.select(
         F.col("invoice_no").cast("string").alias("invoice_no"),
         parse_timestamp("invoice_date").alias("invoice_date"),
