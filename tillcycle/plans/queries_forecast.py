@@ -164,3 +164,92 @@ def q_backtest_brand(spark, d):
 @register("naive_backtest_top20", "TS6 AG22", _backtest_sql(TOP20_SERIES, "stock_code"))
 def q_backtest_top20(spark, d):
     return naive_backtest(top20_series(spark, d), "stock_code", AS_OF)
+
+
+# ------------------------------------------------------------ tree features / model
+def _features_sql(prefix: str, key: str) -> str:
+    return prefix + f""",
+fe AS (
+  SELECT {key}, ds, y, CAST(isodow(ds) - 1 AS DOUBLE) AS day_of_week, CAST(weekofyear(ds) AS DOUBLE) AS week_of_year,
+         CAST(month(ds) AS DOUBLE) AS month,
+         LAG(y, 7) OVER w AS lag_7, LAG(y, 14) OVER w AS lag_14, LAG(y, 28) OVER w AS lag_28,
+         CASE WHEN COUNT(y) OVER w7 >= 3 THEN AVG(y) OVER w7 END AS rolling_mean_7,
+         CASE WHEN COUNT(y) OVER w14 >= 7 THEN AVG(y) OVER w14 END AS rolling_mean_14,
+         CASE WHEN COUNT(y) OVER w7 >= 3 THEN COALESCE(STDDEV_SAMP(y) OVER w7, 0.0) ELSE 0.0 END AS rolling_std_7
+  FROM series
+  WINDOW w AS (PARTITION BY {key} ORDER BY ds),
+         w7 AS (PARTITION BY {key} ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+         w14 AS (PARTITION BY {key} ORDER BY ds ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+SELECT {key}, ds, y, day_of_week, week_of_year, month, lag_7, lag_14, lag_28,
+       ROUND(rolling_mean_7, 6) AS rolling_mean_7, ROUND(rolling_mean_14, 6) AS rolling_mean_14,
+       ROUND(rolling_std_7, 6) AS rolling_std_7
+FROM fe WHERE lag_28 IS NOT NULL AND rolling_mean_7 IS NOT NULL AND rolling_mean_14 IS NOT NULL
+  AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL"""
+
+
+def _rounded_features(df):
+    from pyspark.sql import functions as F
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("rolling") else F.col(c)
+                       for c in df.columns])
+
+
+@register("features_brand", "TS7 TS8 TS9 TS10 TS11", _features_sql(BRAND_SERIES, "brand"))
+def q_features_brand(spark, d):
+    from tillcycle.operators.features import build_features
+    return _rounded_features(build_features(brand_series(spark, d), "brand"))
+
+
+@register("features_top20", "TS7 TS8 TS9 TS10 TS11", _features_sql(TOP20_SERIES, "stock_code"))
+def q_features_top20(spark, d):
+    from tillcycle.operators.features import build_features
+    return _rounded_features(build_features(top20_series(spark, d), "stock_code"))
+
+
+@register("forecast_summary_top20", "AG15 AG16 FI9 TS17 Q7 Q8", TOP20_SERIES + """,
+st AS (SELECT stock_code, CASE WHEN COUNT(*) >= 56 AND COUNT(*) FILTER (WHERE y > 0) >= 14 AND COUNT(*) - 28 >= 42
+                              THEN 'gbt' ELSE 'seasonal_naive' END AS model FROM series GROUP BY stock_code),
+top5 AS (SELECT stock_code FROM top20 WHERE rank <= 5),
+ch AS (SELECT st.* FROM st JOIN top5 ON st.stock_code = top5.stock_code),
+dr AS (SELECT COUNT(*) AS n FROM dem)
+SELECT CAST(COUNT(ch.stock_code) AS BIGINT) AS n_keys,
+       CAST(COUNT(*) FILTER (WHERE ch.model = 'gbt') AS BIGINT) AS n_gbt,
+       CASE WHEN COUNT(*) FILTER (WHERE ch.model = 'gbt') >= COUNT(ch.stock_code) / 2.0 THEN 'gbt' ELSE 'seasonal_naive' END AS model_name,
+       CAST(FLOOR(MAX(dr.n) / GREATEST(MAX((SELECT COUNT(*) FROM top5)), 1)) AS BIGINT) AS train_window_days
+FROM dr LEFT JOIN ch ON true""")
+def q_forecast_summary(spark, d):
+    """AG15/AG16 for the reference's shape: top 20 ranked, top 5 forecast."""
+    from pyspark.sql import functions as F
+    vis = visible_facts(spark, d, description=False, country=False)
+    top = K.top_keys(vis, "stock_code", 20)
+    dem = daily_demand(vis, "stock_code", keys=top)
+    top5 = top.where(F.col("rank") <= 5).select("stock_code")
+    ok = forecastable(dem, "stock_code", AS_OF)
+    series = densify(dem.join(ok.select("stock_code"), "stock_code", "left_semi")
+                     .join(top5, "stock_code", "left_semi"), "stock_code", AS_OF)
+    st = series_stats(series, "stock_code")
+    ch = st.agg(F.count(F.lit(1)).alias("n_keys"),
+                F.count_if(F.col("model") == "gbt").alias("n_gbt"))
+    n_dem = dem.agg(F.count(F.lit(1)).alias("n"))
+    n_top5 = top5.agg(F.count(F.lit(1)).alias("k"))
+    # three one-row aggregates combined by a union + max, not a join
+    parts = ch.select("n_keys", "n_gbt", F.lit(None).cast("long").alias("n"),
+                      F.lit(None).cast("long").alias("k")) \
+        .unionByName(n_dem.select(F.lit(None).cast("long").alias("n_keys"),
+                                  F.lit(None).cast("long").alias("n_gbt"), "n",
+                                  F.lit(None).cast("long").alias("k"))) \
+        .unionByName(n_top5.select(F.lit(None).cast("long").alias("n_keys"),
+                                   F.lit(None).cast("long").alias("n_gbt"),
+                                   F.lit(None).cast("long").alias("n"), "k"))
+    one = parts.agg(*[F.max(c).alias(c) for c in ("n_keys", "n_gbt", "n", "k")])
+    return one.select(
+        "n_keys", "n_gbt",
+        F.when(F.col("n_gbt") >= F.col("n_keys") / 2, "gbt").otherwise("seasonal_naive")
+        .alias("model_name"),
+        F.floor(F.col("n") / F.greatest(F.col("k"), F.lit(1))).cast("long").alias("train_window_days"))
+
+
+@register("gbt_forecast_brand", "TS12 TS13 TS14 TS15 TS16 TS17 TS18")
+def q_gbt_brand(spark, d):
+    from tillcycle.operators.boosted import forecast_all
+    out = forecast_all(brand_series(spark, d), "brand", AS_OF, 28)
+    return out["forecast"]
