@@ -24,6 +24,7 @@ from tillcycle.operators.features import build_features, split_holdout
 from tillcycle.operators.naive import naive_backtest, naive_forecast
 from tillcycle.session import cut_lineage
 
+ROWS_PER_PARTITION = 200_000
 SCALED = ["lag_7", "lag_14", "lag_28", "rolling_mean_7", "rolling_mean_14", "rolling_std_7"]
 
 # Reference hyper-parameters (300 trees, rate 0.05, 15 leaves ~ depth 4,
@@ -55,7 +56,16 @@ def fit_boosted(features: DataFrame, key, holdout: int = 28, params: dict | None
     lv = f.where(~F.col("is_test")).groupBy(*ks).agg(F.avg("y").alias("_m"))
     lv = lv.select(*ks, F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0)).alias("level"))
     f = f.join(lv, ks)
-    data = _assembled(f).withColumn("label", F.col("y") / F.col("level")).persist()
+    data = _assembled(f).withColumn("label", F.col("y") / F.col("level"))
+    # Size the training partitions to the data: each boosting round runs a
+    # few jobs over every partition, so tiny inputs spread over many
+    # partitions pay scheduling per round for nothing; large inputs keep
+    # about ROWS_PER_PARTITION rows per task.
+    n = data.count()
+    if n == 0:
+        return None, None
+    parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
+    data = data.coalesce(parts).persist()
     train = data.where(~F.col("is_test"))
     if train.limit(1).count() == 0:
         data.unpersist()
@@ -147,7 +157,10 @@ def forecast_all(series: DataFrame, key, as_of, horizon: int = 28,
     backtest (*key, mape, rmse, model), stats and summary (dominant model).
     """
     ks = key_list(key)
-    stats = series_stats(series, ks)
+    # the series feeds statistics, features, both models and the recursion:
+    # one row per key-day, bounded by keys x calendar days
+    series = series.persist()
+    stats = series_stats(series, ks).persist()
     tree_keys = stats.where(F.col("model") == "gbt").select(*ks)
     naive_keys = stats.where(F.col("model") != "gbt").select(*ks)
     tree_series = series.join(tree_keys, ks, "left_semi")
