@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcycle.session import cut_lineage
+
 
 RUN_COLUMNS = ["run_id", "as_of_date", "period_start", "period_end", "mode",
                "control_profile", "created_at"]
@@ -276,13 +278,47 @@ def decisions(runs: DataFrame, kpis_wide: DataFrame, actions: DataFrame) -> Data
                     frefs.alias("forecast_references"))
 
 
-def build_run_tables(facts: DataFrame) -> dict[str, DataFrame]:
-    """All derived run tables from one fact relation."""
-    runs = derive_runs(facts)
-    kp = run_kpis(facts, runs)
-    wide = kpi_wide(kp)
-    ss = sku_period_stats(facts, runs)
-    acts = candidate_actions(ss, runs, wide)
-    return {"runs": runs, "kpis": stored_kpis(kp, runs), "kpis_wide": wide,
-            "narratives": narratives(wide, ss), "actions": acts,
-            "decisions": decisions(runs, wide, acts)}
+class RunTables(dict):
+    """The derived run tables, built on first access.
+
+    Tables read by several downstream jobs (run calendar, per-(run, SKU)
+    statistics, run KPIs, actions) are checkpointed into the shared
+    checkpoint folder when first needed: later plans read one written copy
+    instead of re-scanning the facts per consumer, and a lost executor
+    resumes from the written table.  A query that needs only the run
+    calendar pays only for the run calendar.
+    """
+
+    def __init__(self, facts: DataFrame, materialise: bool = True,
+                 dates: DataFrame | None = None):
+        super().__init__()
+        self.facts = facts
+        self.dates = dates if dates is not None else facts
+        self._cut = cut_lineage if materialise else (lambda d: d)
+        self._build = {
+            "runs": lambda: self._cut(derive_runs(self.dates)),
+            "run_kpis": lambda: self._cut(run_kpis(self.facts, self["runs"])),
+            "kpis": lambda: stored_kpis(self["run_kpis"], self["runs"]),
+            "kpis_wide": lambda: kpi_wide(self["run_kpis"]),
+            "sku_stats": lambda: self._cut(sku_period_stats(self.dates, self["runs"])),
+            "narratives": lambda: narratives(self["kpis_wide"], self["sku_stats"]),
+            "actions": lambda: self._cut(candidate_actions(self["sku_stats"], self["runs"],
+                                                           self["kpis_wide"])),
+            "decisions": lambda: decisions(self["runs"], self["kpis_wide"], self["actions"]),
+        }
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self._build:
+            raise KeyError(name)
+        df = self._build[name]()
+        self[name] = df
+        return df
+
+
+def build_run_tables(facts: DataFrame, materialise: bool = True,
+                     dates: DataFrame | None = None) -> RunTables:
+    """All derived run tables from one fact relation (lazily, see RunTables).
+    ``dates`` (the facts without customer columns: invoice_date, stock_code,
+    quantity) feeds the run calendar and the SKU statistics when a narrower
+    scan than the full facts is available."""
+    return RunTables(facts, materialise, dates)

@@ -15,21 +15,27 @@ from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales
 SETTINGS = DI.DispatchSettings(dry_run=True, target_system="jira")
 
 
-def cycle(spark, d) -> dict:
-    """Every cycle table for the facts at ``d`` (lazy DataFrames)."""
+def cycle(spark, d) -> DV.RunTables:
+    """Every cycle table for the facts at ``d``, each built on first use."""
     facts = fact_sales(spark, d, description=False, country=False)
-    t = DV.build_run_tables(facts)
-    runs, actions = t["runs"], t["actions"]
-    profiled = actions.join(F.broadcast(runs.select("run_id", "control_profile")), "run_id")
-    reviews = CR.with_citations(CR.review_actions(profiled))
-    summary = CR.review_summary(reviews, runs)
-    released = CR.executable(actions, reviews)
-    tasks = DI.derive_tasks(released, runs)
-    findings = AU.audit(runs, t["kpis"], t["decisions"])
-    status = AU.audit_status(runs, findings)
-    reports = DI.dispatch_reports(runs, summary, status, tasks, SETTINGS)
-    t.update(reviews=reviews, summary=summary, released=released, tasks=tasks,
-             findings=findings, status=status, reports=reports)
+    dates = fact_sales(spark, d, description=False, country=False, customer=False)
+    t = DV.build_run_tables(facts, dates=dates)
+
+    def reviews():
+        profiled = t["actions"].join(
+            F.broadcast(t["runs"].select("run_id", "control_profile")), "run_id")
+        return CR.with_citations(CR.review_actions(profiled))
+
+    t._build.update(
+        reviews=reviews,
+        summary=lambda: CR.review_summary(t["reviews"], t["runs"]),
+        released=lambda: CR.executable(t["actions"], t["reviews"]),
+        tasks=lambda: DI.derive_tasks(t["released"], t["runs"]),
+        findings=lambda: AU.audit(t["runs"], t["kpis"], t["decisions"]),
+        status=lambda: AU.audit_status(t["runs"], t["findings"]),
+        reports=lambda: DI.dispatch_reports(t["runs"], t["summary"], t["status"], t["tasks"],
+                                            SETTINGS),
+    )
     return t
 
 

@@ -31,7 +31,8 @@ ANALYST_SCHEMA = T.StructType([
 
 def run_tables(spark, d) -> dict:
     facts = fact_sales(spark, d, description=False, country=False)
-    t = DV.build_run_tables(facts)
+    dates = fact_sales(spark, d, description=False, country=False, customer=False)
+    t = DV.build_run_tables(facts, dates=dates)
     t["facts"] = facts
     return t
 

@@ -51,4 +51,9 @@ def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (reliable
     checkpoint; survives executor loss) and return the truncated frame."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Cache first: a reliable checkpoint otherwise computes the plan twice
+    # (once for the eager count, once more to write the files).
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -36,11 +36,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact_sales(spark: SparkSession, sf_dir: str, *, description: bool = True,
-               country: bool = True, part_attrs: dict[str, str] | None = None,
+               country: bool = True, customer: bool = True,
+               part_attrs: dict[str, str] | None = None,
                where: Column | None = None) -> DataFrame:
     """The ``fact_sales`` relation built from the source tables.
 
     ``description`` / ``country`` switch the part / customer+nation joins;
+    ``customer=False`` (only with ``country=False``) also skips the orders
+    join, for jobs that read no customer column;
     ``part_attrs`` adds part columns under new names (e.g. ``{"brand":
     "p_brand"}``) for keyed forecasting at a coarser grain.  ``where`` is a
     predicate over lineitem columns applied at the scan (pushed down).
@@ -50,8 +53,11 @@ def fact_sales(spark: SparkSession, sf_dir: str, *, description: bool = True,
         "l_returnflag", "l_shipdate")
     if where is not None:
         li = li.where(where)
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    df = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    if customer or country:
+        orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        df = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    else:
+        df = li
 
     part_cols: dict[str, str] = {}
     if description:
@@ -82,8 +88,9 @@ def fact_sales(spark: SparkSession, sf_dir: str, *, description: bool = True,
     cols += [
         qty.alias("quantity"),
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
     ]
+    if customer or country:
+        cols.append(F.col("o_custkey").cast("string").alias("customer_id"))
     if country:
         cols.append(F.col("country"))
     cols += [F.col(c) for c in (part_attrs or {})]
