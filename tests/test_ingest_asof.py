@@ -132,3 +132,22 @@ def test_run_requests(spark):
     assert [r.run_id for r in ok.collect()] == ["r1"]
     assert {r.run_id for r in bad.collect()} == {"r2", "r3"}
     assert F is not None
+
+
+def test_streaming_ingest_resumes(spark):
+    import shutil
+    from tillcycle.streaming.ingest import start_ingest
+    d, p = _csv()
+    drop = os.path.join(d, "drop")
+    os.makedirs(drop)
+    shutil.copy(p, os.path.join(drop, "a.csv"))
+    cur, qua = os.path.join(d, "cur"), os.path.join(d, "qua")
+    name = "ingest_" + os.path.basename(d).replace("-", "_")
+    q = start_ingest(spark, drop, cur, qua, name=name)
+    q.awaitTermination(120)
+    assert spark.read.parquet(cur).count() == 5 and spark.read.parquet(qua).count() == 1
+    # a second file arrives; a restarted query reads only the new one
+    shutil.copy(p, os.path.join(drop, "b.csv"))
+    q = start_ingest(spark, drop, cur, qua, name=name)
+    q.awaitTermination(120)
+    assert spark.read.parquet(cur).count() == 10
