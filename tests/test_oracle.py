@@ -42,3 +42,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert [r["name"] for r in sorted(rows, key=lambda r: r["name"])] == sorted(
         ["total_revenue", "total_orders", "avg_order_value", "unique_customers", "return_rate"])
+
+
+def test_contract_needs_no_session():
+    """queries() / oracle_sql() must import and list without a live session."""
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as E; assert len(E.oracle_sql()) > 40 and len(E.queries()) > 40"
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                       cwd=__import__("os").path.dirname(__import__("os").path.dirname(
+                           __import__("os").path.abspath(__file__))))
+    assert r.returncode == 0, r.stderr[-2000:]

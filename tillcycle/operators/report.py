@@ -43,14 +43,15 @@ def concentration(skus: DataFrame, by: list[str] | None = None, top: int = 5) ->
                                                       F.col("top10_revenue")), 4))
 
 
-URGENCY_RANK = F.when(F.col("urgency") == "high", 0).when(F.col("urgency") == "medium", 1) \
-    .when(F.col("urgency") == "low", 2).otherwise(3)
+def urgency_rank() -> Column:
+    return F.when(F.col("urgency") == "high", 0).when(F.col("urgency") == "medium", 1) \
+        .when(F.col("urgency") == "low", 2).otherwise(3)
 
 
 def top_actions(actions: DataFrame, n: int = 5, tie: str = "action_id") -> DataFrame:
     """TK4: first n actions per run by urgency high < medium < low, stable
     by ``tie``; a run with many actions is ranked in salted pieces."""
-    a = actions.withColumn("_u", URGENCY_RANK)
+    a = actions.withColumn("_u", urgency_rank())
     return top_k_per_group(a, ["run_id"], [F.col("_u"), F.col(tie)], n, salt_cols=[tie],
                            rank_col="pos").drop("_u")
 
