@@ -37,9 +37,10 @@ def run_tables(spark, d) -> dict:
     return t
 
 
-def stored_artifacts(t: dict) -> DataFrame:
+def stored_artifacts(t: dict, types: tuple[str, ...] = ("analyst_report", "decision")) -> DataFrame:
     """Analyst reports (regulated runs stored twice: a first revision one
-    hour earlier) and decision headers, as JSON artifact rows."""
+    hour earlier) and decision headers, as JSON artifact rows.  Only the
+    requested types are built (decisions need the materialised actions)."""
     runs = t["runs"]
     kp = t["kpis"].groupBy("run_id").agg(F.array_sort(F.collect_list(
         F.struct("name", "value", "unit", "period", "evidence"))).alias("kpis"))
@@ -54,6 +55,8 @@ def stored_artifacts(t: dict) -> DataFrame:
     v2 = AR.to_artifacts(rep, "analyst_report", payload(2), F.col("created_at"))
     v1 = AR.to_artifacts(rep.where(F.col("control_profile") == "regulated"), "analyst_report",
                          payload(1), F.col("created_at") - F.expr("INTERVAL 1 HOUR"))
+    if "decision" not in types:
+        return v2.unionByName(v1)
     dec = t["decisions"]
     dp = F.struct("run_id", F.col("as_of_date").cast("string").alias("as_of_date"), "mode",
                   "rationale", "confidence", "kpi_references", "forecast_references",
@@ -137,7 +140,7 @@ FROM chk LEFT JOIN nums ON chk.run_id = nums.run_id"""
 @register("eval_factuality", "EV1 EV2 EV3 AG23 JO11 SC10", FACT_EVAL_SQL)
 def q_eval_factuality(spark, d):
     t = run_tables(spark, d)
-    latest = AR.latest_artifacts(stored_artifacts(t), ["analyst_report"])
+    latest = AR.latest_artifacts(stored_artifacts(t, ("analyst_report",)), ["analyst_report"])
     stored, narr = stored_kpis_from(latest)
     recomputed = DV.run_kpis(t["facts"], t["runs"])
     return EV.eval_factuality(stored, recomputed, narr)
