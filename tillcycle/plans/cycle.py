@@ -33,7 +33,8 @@ from tillcycle.sources.tables import fact_sales
 
 
 def run_cycle(spark: SparkSession, sf_dir: str, out_dir: str, params: RunParams | None = None,
-              settings: DI.DispatchSettings | None = None, skip_ingest: bool = False) -> dict:
+              settings: DI.DispatchSettings | None = None, skip_ingest: bool = False,
+              gbt_params: dict | None = None) -> dict:
     p = params or RunParams(as_of="2000-12-31", start="2000-10-02", run_id="run-cycle")
     settings = settings or DI.DispatchSettings()
     curated = os.path.join(out_dir, "curated", "fact_sales")
@@ -61,7 +62,7 @@ def run_cycle(spark: SparkSession, sf_dir: str, out_dir: str, params: RunParams
     ok = forecastable(dem.join(top5, "stock_code", "left_semi"), "stock_code", p.as_of)
     series = densify(dem.join(ok.select("stock_code"), "stock_code", "left_semi"), "stock_code",
                      p.as_of)
-    fc = forecast_all(series, "stock_code", p.as_of, p.horizon)
+    fc = forecast_all(series, "stock_code", p.as_of, p.horizon, params=gbt_params)
 
     # decision (rule-based actions for this run), control review, tasks
     wide = DV.kpi_wide(kpis)
