@@ -75,3 +75,32 @@ def test_dim_product_one_row_per_sku(spark):
     assert by["0"].canonical_description == "WIDGET"
     assert by["0"].category_id == by["1"].category_id   # identical cleaned text, same cluster
     assert all(r.category_name for r in dim) and all(r.taxonomy_version == "v1" for r in dim)
+
+
+def test_sparse_tfidf_and_topk_match_numpy(spark):
+    from tillcycle.operators.retrieval import sparse_topk, tfidf_sparse
+    texts = ["red widget sale today", "blue widget clearance", "red red gear", "hot plate deal",
+             "widget widget widget", "cold rod and hot plate", "", "gear sale"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    tf = tfidf_sparse(df, "id", "text", num_features=64).collect()
+    vec = {}
+    for r in tf:
+        v = np.zeros(64)
+        v[r.idx] = r.val
+        vec[r.id] = v
+        assert abs(np.linalg.norm(v) - 1) < 1e-6
+    assert 6 not in vec                      # an empty text has no terms
+    corpus = spark.createDataFrame([(r.id, r.idx, r.val) for r in tf if r.id >= 2],
+                                   "id long, idx array<int>, val array<double>").repartition(3)
+    queries = spark.createDataFrame([(r.id, r.idx, r.val) for r in tf if r.id < 2],
+                                    "query_id long, idx array<int>, val array<double>")
+    got = sparse_topk(corpus, queries, k=2, num_features=64).collect()
+    ids = sorted(i for i in vec if i >= 2)
+    for q in (0, 1):
+        s = np.array([vec[i] @ vec[q] for i in ids])
+        order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:2]
+        g = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.id for r in g] == [ids[j] for j in order]
+        assert np.allclose([r.score for r in g], [s[j] for j in order])
+    sliced = sparse_topk(corpus, queries, k=2, num_features=64, max_cells=64).collect()
+    assert sorted((r.query_id, r.id) for r in sliced) == sorted((r.query_id, r.id) for r in got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcycle.functions.text import COLOUR_PATTERN, PACK_PATTERN
-from tillcycle.operators.retrieval import chunk, text_features, vector_topk
+from tillcycle.operators.retrieval import chunk, sparse_topk, tfidf_sparse, vector_topk
 from tillcycle.operators.taxonomy import build_dim_product, product_texts
 from tillcycle.plans.registry import register
 from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales, read_table
@@ -78,17 +78,20 @@ def q_vector_topk(spark, d):
 
 @register("benchmark_retrieval", "TX2 TX6 TX7")
 def q_benchmark_retrieval(spark, d):
-    """Benchmark passages as queries against document paragraphs (TF-IDF
-    cosine, top 3): which documents carry each benchmark passage."""
-    docs = chunk(read_table(spark, d, "documents"), "doc_id", "text", "\n\n") \
-        .withColumn("cid", F.col("doc_id") * 100000 + F.col("chunk_id"))
-    bench = read_table(spark, d, "benchmark").select(F.col("item_id"), "text")
-    both = docs.select(F.col("cid").alias("id"), "text").unionByName(
-        bench.select((-F.col("item_id") - 1).alias("id"), "text"))
-    feats, _ = text_features(both, "text")
-    corpus = feats.where(F.col("id") >= 0)
-    queries = feats.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "features")
-    top = vector_topk(corpus, queries, k=3, id_col="id", vec_col="features",
-                      query_id="item_id", query_vec="features")
-    return top.select("item_id", (F.floor(F.col("id") / 100000)).cast("long").alias("doc_id"),
+    """Benchmark passages as queries against document paragraphs (sparse
+    TF-IDF cosine, top 3): which documents carry each benchmark passage.
+    IDF is fitted on the paragraphs; queries use the same buckets."""
+    docs = chunk(read_table(spark, d, "documents"), "doc_id", "text", "\n\n")
+    # one long id per paragraph (doc_id * 2^20 + chunk_id); benchmark items negative
+    corpus_text = docs.select((F.col("doc_id") * CHUNK_SPAN + F.col("chunk_id")).alias("id"), "text")
+    bench = read_table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
+    both = tfidf_sparse(corpus_text.unionByName(bench), "id", "text")
+    corpus = both.where(F.col("id") >= 0)
+    queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "idx", "val")
+    top = sparse_topk(corpus, queries, k=3, id_col="id", query_id="item_id")
+    return top.select("item_id", F.floor(F.col("id") / CHUNK_SPAN).cast("long").alias("doc_id"),
+                      F.pmod(F.col("id"), F.lit(CHUNK_SPAN)).cast("int").alias("chunk_id"),
                       F.round("score", 6).alias("score"), "rank")
+
+
+CHUNK_SPAN = 1 << 20
