@@ -44,7 +44,7 @@ def chunk(docs: DataFrame, id_col: str = "source", text_col: str = "text",
 
 
 def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 << 12,
-                  out_col: str = "features"):
+                  out_col: str = "features", as_vector: bool = False):
     """TX2: tokenise -> hashed term counts -> IDF -> L2 normalised, as a
     dense ``array<double>``.  Returns (frame, fitted IDF model).  No
     pretrained embedding model exists offline; hashing keeps the vector
@@ -57,6 +57,8 @@ def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 <
     t = tf.transform(tok.transform(df))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
     n = Normalizer(inputCol="_idf", outputCol="_n", p=2.0).transform(idf.transform(t))
+    if as_vector:   # keep the sparse ML vector (no densified copy per row)
+        return n.withColumnRenamed("_n", out_col).drop("_tok", "_tf", "_idf"), idf
     return n.withColumn(out_col, vector_to_array("_n")).drop("_tok", "_tf", "_idf", "_n"), idf
 
 
@@ -156,6 +158,23 @@ def tfidf_sparse(df: DataFrame, id_col: str, text_col: str = "text",
                       F.transform("t", lambda e: e["w"] / (norm + 1e-9)).alias("val"))
 
 
+def _sparse_parts(pdf: pd.DataFrame):
+    """(indices, values) lists of a batch: from idx/val array columns, or
+    from an ML vector column "vec" (arrives as {type, size, indices, values})."""
+    if "vec" not in pdf:
+        return list(pdf["idx"]), list(pdf["val"])
+    idx, val = [], []
+    for v in pdf["vec"]:
+        if isinstance(v, dict):            # Arrow struct form inside mapInPandas
+            vals, ind = v["values"], v["indices"]
+        else:                              # ml.linalg vector (toPandas on the driver)
+            vals, ind = v.values, getattr(v, "indices", None)
+        vals = np.asarray(vals, dtype=np.float64)
+        idx.append(np.arange(len(vals)) if ind is None else np.asarray(ind))
+        val.append(vals)
+    return idx, val
+
+
 def _sparse_scorer(qids, qmat, k: int, id_col: str, chunk: int = 256):
     def run(batches):
         best = None
@@ -163,11 +182,11 @@ def _sparse_scorer(qids, qmat, k: int, id_col: str, chunk: int = 256):
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
                 m = np.zeros((len(part), qmat.shape[1]))
-                lens = part["idx"].map(len).to_numpy()
+                idx, val = _sparse_parts(part)
+                lens = np.fromiter((len(x) for x in idx), dtype=np.int64, count=len(idx))
                 if lens.sum():
                     rows = np.repeat(np.arange(len(part)), lens)
-                    m[rows, np.concatenate(part["idx"].to_numpy())] = \
-                        np.concatenate(part["val"].to_numpy())
+                    m[rows, np.concatenate(idx).astype(np.int64)] = np.concatenate(val)
                 s = m @ qmat.T
                 kk = min(k, s.shape[0])
                 top = np.argpartition(-s, kk - 1, axis=0)[:kk]
@@ -186,8 +205,9 @@ def _sparse_scorer(qids, qmat, k: int, id_col: str, chunk: int = 256):
 def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "id",
                 query_id: str = "query_id", num_features: int = 1 << 12,
                 max_cells: int = 20_000_000) -> DataFrame:
-    """TX7 over sparse (idx, val) rows: per query the k corpus rows of
-    highest dot product (cosine for normalised rows).
+    """TX7 over sparse rows — (idx, val) arrays or an ML vector column
+    ``vec`` — per query the k corpus rows of highest dot product (cosine
+    for normalised rows).
 
     The query batch is densified to a (queries x num_features) matrix only
     up to ``max_cells`` values (160 MB of float64); a larger batch runs in
@@ -206,13 +226,14 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str =
                                query_id, num_features, max_cells=10 ** 18)
             out = part if out is None else out.unionByName(part)
         return out
-    qp = queries.select(F.col(query_id).alias("q"), "idx", "val").toPandas()
+    cols = ["vec"] if "vec" in queries.columns else ["idx", "val"]
+    qp = queries.select(F.col(query_id).alias("q"), *cols).toPandas()
     q_type = dict(queries.dtypes)[query_id]
     id_type = dict(corpus.dtypes)[id_col]
     if qp.empty:
         return spark.createDataFrame([], f"{query_id} {q_type}, {id_col} {id_type}, score double, rank int")
     qmat = np.zeros((len(qp), num_features))
-    for j, (ix, vv) in enumerate(zip(qp["idx"], qp["val"])):
+    for j, (ix, vv) in enumerate(zip(*_sparse_parts(qp))):
         qmat[j, np.asarray(ix, dtype=int)] = vv
     bq = spark.sparkContext.broadcast((qp["q"].to_numpy(), qmat))
 
@@ -220,7 +241,8 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str =
         ids, mat = bq.value
         yield from _sparse_scorer(ids, mat, k, id_col)(batches)
 
-    cand = corpus.select(id_col, "idx", "val").mapInPandas(
+    ccols = ["vec"] if "vec" in corpus.columns else ["idx", "val"]
+    cand = corpus.select(id_col, *ccols).mapInPandas(
         run, f"query_id {q_type}, {id_col} {id_type}, score double")
     top = top_k_per_group(cand, ["query_id"], [F.col("score").desc(), F.col(id_col)], k,
                           salt_cols=[id_col], buckets=16)

@@ -35,12 +35,10 @@ def cluster_texts(texts: DataFrame, n_clusters: int = 30, seed: int = 42, n_init
     seeded runs by training cost is kept.  Output: clean_desc, cluster_id.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
     uniq = texts.select("clean_desc").distinct()
-    feats, _ = text_features(uniq, "clean_desc", num_features)
-    feats = feats.withColumn("fv", array_to_vector("features")).select("clean_desc", "fv")
-    feats = feats.persist()
+    feats, _ = text_features(uniq, "clean_desc", num_features, out_col="fv", as_vector=True)
+    feats = feats.select("clean_desc", "fv").persist()
     k = min(n_clusters, feats.count())
     if k < 2:
         feats.unpersist()

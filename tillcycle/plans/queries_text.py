@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcycle.functions.text import COLOUR_PATTERN, PACK_PATTERN
-from tillcycle.operators.retrieval import chunk, sparse_topk, tfidf_sparse, vector_topk
+from tillcycle.operators.retrieval import chunk, sparse_topk, text_features, vector_topk
 from tillcycle.operators.taxonomy import build_dim_product, product_texts
 from tillcycle.plans.registry import register
 from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales, read_table
@@ -26,7 +26,7 @@ def q_clean(spark, d):
 
 @register("dim_product", "TX2 TX3 TX4 TX5 TX8 TX9 SO3 JO9 SC14")
 def q_dim_product(spark, d):
-    return build_dim_product(fact_sales(spark, d, country=False), n_clusters=30, n_init=3)
+    return build_dim_product(fact_sales(spark, d, country=False), n_clusters=30, n_init=10)
 
 
 CHUNK_SQL = """
@@ -85,13 +85,17 @@ def q_benchmark_retrieval(spark, d):
     # one long id per paragraph (doc_id * 2^20 + chunk_id); benchmark items negative
     corpus_text = docs.select((F.col("doc_id") * CHUNK_SPAN + F.col("chunk_id")).alias("id"), "text")
     bench = read_table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
-    both = tfidf_sparse(corpus_text.unionByName(bench), "id", "text")
-    corpus = both.where(F.col("id") >= 0)
-    queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "idx", "val")
-    top = sparse_topk(corpus, queries, k=3, id_col="id", query_id="item_id")
+    # JVM-side hashed TF -> IDF -> L2 (sparse ML vectors, no shuffle per token)
+    both, _ = text_features(corpus_text.unionByName(bench), "text", NUM_FEATURES, out_col="vec",
+                            as_vector=True)
+    corpus = both.where(F.col("id") >= 0).select("id", "vec")
+    queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "vec")
+    top = sparse_topk(corpus, queries, k=3, id_col="id", query_id="item_id",
+                      num_features=NUM_FEATURES)
     return top.select("item_id", F.floor(F.col("id") / CHUNK_SPAN).cast("long").alias("doc_id"),
                       F.pmod(F.col("id"), F.lit(CHUNK_SPAN)).cast("int").alias("chunk_id"),
                       F.round("score", 6).alias("score"), "rank")
 
 
 CHUNK_SPAN = 1 << 20
+NUM_FEATURES = 1 << 12
