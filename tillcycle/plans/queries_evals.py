@@ -16,6 +16,7 @@ from tillcycle.plans import derived as DV
 from tillcycle.plans.queries_cycle import BASE
 from tillcycle.plans.queries_forecast import backtest_sql, forecast_sql
 from tillcycle.plans.registry import register
+from tillcycle.session import cut_lineage
 from tillcycle.sources.tables import fact_sales
 
 KPI_SCHEMA = T.ArrayType(T.StructType([
@@ -206,16 +207,18 @@ def run_forecasts(t: dict, k_rank: int = 20, k_forecast: int = 5) -> dict:
     top = top_k_per_group(rev, ["run_id"], [F.col("total_revenue").desc(), F.col("stock_code")],
                           k_rank, salt_cols=["stock_code"]).where(F.col("rank") <= k_forecast)
     # <= k_forecast rows per run and one run per calendar month: a bounded broadcast
-    fkeys = F.broadcast(top.join(F.broadcast(runs.select("run_id", "as_of_date")), "run_id")
+    fkeys = cut_lineage(top.join(F.broadcast(runs.select("run_id", "as_of_date")), "run_id")
                         .select(*RUN_KEYS))
-    demand = daily_demand(facts, "stock_code")
-    dem = demand.join(fkeys, "stock_code").where(F.col("ds") <= F.col("as_of_date"))
+    demand = daily_demand(facts.join(F.broadcast(fkeys.select("stock_code").distinct()),
+                                     "stock_code", "left_semi"), "stock_code")
+    dem = demand.join(F.broadcast(fkeys), "stock_code").where(F.col("ds") <= F.col("as_of_date"))
     ok = forecastable(dem, RUN_KEYS, F.col("as_of_date"))
-    series = densify(dem.join(ok.select(*RUN_KEYS), RUN_KEYS, "left_semi"), RUN_KEYS,
-                     F.col("as_of_date"))
+    # forecast and backtest both read the series: written once
+    series = cut_lineage(densify(dem.join(ok.select(*RUN_KEYS), RUN_KEYS, "left_semi"), RUN_KEYS,
+                                 F.col("as_of_date")))
     fc = naive_forecast(series, RUN_KEYS, F.col("as_of_date"))
     bt = naive_backtest(series, RUN_KEYS, F.col("as_of_date"))
-    act = demand.join(fkeys, "stock_code").where(
+    act = demand.join(F.broadcast(fkeys), "stock_code").where(
         (F.col("ds") > F.col("as_of_date")) & (F.col("ds") <= F.date_add("as_of_date", 28)))
     return {"forecast": fc, "backtest": bt, "actuals": act}
 
