@@ -253,3 +253,22 @@ def q_gbt_brand(spark, d):
     from tillcycle.operators.boosted import forecast_all
     out = forecast_all(brand_series(spark, d), "brand", AS_OF, 28)
     return out["forecast"]
+
+
+@register("same_weekday_brand", "TS3 JO13", BRAND_SERIES + f""",
+tgt AS (SELECT DISTINCT brand, CAST({D_AS_OF} + CAST(r.i AS INTEGER) AS DATE) AS target
+        FROM series, range(1, 29) r(i)),
+lk AS (SELECT t.brand, t.target, w.w, s.y FROM tgt t, range(1, 5) w(w), series s
+       WHERE s.brand = t.brand AND s.ds = CAST(t.target - CAST(7 * w.w AS INTEGER) AS DATE))
+SELECT brand, target, CAST(ROW_NUMBER() OVER (PARTITION BY brand, target ORDER BY w) AS INTEGER) AS pos, y
+FROM lk""")
+def q_same_weekday_brand(spark, d):
+    """TS3/JO13: for each of the 28 days after as_of, the values 7/14/21/28
+    days earlier that exist in the key's series, most recent first."""
+    from pyspark.sql import functions as F
+    from tillcycle.operators.demand import same_weekday
+    series = brand_series(spark, d)
+    targets = series.select("brand").distinct().select(
+        "brand", F.explode(F.sequence(F.lit(1), F.lit(28))).alias("i")) \
+        .select("brand", F.date_add(F.lit(AS_OF).cast("date"), F.col("i")).alias("target"))
+    return same_weekday(series, "brand", targets, n_weeks=4)
