@@ -169,3 +169,29 @@ def test_forecast_reliability_verdicts(spark):
     use = {r.run_id: r.usable for r in EV.forecast_usable(bt).collect()}
     assert use == {"a": True, "b": False, "c": False}
     assert F is not None
+
+
+def test_factuality_first_column_quirk(spark):
+    stored = spark.createDataFrame(
+        [("run", "total_revenue", 12345.0, "total_kpis"), ("run", "total_orders", 40.0, "total_kpis"),
+         ("run", "return_rate", 0.25, "return_rate")], KPI)
+    recomputed = spark.createDataFrame([("run", "total_revenue", 12345.0), ("run", "total_orders", 40.0),
+                                        ("run", "return_rate", 0.25)], "run_id string, name string, value double")
+    first = spark.createDataFrame([("run", "total_kpis", 12345.0), ("run", "return_rate", 10.0)],
+                                  "run_id string, evidence string, value double")
+    n = spark.createDataFrame([("run", "")], "run_id string, narrative string")
+    fixed = EV.eval_factuality(stored, recomputed, n).collect()[0]
+    quirk = EV.eval_factuality(stored, recomputed, n, first_columns=first).collect()[0]
+    assert fixed.kpis_verified == 3
+    assert (quirk.kpis_verified, quirk.kpis_mismatched) == (1, 2)   # orders vs revenue, rate vs count
+
+
+def test_approx_customers_option(spark):
+    from tillcycle.operators.kpis import period_kpis
+    rows = [(str(i), dt.datetime(2011, 6, 1), "S", "d", 1, 1.0, str(i % 97), "UK", 1.0) for i in range(500)]
+    f = spark.createDataFrame(rows, "invoice_no string, invoice_date timestamp_ntz, stock_code string, "
+                                    "description string, quantity int, unit_price double, "
+                                    "customer_id string, country string, revenue double")
+    exact = {r.name: r.value for r in period_kpis(f, "2011-05-01", "2011-06-30").collect()}
+    approx = {r.name: r.value for r in period_kpis(f, "2011-05-01", "2011-06-30", approx=True).collect()}
+    assert exact["unique_customers"] == 97 and abs(approx["unique_customers"] - 97) <= 3

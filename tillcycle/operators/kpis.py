@@ -22,11 +22,15 @@ KPI_UNITS = [("total_revenue", "GBP"), ("total_orders", "orders"),
              ("return_rate", "ratio")]
 
 
-def grouped_kpis(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
+def grouped_kpis(facts: DataFrame, by: list[str] | None = None, approx: bool = False,
+                 rsd: float = 0.01) -> DataFrame:
     """The five KPIs per group ``by`` (no group: one set for the whole input).
 
     Output: *by, name, value, unit.  NULL aggregates become 0; the return
     rate divides by max(lines, 1) and is rounded to 4 places; money to 2.
+    ``approx`` counts distinct customers with HyperLogLog++ (relative
+    error ``rsd``) in one partial-aggregating pass instead of an exact
+    distinct (an option for very large periods; not the default).
     """
     by = list(by or [])
     # One pass over the lines: (invoice, customer) pairs with their sums.
@@ -61,20 +65,26 @@ def grouped_kpis(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
                "ratio", 4),
     )
     long_a = totals.select(*by, F.inline(metrics))
-    customers = pairs.select(*by, "customer_id").distinct().groupBy(*by) \
-        .agg(F.count(F.lit(1)).cast("double").alias("value")) \
+    if approx:
+        cust = pairs.groupBy(*by).agg(F.approx_count_distinct("customer_id", rsd)
+                                      .cast("double").alias("value"))
+    else:
+        cust = pairs.select(*by, "customer_id").distinct().groupBy(*by) \
+            .agg(F.count(F.lit(1)).cast("double").alias("value"))
+    customers = cust \
         .select(*by, F.lit("unique_customers").alias("name"), "value",
                 F.lit("customers").alias("unit"), F.lit(3).alias("ord"))
     return long_a.unionByName(customers)
 
 
-def period_kpis(visible: DataFrame, start, end, end_of_day: bool = False) -> DataFrame:
+def period_kpis(visible: DataFrame, start, end, end_of_day: bool = False,
+                approx: bool = False) -> DataFrame:
     """AG1 + AG4 + PR13 over ``[start, end]`` of the (as-of bounded) facts.
 
     Output: name, value, unit, period — five rows.
     """
     period = f"{start}/{end}"
-    out = grouped_kpis(in_period(visible, start, end, end_of_day))
+    out = grouped_kpis(in_period(visible, start, end, end_of_day), approx=approx)
     return out.select("name", "value", "unit", F.lit(period).alias("period"))
 
 

@@ -93,6 +93,21 @@ def run_kpis(facts: DataFrame, runs: DataFrame) -> DataFrame:
     return long_a.unionByName(long_b).join(F.broadcast(period), "run_id")
 
 
+def evidence_first_columns(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    """The first numeric column of each evidence query per run, as the
+    reference's factuality check reads it (quirk Q4): total revenue for the
+    'total_kpis' query, the return-line count for the 'return_rate' query.
+    Output: run_id, evidence, value."""
+    pre = facts.groupBy("invoice_date").agg(
+        F.sum("revenue").alias("rev"), F.count_if(F.col("quantity") < 0).alias("returns"))
+    per = assign_runs(pre, runs).groupBy("run_id").agg(
+        F.round(F.coalesce(F.sum("rev"), F.lit(0.0)), 2).alias("rev"),
+        F.sum("returns").cast("double").alias("returns"))
+    return per.select("run_id", F.inline(F.array(
+        F.struct(F.lit("total_kpis").alias("evidence"), F.col("rev").alias("value")),
+        F.struct(F.lit("return_rate").alias("evidence"), F.col("returns").alias("value")))))
+
+
 def grouped_kpis_from_totals(totals: DataFrame, by: list[str]) -> DataFrame:
     """Long KPI rows from pre-aggregated (rev, orders, lines, returns)."""
     rev = F.coalesce(F.col("rev"), F.lit(0.0))

@@ -298,3 +298,33 @@ def q_forecast_reliability(spark, d):
     rel = EV.forecast_reliability(bt, "run_id", 1.0)
     use = EV.forecast_usable(bt, "run_id", 0.5).select("run_id", "usable")
     return rel.join(use, "run_id")
+
+
+@register("eval_factuality_first_column", "EV1 EV3 Q4", BASE + """,
+rc AS (SELECT run_id, CAST(COUNT(*) FILTER (WHERE quantity < 0) AS DOUBLE) AS returns FROM rf GROUP BY run_id),
+fc AS (SELECT run_id, 'total_kpis' AS evidence, total_revenue AS value FROM kw
+       UNION ALL SELECT run_id, 'return_rate', returns FROM rc),
+chk AS (SELECT k.run_id, k.evidence,
+               CASE WHEN k.evidence IS NULL THEN 'no_evidence'
+                    WHEN fc.value IS NULL THEN 'not_recomputed'
+                    WHEN ABS(k.value - fc.value) / GREATEST(ABS(fc.value), 1e-9) <= 0.01 THEN 'verified'
+                    ELSE 'mismatch' END AS status
+        FROM kpis k LEFT JOIN fc ON k.run_id = fc.run_id AND k.evidence = fc.evidence)
+SELECT run_id, COUNT(*) AS total_kpis, COUNT(*) FILTER (WHERE status <> 'no_evidence') AS kpis_with_evidence,
+       COUNT(*) FILTER (WHERE status = 'verified') AS kpis_verified,
+       COUNT(*) FILTER (WHERE status = 'mismatch') AS kpis_mismatched,
+       ROUND(CASE WHEN COUNT(*) FILTER (WHERE status <> 'no_evidence') = 0 THEN 1.0
+                  ELSE COUNT(*) FILTER (WHERE status = 'verified') / COUNT(*) FILTER (WHERE status <> 'no_evidence') END, 6)
+         AS factuality_score
+FROM chk GROUP BY run_id""")
+def q_eval_factuality_first_column(spark, d):
+    """The reference's factuality check as written (quirk Q4): each KPI is
+    compared with the first numeric column of its evidence query."""
+    t = run_tables(spark, d)
+    latest = AR.latest_artifacts(stored_artifacts(t, ("analyst_report",)), ["analyst_report"])
+    stored, narr = stored_kpis_from(latest)
+    first = DV.evidence_first_columns(t["facts"], t["runs"])
+    out = EV.eval_factuality(stored, stored.select("run_id", "name", "value"), narr,
+                             first_columns=first)
+    return out.select("run_id", "total_kpis", "kpis_with_evidence", "kpis_verified",
+                      "kpis_mismatched", "factuality_score")
