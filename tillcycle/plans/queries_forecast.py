@@ -272,3 +272,26 @@ def q_same_weekday_brand(spark, d):
         "brand", F.explode(F.sequence(F.lit(1), F.lit(28))).alias("i")) \
         .select("brand", F.date_add(F.lit(AS_OF).cast("date"), F.col("i")).alias("target"))
     return same_weekday(series, "brand", targets, n_weeks=4)
+
+
+# ------------------------------------------------------------ whole catalogue
+def all_sku_series(spark, d):
+    """Every SKU with >= 14 sale days up to as_of, densified (all keys in one plan)."""
+    vis = visible_facts(spark, d, description=False, country=False, customer=False)
+    dem = daily_demand(vis, "stock_code")
+    keys = forecastable(dem, "stock_code", AS_OF)
+    return densify(dem.join(keys.select("stock_code"), "stock_code", "left_semi"),
+                   "stock_code", AS_OF)
+
+
+ALL_SKU_SERIES = PREFIX + _series_sql("stock_code", "stock_code")
+
+
+@register("naive_forecast_all_skus", "TS1 TS2 TS4 TS5 FI9", _forecast_sql(ALL_SKU_SERIES, "stock_code"))
+def q_naive_all(spark, d):
+    return naive_forecast(all_sku_series(spark, d), "stock_code", AS_OF, 28)
+
+
+@register("naive_backtest_all_skus", "TS1 TS2 TS6 FI9", _backtest_sql(ALL_SKU_SERIES, "stock_code"))
+def q_backtest_all(spark, d):
+    return naive_backtest(all_sku_series(spark, d), "stock_code", AS_OF)
