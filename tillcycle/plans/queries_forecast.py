@@ -267,7 +267,8 @@ def q_same_weekday_brand(spark, d):
     days earlier that exist in the key's series, most recent first."""
     from pyspark.sql import functions as F
     from tillcycle.operators.demand import same_weekday
-    series = brand_series(spark, d)
+    from tillcycle.session import cut_lineage
+    series = cut_lineage(brand_series(spark, d))   # read twice below: written once
     targets = series.select("brand").distinct().select(
         "brand", F.explode(F.sequence(F.lit(1), F.lit(28))).alias("i")) \
         .select("brand", F.date_add(F.lit(AS_OF).cast("date"), F.col("i")).alias("target"))
