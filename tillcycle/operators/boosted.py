@@ -80,6 +80,8 @@ def fit_boosted(features: DataFrame, key, holdout: int = 28, params: dict | None
         F.avg(F.when(test & (F.col("y") > 0), F.abs(e) / F.col("y"))).alias("mape"),
         F.sqrt(F.avg(F.when(test, e * e))).alias("rmse"),
         F.stddev_pop(F.when(~test, e)).alias("residual_std"))
+    m = cut_lineage(m)          # one row per key, written; the training cache can go
+    data.unpersist()
     return model, m
 
 
@@ -158,9 +160,9 @@ def forecast_all(series: DataFrame, key, as_of, horizon: int = 28,
     """
     ks = key_list(key)
     # the series feeds statistics, features, both models and the recursion:
-    # one row per key-day, bounded by keys x calendar days
-    series = series.persist()
-    stats = series_stats(series, ks).persist()
+    # one row per key-day (bounded by keys x calendar days), written once
+    series = cut_lineage(series)
+    stats = cut_lineage(series_stats(series, ks))
     tree_keys = stats.where(F.col("model") == "gbt").select(*ks)
     naive_keys = stats.where(F.col("model") != "gbt").select(*ks)
     tree_series = series.join(tree_keys, ks, "left_semi")

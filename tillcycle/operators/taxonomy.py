@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tillcycle.functions.text import clean_description
 from tillcycle.functions.topk import top_k_per_group
 from tillcycle.operators.retrieval import text_features
+from tillcycle.session import cut_lineage
 
 DIM_PRODUCT_COLUMNS = ["stock_code", "canonical_description", "category_id", "category_name",
                        "cluster_id", "taxonomy_version"]
@@ -50,7 +51,9 @@ def cluster_texts(texts: DataFrame, n_clusters: int = 30, seed: int = 42, n_init
         cost = model.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, model)
-    out = best[1].transform(feats).select("clean_desc", F.col("cluster_id").cast("int"))
+    out = cut_lineage(best[1].transform(feats).select("clean_desc",
+                                                      F.col("cluster_id").cast("int")))
+    feats.unpersist()
     return out
 
 
