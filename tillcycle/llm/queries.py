@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillcycle.llm import source_mix
+from tillcycle.llm import line_dedup, line_quality, packing, simhash_dedup, source_mix, url_templates
 from tillcycle.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,38 @@ def query(name: str, sql: str | None = None):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_line_quality", line_quality.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_url_templates", url_templates.sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document of its id: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").where("quality is not null or toxic is not null").select(
+        F.col("doc_id").alias("page_id"),
+        (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    return url_templates.judge(table(spark, sf_dir, "pages"), labels).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_line_dedup", line_dedup.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.coalesce(F.col("kept_text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_simhash_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
