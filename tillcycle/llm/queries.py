@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcycle.llm import bwt_dedup, line_dedup, line_quality, packing, reply_trees, simhash_dedup, source_mix, url_templates
+from tillcycle.llm import balltree_topk, bwt_dedup, line_dedup, line_quality, packing, reply_trees, simhash_dedup, source_mix, url_templates
 from tillcycle.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], rows.schema))
     out = reply_trees.read_back(reply_trees.format_trees(reply_trees.of_conversations(rows)))
     return out.withColumnRenamed("tree", "conv_id")
+
+
+@query("op1_balltree_topk", balltree_topk.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
