@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcycle.llm import balltree_topk, bwt_dedup, line_dedup, line_quality, packing, reply_trees, simhash_dedup, source_mix, url_templates
+from tillcycle.llm import balltree_topk, bwt_dedup, langid, line_dedup, line_quality, packing, reply_trees, simhash_dedup, source_mix, url_templates
 from tillcycle.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_balltree_topk", balltree_topk.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_langid")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
