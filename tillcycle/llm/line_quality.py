@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import WORD, ascii_lower
+from tillcycle.llm.common import WORD, ascii_lower, written
 from tillcycle.llm.source_mix import source_key
 
 MIN_DOCS, SHARE, MIN_LEFT_PCT = 10, 0.005, 30
@@ -89,10 +89,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
                     ((F.col("n") < 50) | (F.col("n_repeat_words") * 100 > F.col("n") * 50)).alias("base_failed"))
 
 
-def judge(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, **limits) -> DataFrame:
+def judge(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, removed: DataFrame | None = None,
+          **limits) -> DataFrame:
     """One row per input row: the base counts, words_left and the verdict `kept`."""
-    gone = removed_lines(docs, **limits).groupBy("doc_id", "body").agg(F.sum("words").alias("gone")).alias("g")
-    base = base_rules(docs).alias("d")
+    gone = (removed_lines(docs, **limits) if removed is None else removed).groupBy("doc_id", "body").agg(F.sum("words").alias("gone")).alias("g")
+    # written: a filter on the verdict must not be pushed into, and repeat, the array work
+    base = written(base_rules(docs), "base").alias("d")
     out = base.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.body") == F.col("g.body")),
                     "left")
     out = out.select("d.*", (F.col("d.n_words") - F.coalesce(F.col("g.gone"), F.lit(0))).alias("words_left"))
@@ -103,9 +105,9 @@ def judge(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, **limits) -> DataFr
 def clean(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, **limits) -> DataFrame:
     """The kept documents, all columns, without the lines above the limits; `n_chars`, if
     there, follows the text."""
-    kept = judge(docs, min_left_pct, **limits).where("kept").select("doc_id", "body").distinct()
-    gone = (removed_lines(docs, **limits).groupBy("doc_id", "body")
-            .agg(F.collect_set("pos").alias("__gone")))
+    removed = written(removed_lines(docs, **limits), "removed")
+    kept = judge(docs, min_left_pct, removed).where("kept").select("doc_id", "body").distinct()
+    gone = removed.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("__gone"))
     verdict = kept.join(gone, kept["doc_id"].eqNullSafe(gone["doc_id"]) & (kept["body"] == gone["body"]), "left") \
         .select(kept["doc_id"].alias("__id"), kept["body"].alias("__body"), "__gone")
     rows = docs.withColumn("__own", F.xxhash64(F.lit(1), "source", "text"))
@@ -121,14 +123,18 @@ def clean(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, **limits) -> DataFr
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
                   CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS host FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM d),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM
           (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win WHERE c > 1) GROUP BY doc_id),
 raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
-ln AS (SELECT doc_id, host, line, lower_ascii AS norm, len(regexp_extract_all(line, '[^ 	-]+')) AS words
-       FROM (SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', ''),
+ln AS (SELECT doc_id, host, line, lower_ascii AS norm, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words
+       FROM (SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-
+]+', ''), '[ 	-
+]+$', ''),
                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM raw)
        WHERE lower_ascii <> ''),
 hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),

@@ -99,11 +99,11 @@ def mix(docs: DataFrame, total_share: float = 1.5, max_repeat: float = 2.0,
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns as given.
 
-    Documents with the same doc_id are repeated by the copies of that id's first row."""
-    copies = mix(docs, **kw).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    keyed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
+    Rows with the same doc_id are all repeated by the most copies any of them gets."""
+    copies = (mix(docs, **kw).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")))
+    keyed = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return (keyed.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-            .drop("__i", "__copies"))
+            .select(*docs.columns))
 
 
 SQL = """
