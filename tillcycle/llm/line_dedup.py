@@ -39,6 +39,7 @@ from tillcycle.llm.cuckoo import CuckooFilter
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS, KEYS_PER_SHARD = 20, 3, 200_000
+_NOBODY = -(1 << 63)  # keeper of a line that only documents without id hold
 _REFS = "shard int, k1 long, k2 long, refs long, keeper long"
 
 
@@ -80,17 +81,18 @@ def _apply_shard(key, change: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame
         known["k1"].to_numpy(), known["k2"].to_numpy(), len(change))
     maybe = filt.contains(change["k1"].to_numpy("int64"), change["k2"].to_numpy("int64"))
     surely_new, looked_up = change[~maybe], change[maybe]
-    refs = known[["k1", "k2", "refs", "keeper"]].merge(looked_up, "outer", on=["k1", "k2"], suffixes=("", "_c"),
-                                                       indicator=True) if len(looked_up) else None
-    if refs is None:
-        merged, fresh = known[["k1", "k2", "refs", "keeper"]], surely_new
+    known = known[["k1", "k2", "refs", "keeper"]]
+    if not len(looked_up):
+        merged, fresh = known, surely_new
     else:
+        # nullable integers, so that an outer join keeps all 64 bits
+        refs = known.astype("Int64").merge(looked_up.astype("Int64"), "outer", on=["k1", "k2"], suffixes=("", "_c"),
+                                           indicator=True)
         touched = refs["_merge"] != "left_only"
-        old = refs["refs"].fillna(0).astype("int64")
-        new = refs["refs_c"].fillna(0).astype("int64")
+        old, new = refs["refs"].fillna(0), refs["refs_c"].fillna(0)
         refs["refs"] = np.where(touched, new if absolute else old + new, old)
-        keeper = refs["keeper_c"] if absolute else refs[["keeper", "keeper_c"]].max(axis=1)
-        refs["keeper"] = refs["keeper"].where(~touched, keeper)
+        keeper, keeper_c = refs["keeper"].fillna(_NOBODY), refs["keeper_c"].fillna(_NOBODY)
+        refs["keeper"] = np.where(touched, keeper_c if absolute else np.maximum(keeper, keeper_c), keeper)
         fresh = pd.concat([surely_new, refs.loc[(refs["_merge"] == "right_only") & (refs["refs"] > 0),
                                                 ["k1", "k2", "refs", "keeper"]]])
         dead = refs[(refs["refs"] <= 0) & (refs["_merge"] == "both")]
@@ -99,13 +101,9 @@ def _apply_shard(key, change: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame
     out = pd.concat([merged, fresh[fresh["refs"] > 0]], ignore_index=True)
     if not filt.add(fresh["k1"].to_numpy("int64"), fresh["k2"].to_numpy("int64")):
         filt = CuckooFilter.built(out["k1"].to_numpy("int64"), out["k2"].to_numpy("int64"), 2 * len(out))
-    out = pd.DataFrame({"k1": out["k1"].astype("Int64"), "k2": out["k2"].astype("Int64"),
-                        "refs": out["refs"].astype("Int64"), "keeper": out["keeper"].astype("Int64"),
-                        "filter": None})
-    row = pd.DataFrame({"k1": pd.array([None], "Int64"), "k2": pd.array([None], "Int64"),
-                        "refs": pd.array([None], "Int64"), "keeper": pd.array([None], "Int64"),
-                        "filter": [filt.dumps()]})
-    out = pd.concat([out, row], ignore_index=True)
+    out = out.astype("int64").assign(filter=None)
+    out = pd.concat([out, pd.DataFrame({"k1": [0], "k2": [0], "refs": [0], "keeper": [0], "filter": [filt.dumps()]})],
+                    ignore_index=True)
     out.insert(0, "shard", shard)
     return out
 
@@ -134,14 +132,14 @@ class LineDedup:
         return out
 
     def _change(self, change: DataFrame, absolute: bool) -> None:
-        change = change.select(self._shard(), "k1", "k2", "refs", "keeper", F.lit(absolute).alias("absolute"))
-        old = (self.refs.withColumn("filter", F.lit(None).cast("binary")).unionByName(self.filters, True)
-               if self.generation > 1 else
-               self.spark.createDataFrame([], _REFS + ", filter binary"))
+        change = change.select(self._shard(), "k1", "k2", "refs",
+                               F.coalesce("keeper", F.lit(_NOBODY)).alias("keeper"), F.lit(absolute).alias("absolute"))
+        old = self.state if self.generation > 1 else self.spark.createDataFrame([], _REFS + ", filter binary")
         new = change.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(
             _apply_shard, _REFS + ", filter binary")
-        new = self._write(new, "shards")
-        self.refs = new.where("filter is null").select("shard", "k1", "k2", "refs", "keeper")
+        self.state = new = self._write(new, "shards")
+        keeper = F.when(F.col("keeper") != _NOBODY, F.col("keeper")).alias("keeper")
+        self.refs = new.where("filter is null").select("shard", "k1", "k2", "refs", keeper)
         self.filters = new.where("filter is not null").select("shard", "filter")
 
     def insert(self, docs: DataFrame) -> LineDedup:
