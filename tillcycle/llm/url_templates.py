@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import ascii_lower
+from tillcycle.llm.common import ascii_lower, written
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
@@ -62,8 +62,9 @@ def templates(pages: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHIL
     keys = ["host"]
     for i in range(1, depth + 1):
         s = f"s{i}"
-        df = df.withColumn(s, F.get("seg", F.lit(i - 1)))
-        seen = df.where(F.col(s).isNotNull()).groupBy(*keys, s).agg(F.count(F.lit(1)).alias("n"))
+        # written level by level: each level reads the one before several times
+        df = written(df.withColumn(s, F.get("seg", F.lit(i - 1))), f"level{i}")
+        seen = written(df.where(F.col(s).isNotNull()).groupBy(*keys, s).agg(F.count(F.lit(1)).alias("n")), f"seen{i}")
         node = seen.groupBy(*keys).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"))
         shapes = (seen.select(*keys, _shape(F.col(s)).alias("shape")).distinct()
                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("shapes")))
@@ -117,11 +118,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH,
     known = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")).alias("k")
     p = (p.alias("p").join(known, F.col("p.page_id") == F.col("k.page_id"), "left")
          .select("p.*", F.col("k.bad").alias("bad")))
-    p = templates(p, depth, **tree)
+    p = written(templates(p, depth, **tree), "templates")
     levels = [f"t{i}" for i in range(1, depth + 1)]
     stats = p.groupBy("host", *levels).agg(F.count("bad").alias("labelled"),
                                            F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    share = purity(stats, depth).alias("q")
+    share = written(purity(stats, depth), "purity").alias("q")
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in ("host", *levels)]
     p = p.alias("p").join(share, on).select("p.*", "q.bad_share")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
