@@ -39,60 +39,48 @@ def test_regulated_reorder_200_held_for_ops_manager(spark):
         ("hold_for_approval", "operations_manager", "critical")
 
 
-def oracle(typ, code, cat, qty, urg, profile):
-    """Independent plain-Python statement of the rules."""
-    fam = {"restock": "inventory", "reorder": "inventory", "markdown": "pricing",
-           "promo": "pricing", "staffing": "operations", "audit_returns": "quality"}.get(typ, "manual_review")
-    q = qty or 0
-    hi = urg == "high"
-    tgt = bool((code or "").strip() or (cat or "").strip())
-    if fam == "inventory":
-        if q > 500:
-            risk, role, state = "critical", "director", "hold_for_approval"
-        elif q > 100 or hi:
-            risk, role, state = "high", "operations_manager", "hold_for_approval"
-        else:
-            risk, role, state = "medium", "none", "auto_release"
-    elif fam == "pricing":
-        risk, role, state = "high", ("operations_manager" if hi else "category_manager"), "hold_for_approval"
-    elif fam == "operations":
-        risk, role, state = "high", "operations_manager", "hold_for_approval"
-    elif fam == "quality":
-        risk, role, state = "low", "none", "auto_release"
-    else:
-        risk, role, state = "critical", "manual_review_board", "blocked"
-    if fam in ("inventory", "pricing", "quality") and not tgt:
-        risk, role, state = "critical", "manual_review_board", "blocked"
-    if profile == "regulated":
-        ladder = ["low", "medium", "high", "critical"]
-        if fam in ("inventory", "pricing", "operations"):
-            risk = ladder[min(ladder.index(risk) + 1, 3)]
-        if typ in ("markdown", "promo", "staffing") and state != "blocked":
-            state, role = "hold_for_approval", "operations_manager"
-        elif fam == "inventory":
-            if q <= 100 and not hi and tgt:
-                role, state = "none", "auto_release"
-            elif state != "blocked":
-                role, state = ("operations_manager" if q <= 500 else "director"), "hold_for_approval"
-        elif fam == "quality" and state != "blocked":
-            risk = "medium"
-    return fam, risk, role, state
+INVENTORY, PRICING = ("restock", "reorder"), ("markdown", "promo")
+AUTO, HOLD, STOP = "auto_release", "hold_for_approval", "blocked"
+OPS, BOARD = "operations_manager", "manual_review_board"
+# Expected (risk, role, state) of targeted actions: type group, quantity band, urgent -> standard, regulated.
+# Bands: up to 100 units (or none given), up to 500, beyond.
+EXPECTED = [
+    (INVENTORY, "small", False, ("medium", "none", AUTO), ("high", "none", AUTO)),
+    (INVENTORY, "small", True, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (INVENTORY, "medium", False, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (INVENTORY, "medium", True, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (INVENTORY, "large", False, ("critical", "director", HOLD), ("critical", "director", HOLD)),
+    (INVENTORY, "large", True, ("critical", "director", HOLD), ("critical", "director", HOLD)),
+    (PRICING, "any", False, ("high", "category_manager", HOLD), ("critical", OPS, HOLD)),
+    (PRICING, "any", True, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (("staffing",), "any", False, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (("staffing",), "any", True, ("high", OPS, HOLD), ("critical", OPS, HOLD)),
+    (("audit_returns",), "any", False, ("low", "none", AUTO), ("medium", "none", AUTO)),
+    (("audit_returns",), "any", True, ("low", "none", AUTO), ("medium", "none", AUTO)),
+    (("other",), "any", False, ("critical", BOARD, STOP), ("critical", BOARD, STOP)),
+    (("other",), "any", True, ("critical", BOARD, STOP), ("critical", BOARD, STOP)),
+]
+FAMILY = {"restock": "inventory", "reorder": "inventory", "markdown": "pricing", "promo": "pricing",
+          "staffing": "operations", "audit_returns": "quality", "other": "manual_review"}
+BAND = {None: "small", 0.0: "small", 100.0: "small", 101.0: "medium", 500.0: "medium", 501.0: "large"}
 
 
 def test_control_grid(spark):
-    types = ["restock", "reorder", "markdown", "promo", "staffing", "audit_returns", "other"]
-    urg = ["low", "medium", "high"]
-    qtys = [None, 0.0, 100.0, 101.0, 500.0, 501.0]
-    targets = [("SKU9", None), (None, None), (None, "cat"), ("  ", None)]
-    profiles = ["standard", "regulated"]
-    rows = []
-    for i, (t, u, q, (c, k), p) in enumerate(itertools.product(types, urg, qtys, targets, profiles)):
-        rows.append(("r", f"a{i}", t, c, k, "d", q, u, "", p))
+    targets = [("SKU9", None, True), (None, "cat", True), (None, None, False), ("  ", None, False)]
+    rows, want = [], {}
+    for types, band, urgent, standard, regulated in EXPECTED:
+        cells = itertools.product(types, [q for q, b in BAND.items() if band in (b, "any")],
+                                  ["high"] if urgent else ["low", "medium"], targets,
+                                  [("standard", standard), ("regulated", regulated)])
+        for t, q, u, (code, cat, targeted), (profile, outcome) in cells:
+            i = f"a{len(rows)}"
+            rows.append(("r", i, t, code, cat, "d", q, u, "", profile))
+            # without a target only staffing is reviewed as usual
+            want[i] = (FAMILY[t], *(outcome if targeted or t == "staffing" else ("critical", BOARD, STOP)))
+    assert len(rows) == 7 * 3 * 6 * 4 * 2
     got = {r.action_id: (r.control_family, r.risk_tier, r.approval_role, r.execution_state)
            for r in CR.review_actions(_actions(spark, rows)).collect()}
-    assert len(got) == len(rows) == 7 * 3 * 6 * 4 * 2
-    for r in rows:
-        assert got[r[1]] == oracle(r[2], r[3], r[4], r[6], r[7], r[9]), r
+    assert got == want
 
 
 def test_summary_and_executable(spark):

@@ -1,11 +1,12 @@
 """Text cleaning, chunking, retrieval against numpy brute force, top-k helper."""
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillcycle.functions.text import clean_description, l2_normalize
 from tillcycle.functions.topk import top_k_per_group
-from tillcycle.operators.retrieval import chunk, vector_topk
+from tillcycle.operators.retrieval import chunk, read_documents, terms_topk, tfidf_terms, vector_topk
 from tillcycle.operators.taxonomy import build_dim_product
 
 
@@ -40,9 +41,19 @@ def test_vector_topk_matches_numpy(spark):
         g = sorted((r for r in got if r.query_id == 100 + j), key=lambda r: r["rank"])
         assert [r.vec_id for r in g] == exp
         assert np.allclose([r.score for r in g], s[exp, j])
-    # slices: the same answer when the query batch exceeds the broadcast bound
-    sliced = vector_topk(cdf, qdf, k=4, max_broadcast=3).collect()
-    assert sorted((r.query_id, r.vec_id) for r in sliced) == sorted((r.query_id, r.vec_id) for r in got)
+    # other shards and blocks give the same answer
+    dealt = vector_topk(cdf, qdf, k=4, shards=7, blocks=3).collect()
+    assert sorted(map(tuple, dealt)) == sorted(map(tuple, got))
+
+
+def test_equal_vectors_tie_by_id_in_any_input_order(spark):
+    rows = [(i, [0.6, 0.8]) for i in range(40)] + [(40, [1.0, 0.0]), (41, None)]
+    queries = spark.createDataFrame([("a", [0.6, 0.8]), ("b", None)], "query_id string, embedding array<double>")
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = vector_topk(df, queries, k=3, shards=4).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2)]
+    assert vector_topk(df.where("false"), queries).count() == 0
 
 
 def test_l2_normalize(spark):
@@ -77,30 +88,32 @@ def test_dim_product_one_row_per_sku(spark):
     assert all(r.category_name for r in dim) and all(r.taxonomy_version == "v1" for r in dim)
 
 
-def test_sparse_tfidf_and_topk_match_numpy(spark):
-    from tillcycle.operators.retrieval import sparse_topk, tfidf_sparse
+def test_terms_keep_every_letter_and_rank_by_cosine(spark):
     texts = ["red widget sale today", "blue widget clearance", "red red gear", "hot plate deal",
-             "widget widget widget", "cold rod and hot plate", "", "gear sale"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    tf = tfidf_sparse(df, "id", "text", num_features=64).collect()
+             "widget widget widget", "été über niño widget", "", "gear sale", "gear sale"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = tfidf_terms(df, "id").collect()
     vec = {}
-    for r in tf:
-        v = np.zeros(64)
-        v[r.idx] = r.val
-        vec[r.id] = v
-        assert abs(np.linalg.norm(v) - 1) < 1e-6
-    assert 6 not in vec                      # an empty text has no terms
-    corpus = spark.createDataFrame([(r.id, r.idx, r.val) for r in tf if r.id >= 2],
-                                   "id long, idx array<int>, val array<double>").repartition(3)
-    queries = spark.createDataFrame([(r.id, r.idx, r.val) for r in tf if r.id < 2],
-                                    "query_id long, idx array<int>, val array<double>")
-    got = sparse_topk(corpus, queries, k=2, num_features=64).collect()
-    ids = sorted(i for i in vec if i >= 2)
+    for r in rows:
+        vec.setdefault(r.id, {})[r.term] = r.w
+    assert set(vec[5]) == {"été", "über", "niño", "widget"} and 6 not in vec
+    assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-6 for v in vec.values())
+    n_with = sum("gear" in t.split() for t in texts)
+    assert vec[2]["red"] / vec[2]["gear"] == pytest.approx(2 * np.log(10 / 3) / np.log(10 / (n_with + 1)))
+    both = spark.createDataFrame(rows).repartition(3)
+    got = terms_topk(both.where("id >= 2"), both.where("id < 2").withColumnRenamed("id", "query_id"), k=3).collect()
     for q in (0, 1):
-        s = np.array([vec[i] @ vec[q] for i in ids])
-        order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))[:2]
-        g = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        assert [r.id for r in g] == [ids[j] for j in order]
-        assert np.allclose([r.score for r in g], [s[j] for j in order])
-    sliced = sparse_topk(corpus, queries, k=2, num_features=64, max_cells=64).collect()
-    assert sorted((r.query_id, r.id) for r in sliced) == sorted((r.query_id, r.id) for r in got)
+        dot = {i: sum(w * vec[i].get(t, 0.0) for t, w in vec[q].items()) for i in vec if i >= 2}
+        want = sorted((i for i in dot if dot[i] > 0), key=lambda i: (-round(dot[i], 9), i))[:3]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.id for r in mine] == want
+        assert np.allclose([r.score for r in mine], [dot[i] for i in want])
+
+
+def test_read_documents(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("One.\n\nTwo é", encoding="utf-8")
+    (tmp_path / "sub" / "b.md").write_text("Three", encoding="utf-8")
+    (tmp_path / "c.txt").write_text("not read")
+    got = {r.source: r.text for r in read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "One.\n\nTwo é", "sub/b.md": "Three"}

@@ -32,7 +32,3 @@ def l2_normalize(vec: Column, eps: float = 1e-9) -> Column:
     v = vec.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(v, lambda x: x / (norm + eps))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -24,7 +24,9 @@ from tillcycle.operators.features import build_features, split_holdout
 from tillcycle.operators.naive import naive_backtest, naive_forecast
 from tillcycle.session import cut_lineage
 
-ROWS_PER_PARTITION = 200_000
+#: Partitions of the training rows: keys are dealt by hash to this many, whatever the session's
+#: settings, since row sampling is seeded per partition.  Raise it with the number of keys.
+FIT_PARTITIONS = 8
 SCALED = ["lag_7", "lag_14", "lag_28", "rolling_mean_7", "rolling_mean_14", "rolling_std_7"]
 
 # Reference hyper-parameters (300 trees, rate 0.05, 15 leaves ~ depth 4,
@@ -42,7 +44,8 @@ def _assembled(df: DataFrame) -> DataFrame:
     return va.transform(x).drop(*[f"_f_{i}" for i in range(len(cols))])
 
 
-def fit_boosted(features: DataFrame, key, holdout: int = 28, params: dict | None = None):
+def fit_boosted(features: DataFrame, key, holdout: int = 28, params: dict | None = None,
+                partitions: int = FIT_PARTITIONS):
     """TS12-TS15: fit on all but each key's last ``holdout`` feature rows.
 
     Returns (model, metrics) with metrics: *key, level, mape, rmse,
@@ -57,17 +60,11 @@ def fit_boosted(features: DataFrame, key, holdout: int = 28, params: dict | None
     lv = lv.select(*ks, F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0)).alias("level"))
     f = f.join(lv, ks)
     data = _assembled(f).withColumn("label", F.col("y") / F.col("level"))
-    # Size the training partitions to the data: each boosting round runs a
-    # few jobs over every partition, so tiny inputs spread over many
-    # partitions pay scheduling per round for nothing; large inputs keep
-    # about ROWS_PER_PARTITION rows per task.
-    n = data.count()
-    if n == 0:
-        return None, None
-    parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
-    data = data.coalesce(parts).persist()
+    # The same rows in the same order in the same partitions on every run: the model must not
+    # depend on how many tasks the session happens to use.
+    data = data.repartition(partitions, *ks).sortWithinPartitions(*ks, "ds").persist()
     train = data.where(~F.col("is_test"))
-    if train.limit(1).count() == 0:
+    if train.isEmpty():
         data.unpersist()
         return None, None
     model = GBTRegressor(featuresCol="fv", labelCol="label", predictionCol="p",

@@ -6,7 +6,7 @@ so any number of runs and actions are reviewed in one narrow projection
 (no shuffle).  The rules are applied in the reference's order; a later
 rule overwrites what an earlier one set.
 
-Reasons are short codes (one per rule that fired, in firing order).
+Reasons are the report's sentences (one per rule that fired, in firing order).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillcycle.session import bounded_broadcast
+
 # Control families per action type, risk ladder, and the
 # policy controls cited for each action type (source document, control id).
 FAMILY = {"restock": "inventory", "reorder": "inventory", "markdown": "pricing",
@@ -34,6 +36,30 @@ POLICY_CITATIONS = [
     ("other", "sop_agent_change_control.md", "REG_NON_STANDARD_BLOCK"),
 ]
 
+# What each control says.
+CONTROL_SUMMARIES = {
+    "RESTOCK_APPROVAL": "Large replenishment orders require manager or director sign-off.",
+    "REG_INV_RELEASE": "Only low-risk targeted inventory changes may auto-release.",
+    "MARKDOWN_APPROVAL": "Customer-facing markdowns require approval based on discount tier.",
+    "REG_PRICE_REVIEW": "Customer-facing price changes require human approval before release.",
+    "REG_STAFF_REVIEW": "Staffing changes are operational changes and require human approval.",
+    "REG_QA_ALLOWED": "Investigative quality checks may auto-release when targeted and low impact.",
+    "REG_NON_STANDARD_BLOCK": "Non-standard actions are blocked until human review defines the procedure.",
+}
+# The sentence of each review rule.
+INV_DIRECTOR = "Large inventory movement exceeds the director review threshold."
+INV_WINDOW = "Inventory change exceeds the low-risk release window."
+INV_LOW = "Targeted, low-volume inventory change is eligible for auto-release."
+PRICE_HUMAN = "Customer-facing pricing changes require a human approval step."
+PRICE_URGENT = "High-urgency pricing changes escalate to operations manager review."
+STAFF_HUMAN = "Staffing changes are operational changes and require human review."
+QUALITY_FREE = "Investigative quality checks may be released automatically."
+OTHER_BLOCKED = "Non-standard action types are blocked until a human defines the procedure."
+NO_TARGET = "Action lacks an explicit stock_code or category target."
+REGULATED = "Regulated profile applies stricter release thresholds."
+REG_INV_LOW = "Targeted inventory change remains within regulated low-risk limits."
+REG_QUALITY = "Quality investigations remain executable but are tracked more closely."
+
 HOLD, AUTO, BLOCKED = "hold_for_approval", "auto_release", "blocked"
 
 
@@ -79,24 +105,24 @@ def review_actions(actions: DataFrame, profile_col: str = "control_profile") ->
         .otherwise("manual_review_board")
     state = F.when(inv, F.when(big | mid, HOLD).otherwise(AUTO)) \
         .when(pricing | staffing, HOLD).when(quality, AUTO).otherwise(BLOCKED)
-    r_base = F.when(inv, F.when(big, "inventory_over_director_threshold")
-                    .when(mid, "inventory_outside_low_risk_window")
-                    .otherwise("inventory_low_volume_targeted")) \
-        .when(pricing, "pricing_needs_approval").when(staffing, "staffing_needs_review") \
-        .when(quality, "quality_check_releasable").otherwise("non_standard_type_blocked")
-    r_pricing_high = F.when(pricing & high, "pricing_high_urgency_escalated")
+    r_base = F.when(inv, F.when(big, INV_DIRECTOR)
+                    .when(mid, INV_WINDOW)
+                    .otherwise(INV_LOW)) \
+        .when(pricing, PRICE_HUMAN).when(staffing, STAFF_HUMAN) \
+        .when(quality, QUALITY_FREE).otherwise(OTHER_BLOCKED)
+    r_pricing_high = F.when(pricing & high, PRICE_URGENT)
 
     # CR7: targetable families without a target are blocked
     untargeted = fam.isin("inventory", "pricing", "quality") & ~targeted
     risk = F.when(untargeted, "critical").otherwise(risk)
     role = F.when(untargeted, "manual_review_board").otherwise(role)
     state = F.when(untargeted, BLOCKED).otherwise(state)
-    r_target = F.when(untargeted, "missing_explicit_target")
+    r_target = F.when(untargeted, NO_TARGET)
 
     # CR8-CR11: the regulated profile
     reg = F.col(profile_col) == "regulated"
     risk = F.when(reg & fam.isin("inventory", "pricing", "operations"), _raise(risk)).otherwise(risk)
-    r_reg = F.when(reg, "regulated_profile")
+    r_reg = F.when(reg, REGULATED)
     inv_ok = inv & (qty <= 100) & ~high & targeted
     new_role = F.when(reg & (pricing | staffing) & (state != BLOCKED), "operations_manager") \
         .when(reg & inv_ok, "none") \
@@ -107,10 +133,10 @@ def review_actions(actions: DataFrame, profile_col: str = "control_profile") ->
         .when(reg & inv_ok, AUTO) \
         .when(reg & inv & (state != BLOCKED), HOLD) \
         .otherwise(state)
-    r_inv_ok = F.when(reg & inv_ok, "regulated_inventory_within_limits")
+    r_inv_ok = F.when(reg & inv_ok, REG_INV_LOW)
     q_reg = reg & quality & (state != BLOCKED)
     risk = F.when(q_reg, "medium").otherwise(risk)
-    r_quality = F.when(q_reg, "regulated_quality_tracked")
+    r_quality = F.when(q_reg, REG_QUALITY)
 
     reasons = F.filter(F.array(r_base, r_pricing_high, r_target, r_reg, r_inv_ok, r_quality),
                        lambda x: x.isNotNull())
@@ -125,9 +151,10 @@ def policy_table(spark) -> DataFrame:
     rows = {}
     for typ, src, cid in POLICY_CITATIONS:
         rows.setdefault(typ, []).append((src, cid))
-    data = [(t, [{"source": s, "control_id": c} for s, c in cites]) for t, cites in rows.items()]
+    data = [(t, [{"source": s, "control_id": c, "summary": CONTROL_SUMMARIES[c]} for s, c in cites])
+            for t, cites in rows.items()]
     return spark.createDataFrame(
-        data, "policy_type string, citations array<struct<source:string,control_id:string>>")
+        data, "policy_type string, citations array<struct<source:string,control_id:string,summary:string>>")
 
 
 def with_citations(reviews: DataFrame) -> DataFrame:
@@ -174,8 +201,8 @@ def executable(actions: DataFrame, reviews: DataFrame | None) -> DataFrame:
     if reviews is None:
         return actions
     rv = reviews.select("run_id", "action_id", "execution_state")
-    reviewed_runs = reviews.select("run_id").distinct()
-    a = actions.join(rv, ["run_id", "action_id"], "left") \
-        .join(reviewed_runs.withColumn("_reviewed", F.lit(True)), "run_id", "left")
+    # one row per run: without the bound a run with most of the actions would be one key
+    reviewed_runs = bounded_broadcast(reviews.select("run_id").distinct().withColumn("_reviewed", F.lit(True)))
+    a = actions.join(rv, ["run_id", "action_id"], "left").join(reviewed_runs, "run_id", "left")
     keep = (F.col("execution_state") == AUTO) | F.col("_reviewed").isNull()
     return a.where(keep).drop("execution_state", "_reviewed")

@@ -54,15 +54,21 @@ def forecastable(demand: DataFrame, key: str, as_of, min_sale_days: int = 14) ->
         .where(F.col("sale_days") >= min_sale_days).select(*ks, "sale_days")
 
 
-def densify(demand: DataFrame, key: str, as_of, ffill_limit: int = 6) -> DataFrame:
+def densify(demand: DataFrame, key: str, as_of, ffill_limit: int = 6,
+            min_sale_days: int = 0) -> DataFrame:
     """TS1 + TS2: every day from a key's first sale to as_of.
 
     Keys first sold after as_of (possible in omniscient mode) have no
-    series and are dropped.  Output: key, ds, y.
+    series and are dropped, and so are keys with fewer than ``min_sale_days``
+    sale days up to as_of (FI9): counted by a window in the partitioning the
+    expansion uses, so eligibility needs no second pass.  Output: key, ds, y.
     """
     ks = key_list(key)
     end = date_expr(as_of)
     d = demand.where(F.col("ds") <= end)
+    if min_sale_days > 1:
+        d = d.withColumn("_days", F.count(F.lit(1)).over(Window.partitionBy(*ks))) \
+            .where(F.col("_days") >= min_sale_days).drop("_days")
     w = Window.partitionBy(*ks).orderBy("ds")
     nxt = F.coalesce(F.lead("ds").over(w), F.date_add(end, 1))
     d = d.select(*ks, "ds", "y", F.datediff(nxt, F.col("ds")).alias("span"))

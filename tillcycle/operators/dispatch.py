@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcycle.session import bounded_broadcast
+
 # Owning team per action type (DI5).
 OWNERS = {"restock": "warehouse_team", "reorder": "warehouse_team",
           "markdown": "marketing_team", "promo": "marketing_team",
@@ -108,7 +110,7 @@ def dispatch_reports(runs: DataFrame, summary: DataFrame, status: DataFrame,
 
 def outbox(reports: DataFrame, tasks: DataFrame, settings: DispatchSettings) -> DataFrame:
     """DI3: one record per task of the runs whose report prepared payloads."""
-    open_runs = reports.where(F.col("n_records") > 0).select("run_id")
+    open_runs = bounded_broadcast(reports.where(F.col("n_records") > 0).select("run_id"))
     rec_status = "dry_run" if settings.dry_run else ("skipped" if not settings.endpoint else "pending")
     endpoint = settings.endpoint or "<not-configured>"
     t = payload_json(tasks.join(open_runs, "run_id", "left_semi"))
@@ -137,16 +139,18 @@ def action_plan(actions: DataFrame, tasks: DataFrame) -> DataFrame:
     """JO7: each action with the first task of the same (lower-cased) type.
 
     Owner / due fall back to '-'; impact falls back action -> task -> '-'.
-    'First' = smallest task_id (tasks have no list position here).
+    'First' = the task of the smallest action_id: a run's actions are listed
+    in that order, and tasks follow their actions.
     """
     tt = tasks.withColumn("_t", F.lower("action_type"))
     # min_by per (run, type): a partial aggregate, so a type with millions of
     # tasks never lands in one window partition.
     first = tt.groupBy("run_id", "_t").agg(F.min_by(
         F.struct(F.col("assigned_to").alias("_owner"), F.col("due_date").alias("_due"),
-                 F.col("expected_outcome").alias("_outcome")), F.col("task_id")).alias("f")) \
+                 F.col("expected_outcome").alias("_outcome")), F.col("action_id")).alias("f")) \
         .select("run_id", "_t", "f.*")
-    a = actions.withColumn("_t", F.lower("action_type")).join(first, ["run_id", "_t"], "left")
+    # at most seven rows per run
+    a = actions.withColumn("_t", F.lower("action_type")).join(bounded_broadcast(first), ["run_id", "_t"], "left")
     nz = lambda c: F.nullif(F.col(c), F.lit(""))
     return a.select(
         "run_id", "action_id", F.col("description").alias("action"),

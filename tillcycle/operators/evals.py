@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcycle.operators.demand import key_list
+from tillcycle.session import bounded_broadcast
 
 # Fixed value: the numeric-token pattern of the narrative check.
 NUMBER_PATTERN = r"[£$€]?\d[\d,]*\.?\d*%?"
@@ -90,16 +91,6 @@ def eval_factuality(stored: DataFrame, recomputed: DataFrame, narratives: DataFr
 
 
 # ------------------------------------------------------------ forecasting
-def horizon_actuals(demand: DataFrame, forecast_keys: DataFrame, key, horizon: int = 28,
-                    as_of_col: str = "as_of_date") -> DataFrame:
-    """AG7/FI7: actual daily units after as_of, up to as_of + horizon, for
-    the forecast keys (demand: key columns without the run, ds, y)."""
-    ks = key_list(key)
-    j = demand.join(forecast_keys, ks)
-    win = (F.col("ds") > F.col(as_of_col)) & (F.col("ds") <= F.date_add(F.col(as_of_col), horizon))
-    return j.where(win)
-
-
 def eval_forecast(forecast: DataFrame, backtest: DataFrame, actuals: DataFrame,
                   key) -> tuple[DataFrame, DataFrame]:
     """EV4: per key accuracy and per-run summary.
@@ -164,7 +155,7 @@ def score_actions(actions: DataFrame, decisions: DataFrame, kpi_names: DataFrame
     description counts instead."""
     names = kpi_names.groupBy("run_id").agg(F.collect_set("name").alias("kpi_names"))
     d = decisions.select("run_id", "rationale").join(names, "run_id", "left")
-    a = actions.join(d, "run_id", "left")
+    a = actions.join(bounded_broadcast(d), "run_id", "left")   # one row per run
     text = F.lower(F.concat_ws(" ", F.coalesce("rationale", F.lit("")),
                                F.coalesce("description", F.lit(""))))
     kn = F.coalesce(F.col("kpi_names"), F.array().cast("array<string>"))

@@ -109,10 +109,11 @@ def modal_description(facts: DataFrame, key: str = "stock_code") -> DataFrame:
 
 
 def _ranked(top: DataFrame, visible: DataFrame, ascending: bool,
-            key: str = "stock_code") -> DataFrame:
+            key: str = "stock_code", lines_of=None) -> DataFrame:
     # ``top`` has at most k rows (a proven bound), so broadcasting it to
     # restrict the description scan is safe at any scale.
-    wanted = visible.join(F.broadcast(top.select(key)), key, "left_semi")
+    wanted = lines_of(top.select(key)) if lines_of else \
+        visible.join(F.broadcast(top.select(key)), key, "left_semi")
     desc = modal_description(wanted, key)
     order = F.col("total_revenue").asc() if ascending else F.col("total_revenue").desc()
     w = Window.orderBy(order, F.col(key))  # over <= k rows
@@ -122,24 +123,28 @@ def _ranked(top: DataFrame, visible: DataFrame, ascending: bool,
 
 
 def top_skus(visible: DataFrame, start, end, k: int = 10, key: str = "stock_code",
-             end_of_day: bool = False) -> DataFrame:
+             end_of_day: bool = False, lines_of=None) -> DataFrame:
     """AG2: the k best keys by period revenue with units and modal description.
 
+    ``lines_of`` maps the frame of ranked keys to their visible lines with
+    descriptions, for callers whose ``visible`` has no description column;
+    the ranking itself then never joins a dimension.
+
     The modal description looks at all visible history, not just the period
     (the reference bounds its description subquery only by as-of).
     """
     totals = sku_totals(in_period(visible, start, end, end_of_day), key)
     top = totals.orderBy(F.col("total_revenue").desc(), F.col(key)).limit(k)
-    return _ranked(top, visible, ascending=False, key=key)
+    return _ranked(top, visible, ascending=False, key=key, lines_of=lines_of)
 
 
 def bottom_skus(visible: DataFrame, start, end, k: int = 10, min_units: int = 5,
-                key: str = "stock_code", end_of_day: bool = False) -> DataFrame:
+                key: str = "stock_code", end_of_day: bool = False, lines_of=None) -> DataFrame:
     """AG3: the k weakest keys by period revenue among those with >= min_units."""
     totals = sku_totals(in_period(visible, start, end, end_of_day), key) \
         .where(F.col("total_units") >= min_units)
     low = totals.orderBy(F.col("total_revenue").asc(), F.col(key)).limit(k)
-    return _ranked(low, visible, ascending=True, key=key)
+    return _ranked(low, visible, ascending=True, key=key, lines_of=lines_of)
 
 
 def top_keys(visible: DataFrame, key: str = "stock_code", k: int = 20) -> DataFrame:
@@ -152,12 +157,3 @@ def top_keys(visible: DataFrame, key: str = "stock_code", k: int = 20) -> DataFr
     top = totals.orderBy(F.col("total_revenue").desc(), F.col(key)).limit(k)
     w = Window.orderBy(F.col("total_revenue").desc(), F.col(key))
     return top.select(key, "total_revenue", F.row_number().over(w).alias("rank"))
-
-
-def return_rates(facts: DataFrame, by: list[str]) -> DataFrame:
-    """AG4 per group: return lines / all lines (max 1), rounded to 4."""
-    return facts.groupBy(*by).agg(
-        F.count_if(F.col("quantity") < 0).alias("return_lines"),
-        F.count(F.lit(1)).alias("lines"),
-    ).withColumn("return_rate",
-                 F.round(F.col("return_lines") / F.greatest(F.col("lines"), F.lit(1)), 4))

@@ -72,4 +72,4 @@ def order_quantities(forecast: DataFrame, key, days: int = 7, buffer: float = 0.
     first = F.min("ds").over(Window.partitionBy(*ks))
     f = forecast.withColumn("_d0", first)
     f = f.where(F.datediff("ds", "_d0") < days)
-    return f.groupBy(*ks).agg(F.ceil(F.sum("yhat") * (1 + buffer)).cast("long").alias("order_qty"))
+    return f.groupBy(*ks).agg(F.ceil(F.round(F.sum("yhat") * (1 + buffer), 6)).cast("long").alias("order_qty"))

@@ -14,12 +14,14 @@ from tillcycle.sources.tables import FACT_COLUMNS
 
 
 def dq_findings(df: DataFrame, expected: list[str] | None = None,
-                key_cols: tuple[str, str] = ("invoice_no", "stock_code")) -> DataFrame:
+                key_cols: tuple[str, str] = ("invoice_no", "stock_code"),
+                with_rows: bool = False) -> DataFrame:
     """Findings with a positive count: finding_type, column_name, n.
 
     finding types: missing_columns (column_name = sorted, comma-joined),
     nulls (per column), negative_quantity, negative_unit_price,
-    duplicate_invoice_lines (rows minus distinct key pairs: first kept).
+    duplicate_invoice_lines (rows minus distinct key pairs: first kept);
+    ``with_rows`` adds the number of rows itself (AG8).
     """
     expected = list(expected or FACT_COLUMNS)
     actual = {c.lower(): c for c in df.columns}
@@ -32,6 +34,8 @@ def dq_findings(df: DataFrame, expected: list[str] | None = None,
                         n.cast("long").alias("n"))
 
     checks = [finding("nulls", c, F.count_if(F.col(actual[c]).isNull())) for c in present]
+    if with_rows:
+        checks.append(finding("rows", None, F.count(F.lit(1))))
     for col, kind in (("quantity", "negative_quantity"), ("unit_price", "negative_unit_price")):
         if col in actual:
             checks.append(finding(kind, None, F.count_if(F.col(actual[col]) < 0)))

@@ -1,5 +1,5 @@
 """Report-edge computations of the UI/PDF layer, as DataFrame jobs
-(AG19, AG25, PR11, PR12, PR14, PR15, TK4, TK5, TK7)."""
+(AG19, AG25, PR11, PR12, PR14, PR15, TK4, TK5)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcycle.functions.topk import top_k_per_group
+from tillcycle.session import cut_lineage
 
 
 def kpi_view(kpis: DataFrame) -> DataFrame:
@@ -56,13 +57,6 @@ def top_actions(actions: DataFrame, n: int = 5, tie: str = "action_id") -> DataF
                            rank_col="pos").drop("_u")
 
 
-def sample_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
-                     salt_cols: list[str]) -> DataFrame:
-    """TK7: the first n rows per group in a stated order (preview rows,
-    descriptions per cluster, first forecast days)."""
-    return top_k_per_group(df, group, order, n, salt_cols=salt_cols, rank_col="pos")
-
-
 def run_overview(runs: DataFrame, decisions: DataFrame, summary: DataFrame | None,
                  status: DataFrame | None, reports: DataFrame | None,
                  tasks: DataFrame | None) -> DataFrame:
@@ -104,28 +98,44 @@ def run_overview(runs: DataFrame, decisions: DataFrame, summary: DataFrame | Non
         F.coalesce("dispatch_status", F.lit("skipped")).alias("dispatch_status"))
 
 
+def canonical(df: DataFrame) -> list[Column]:
+    """Every column as text that any engine writes alike: fractions with six
+    decimals, NULL as \\N."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        if kind in ("double", "float"):
+            c = F.round(c, 6).cast("decimal(38,6)")
+        out.append(F.coalesce(c.cast("string"), F.lit("\\N")).alias(name))
+    return out
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """PR15 at scale: an order-insensitive fingerprint of a result — row
-    count plus the XOR of per-row 64-bit hashes (one aggregate, no sort).
+    count plus the sums of two 60-bit halves of each row's MD5 (one partial
+    aggregate, no sort; repeated rows count as often as they are there).
     The reference's sorted-JSON sha256 would need the whole result in one
-    place; this needs one partial aggregate."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    place."""
+    h = F.md5(F.concat_ws("|", *canonical(df)))
+    half = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.lower(F.hex(F.bit_xor(h))).alias("fingerprint"))
-
-
-def evidence(df: DataFrame, name: str, params: list[str], preview_rows: int = 5) -> DataFrame:
-    """PR14: evidence record of a query result: step name, parameters, a
-    JSON preview of the first ``preview_rows`` rows, the row count and the
-    fingerprint.  Only the preview rows are gathered into one value."""
-    prev = df.limit(preview_rows).agg(
-        F.to_json(F.collect_list(F.struct(*df.columns))).alias("result_preview"))
-    fp = fingerprint(df)
-    # two one-row aggregates side by side: a union + max keeps it join-free
+                  F.concat_ws(":", F.coalesce(F.sum(half(1)), F.lit(0)).cast("string"),
+                              F.coalesce(F.sum(half(16)), F.lit(0)).cast("string")).alias("fingerprint"))
+
+
+def evidence(df: DataFrame, name: str, params: list[str], sql: str = "", preview_rows: int = 5) -> DataFrame:
+    """PR14: evidence record of a query result: step name, parameters, the
+    query text, a JSON preview of the first ``preview_rows`` rows in the order
+    of all columns, the row count and the fingerprint.  The result is written
+    once and read for both; only the preview rows are gathered into one value."""
+    df = cut_lineage(df)
+    text = df.select(*canonical(df))
+    first = text.orderBy(*df.columns).limit(preview_rows)
+    prev = first.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("result_preview"))
     a = prev.select("result_preview", F.lit(None).cast("long").alias("rows"),
                     F.lit(None).cast("string").alias("fingerprint"))
-    b = fp.select(F.lit(None).cast("string").alias("result_preview"), "rows", "fingerprint")
-    one = a.unionByName(b).agg(*[F.max(c).alias(c) for c in ("result_preview", "rows",
-                                                              "fingerprint")])
-    return one.select(F.lit(name).alias("run_at"),
-                      F.array(*[F.lit(str(p)) for p in params]).alias("params"), "*")
+    b = fingerprint(df).select(F.lit(None).cast("string").alias("result_preview"), "rows", "fingerprint")
+    # two one-row aggregates side by side: a union + max keeps it join-free
+    one = a.unionByName(b).agg(*[F.max(c).alias(c) for c in ("result_preview", "rows", "fingerprint")])
+    return one.select(F.lit(name).alias("run_at"), F.array(*[F.lit(str(p)) for p in params]).alias("params"),
+                      F.lit(sql).alias("sql"), "*")

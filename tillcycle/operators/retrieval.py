@@ -1,13 +1,12 @@
 """Document chunking, text features and cosine top-k retrieval (SC15, TX2, TX3, TX6, TX7, TK6).
 
-Retrieval plan.  The query batch is the small side: its size is counted
-first and it is broadcast only up to ``max_broadcast`` queries (a few MB
-of float64); a larger batch is split into successive slices of that size,
-each an independent exact pass.  The corpus is never collected: each task
-scores its own rows against the broadcast matrix with numpy (one BLAS
-matrix product per Arrow batch) and keeps only its best ``k`` per query, so
-what crosses the shuffle is ``k x tasks`` candidates per query, and the
-final ranking per query is a two-phase (salted) top-k.
+Vectors: corpus and queries are dealt by hash of their ids into ``shards`` and
+``blocks``; Spark brings every shard together with every block, a task scores
+one pair with numpy and keeps the best ``k`` per query, and the final ranking
+per query is a two-phase (salted) top-k.  Nothing passes through the driver.
+Text: documents and queries are tables of weighted terms, joined on the term.
+Scores are ranked at nine decimals, so that equal rows tie in any order of
+summation, and ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -24,8 +23,7 @@ from tillcycle.functions.topk import top_k_per_group
 def read_documents(spark, path: str, pattern: str = "*.md") -> DataFrame:
     """SC15: every matching file under ``path`` (recursive) as one row:
     source (path relative to ``path``), text."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", pattern).text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     base = path.rstrip("/") + "/"
     src = F.regexp_replace(F.col("_metadata.file_path"), r"^file:", "")
     return df.select(F.regexp_replace(src, "^.*?" + base.replace(".", r"\."), "").alias("source"),
@@ -43,7 +41,7 @@ def chunk(docs: DataFrame, id_col: str = "source", text_col: str = "text",
     return docs.select(id_col, F.posexplode(parts).alias("chunk_id", "text"))
 
 
-def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 << 12,
+def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 << 16,
                   out_col: str = "features", as_vector: bool = False):
     """TX2: tokenise -> hashed term counts -> IDF -> L2 normalised, as a
     dense ``array<double>``.  Returns (frame, fitted IDF model).  No
@@ -52,7 +50,7 @@ def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 <
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
     t = tf.transform(tok.transform(df))
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
@@ -62,188 +60,87 @@ def text_features(df: DataFrame, text_col: str = "text", num_features: int = 1 <
     return n.withColumn(out_col, vector_to_array("_n")).drop("_tok", "_tf", "_idf", "_n"), idf
 
 
-def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str, eps: float):
-    def run(batches):
-        best: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            m = m / (np.linalg.norm(m, axis=1, keepdims=True) + eps)
-            s = m @ qmat.T                       # (rows, queries)
-            kk = min(k, s.shape[0])
-            idx = np.argpartition(-s, kk - 1, axis=0)[:kk]   # k best rows per query
-            rows = idx.ravel(order="F")
-            cols = np.repeat(np.arange(s.shape[1]), kk)
-            best.append(pd.DataFrame({"query_id": qids[cols],
-                                      id_col: pdf[id_col].to_numpy()[rows],
-                                      "score": s[rows, cols]}))
-            # keep the running candidate set at <= k per query for this task
-            cur = pd.concat(best, ignore_index=True)
-            cur = cur.sort_values(["query_id", "score", id_col], ascending=[True, False, True])
-            best = [cur.groupby("query_id", sort=False).head(k)]
-        if best:
-            yield best[0]
-    return run
+def _score_pair(corpus: pd.DataFrame, queries: pd.DataFrame, k: int, id_col: str, eps: float,
+                chunk: int = 1024) -> pd.DataFrame:
+    """The k best corpus rows of each query within one shard; rows that tie
+    with the k-th score are all ranked before the cut."""
+    unit = lambda rows: (m := np.stack(rows.to_numpy()).astype(np.float64)) / (
+        np.linalg.norm(m, axis=1, keepdims=True) + eps)
+    out = []
+    if len(corpus) and len(queries):
+        c, ids = unit(corpus["v"]), corpus[id_col].to_numpy()
+        for at in range(0, len(queries), chunk):
+            scores = np.round(unit(queries["v"].iloc[at:at + chunk]) @ c.T, 9)
+            kth = np.partition(scores, -min(k, len(c)), axis=1)[:, -min(k, len(c))]
+            for q, s, low in zip(queries["query_id"].iloc[at:at + chunk], scores, kth):
+                near = np.flatnonzero(s >= low)
+                best = near[np.lexsort((ids[near], -s[near]))][:k]
+                out.append(pd.DataFrame({"query_id": q, id_col: ids[best], "score": s[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "score": []})
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_id: str = "query_id",
                 query_vec: str = "embedding", eps: float = 1e-9,
-                max_broadcast: int = 20000) -> DataFrame:
+                shards: int = 32, blocks: int = 1) -> DataFrame:
     """TX7/TK6: per query the ``k`` corpus rows of highest cosine similarity.
 
-    Output: query_id, id_col, score (cosine of the eps-normalised vectors),
-    rank (1..k; ties by id ascending).  ``max_broadcast=0`` means the caller
-    already bounded this query slice (no count job).
+    Output: query_id, id_col, score (cosine of the eps-normalised vectors, nine
+    decimals), rank (1..k; ties by id ascending).  A task holds the rows of one
+    shard and one block: set ``shards`` and ``blocks`` so that they fit.
     """
-    spark = corpus.sparkSession
-    n_q = queries.count() if max_broadcast else 0
-    if n_q > max_broadcast:
-        # Exact, in hash slices of about half the bound: every query is still
-        # compared with every corpus row, one broadcast slice at a time.
-        n_slices = int(np.ceil(2 * n_q / max_broadcast))
-        qs = queries.withColumn("_slice", F.pmod(F.xxhash64(query_id), F.lit(n_slices)))
-        out = None
-        for i in range(n_slices):
-            part = vector_topk(corpus, qs.where(F.col("_slice") == i).drop("_slice"), k, id_col,
-                               vec_col, query_id, query_vec, eps, max_broadcast=0)
-            out = part if out is None else out.unionByName(part)
-        return out
-    qp = queries.select(F.col(query_id).alias("query_id"),
-                        F.col(query_vec).cast("array<double>").alias("v")).toPandas()
-    if qp.empty:
-        return spark.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
-    qmat = np.stack(qp["v"].to_numpy()).astype(np.float64)
-    qmat = qmat / (np.linalg.norm(qmat, axis=1, keepdims=True) + eps)
-    qids = qp["query_id"].to_numpy()
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    id_type = dict(corpus.dtypes)[id_col]
-    q_type = dict(queries.dtypes)[query_id]
-
-    def run(batches):
-        ids, mat = bq.value
-        yield from _scorer(ids, mat, k, id_col, vec_col, eps)(batches)
-
-    cand = corpus.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)) \
-        .mapInPandas(run, f"query_id {q_type}, {id_col} {id_type}, score double")
+    id_type, q_type = dict(corpus.dtypes)[id_col], dict(queries.dtypes)[query_id]
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    c = corpus.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).alias(id_col), F.col(vec_col).cast("array<double>").alias("v"),
+        F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"),
+        F.explode(number(blocks)).alias("block"))
+    q = queries.where(F.col(query_vec).isNotNull()).select(
+        F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v"),
+        F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("q_block"),
+        F.explode(number(shards)).alias("q_shard"))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _score_pair(a, b, k, id_col, eps)
+
+    cand = c.groupBy("shard", "block").cogroup(q.groupBy("q_shard", "q_block")).applyInPandas(
+        score, f"query_id {q_type}, {id_col} {id_type}, score double")
     top = top_k_per_group(cand, ["query_id"], [F.col("score").desc(), F.col(id_col)], k,
                           salt_cols=[id_col], buckets=16)
     return top.withColumnRenamed("query_id", query_id)
 
 
 # ------------------------------------------------------------ sparse text retrieval
-def tfidf_sparse(df: DataFrame, id_col: str, text_col: str = "text",
-                 num_features: int = 1 << 12) -> DataFrame:
-    """TX2 (sparse): hashed term frequency x inverse document frequency,
-    L2-normalised, kept as parallel arrays (idx, val) per document.
-
-    Pure DataFrame work: tokens are exploded and counted per (document,
-    term bucket); document frequencies are a partial aggregate per bucket;
-    the IDF table has ``num_features`` rows (a fixed-size broadcast).  Only
-    a document's own non-zero terms are gathered into its row.
-    Output: id_col, idx array<int>, val array<double>.
+def tfidf_terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """TX2 (sparse): term frequency x inverse document frequency, L2-normalised:
+    id_col, term, w.  Terms are the keys themselves, so no two are ever merged;
+    texts without a term have no rows.  Document frequencies are a partial
+    aggregate per term, joined back on the term."""
+    toks = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("term")) \
+        .where(F.col("term") != "")
+    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("total"))   # one row
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("dfreq")).join(F.broadcast(total)) \
+        .select("term", F.log((F.col("total") + 1.0) / (F.col("dfreq") + 1.0)).alias("idf"))
+    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / (F.col("norm") + 1e-9)).alias("w"))
+
+
+def terms_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "id",
+               query_id: str = "query_id", salts: int = 8) -> DataFrame:
+    """TX7 over weighted terms: per query the k corpus rows of highest dot
+    product (cosine for normalised rows) among those that share a term.
+
+    An equi-join on (term, salt): a term that most documents hold is split by
+    document into ``salts`` keys, and the queries' few terms are sent to each.
+    Partial sums per (query, row) are combined map-side before the shuffle.
     """
-    toks = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"))
-                     .alias("tok")).where(F.col("tok") != "")
-    tf = toks.groupBy(id_col, F.pmod(F.xxhash64("tok"), F.lit(num_features)).cast("int")
-                      .alias("idx")).agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = df.select(id_col).distinct().count()
-    idf = tf.groupBy("idx").agg(F.count(F.lit(1)).alias("dfreq")) \
-        .select("idx", F.log((F.lit(n_docs) + 1.0) / (F.col("dfreq") + 1.0)).alias("idf"))
-    w = tf.join(F.broadcast(idf), "idx").select(id_col, "idx", (F.col("tf") * F.col("idf")).alias("w"))
-    per = w.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("t"))
-    norm = F.sqrt(F.aggregate(F.col("t"), F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    return per.select(id_col, F.transform("t", lambda e: e["idx"]).alias("idx"),
-                      F.transform("t", lambda e: e["w"] / (norm + 1e-9)).alias("val"))
-
-
-def _sparse_parts(pdf: pd.DataFrame):
-    """(indices, values) lists of a batch: from idx/val array columns, or
-    from an ML vector column "vec" (arrives as {type, size, indices, values})."""
-    if "vec" not in pdf:
-        return list(pdf["idx"]), list(pdf["val"])
-    idx, val = [], []
-    for v in pdf["vec"]:
-        if isinstance(v, dict):            # Arrow struct form inside mapInPandas
-            vals, ind = v["values"], v["indices"]
-        else:                              # ml.linalg vector (toPandas on the driver)
-            vals, ind = v.values, getattr(v, "indices", None)
-        vals = np.asarray(vals, dtype=np.float64)
-        idx.append(np.arange(len(vals)) if ind is None else np.asarray(ind))
-        val.append(vals)
-    return idx, val
-
-
-def _sparse_scorer(qids, qmat, k: int, id_col: str, chunk: int = 256):
-    def run(batches):
-        best = None
-        for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                m = np.zeros((len(part), qmat.shape[1]))
-                idx, val = _sparse_parts(part)
-                lens = np.fromiter((len(x) for x in idx), dtype=np.int64, count=len(idx))
-                if lens.sum():
-                    rows = np.repeat(np.arange(len(part)), lens)
-                    m[rows, np.concatenate(idx).astype(np.int64)] = np.concatenate(val)
-                s = m @ qmat.T
-                kk = min(k, s.shape[0])
-                top = np.argpartition(-s, kk - 1, axis=0)[:kk]
-                r, c = top.ravel(order="F"), np.repeat(np.arange(s.shape[1]), kk)
-                cand = pd.DataFrame({"query_id": qids[c], id_col: part[id_col].to_numpy()[r],
-                                     "score": s[r, c]})
-                best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-                best = best.sort_values(["query_id", "score", id_col],
-                                        ascending=[True, False, True]).groupby(
-                    "query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-    return run
-
-
-def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "id",
-                query_id: str = "query_id", num_features: int = 1 << 12,
-                max_cells: int = 20_000_000) -> DataFrame:
-    """TX7 over sparse rows — (idx, val) arrays or an ML vector column
-    ``vec`` — per query the k corpus rows of highest dot product (cosine
-    for normalised rows).
-
-    The query batch is densified to a (queries x num_features) matrix only
-    up to ``max_cells`` values (160 MB of float64); a larger batch runs in
-    hash slices, each an exact pass.  Corpus rows are densified 256 at a
-    time inside the task, never stored dense.
-    """
-    spark = corpus.sparkSession
-    n_q = queries.count()
-    per_slice = max(1, max_cells // num_features)
-    if n_q > per_slice:
-        n_slices = int(np.ceil(2 * n_q / per_slice))
-        qs = queries.withColumn("_slice", F.pmod(F.xxhash64(query_id), F.lit(n_slices)))
-        out = None
-        for i in range(n_slices):
-            part = sparse_topk(corpus, qs.where(F.col("_slice") == i).drop("_slice"), k, id_col,
-                               query_id, num_features, max_cells=10 ** 18)
-            out = part if out is None else out.unionByName(part)
-        return out
-    cols = ["vec"] if "vec" in queries.columns else ["idx", "val"]
-    qp = queries.select(F.col(query_id).alias("q"), *cols).toPandas()
-    q_type = dict(queries.dtypes)[query_id]
-    id_type = dict(corpus.dtypes)[id_col]
-    if qp.empty:
-        return spark.createDataFrame([], f"{query_id} {q_type}, {id_col} {id_type}, score double, rank int")
-    qmat = np.zeros((len(qp), num_features))
-    for j, (ix, vv) in enumerate(zip(*_sparse_parts(qp))):
-        qmat[j, np.asarray(ix, dtype=int)] = vv
-    bq = spark.sparkContext.broadcast((qp["q"].to_numpy(), qmat))
-
-    def run(batches):
-        ids, mat = bq.value
-        yield from _sparse_scorer(ids, mat, k, id_col)(batches)
-
-    ccols = ["vec"] if "vec" in corpus.columns else ["idx", "val"]
-    cand = corpus.select(id_col, *ccols).mapInPandas(
-        run, f"query_id {q_type}, {id_col} {id_type}, score double")
-    top = top_k_per_group(cand, ["query_id"], [F.col("score").desc(), F.col(id_col)], k,
-                          salt_cols=[id_col], buckets=16)
-    return top.withColumnRenamed("query_id", query_id)
+    c = corpus.select(F.col(id_col), "term", F.col("w").alias("cw"),
+                      F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
+    q = queries.select(F.col(query_id), "term", F.col("w").alias("qw"),
+                       F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    hits = q.join(c, ["term", "salt"]).groupBy(query_id, id_col).agg(
+        F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("score"))
+    return top_k_per_group(hits, [query_id], [F.col("score").desc(), F.col(id_col)], k,
+                           salt_cols=[id_col], buckets=16)

@@ -29,7 +29,7 @@ def product_texts(facts: DataFrame) -> DataFrame:
 
 
 def cluster_texts(texts: DataFrame, n_clusters: int = 30, seed: int = 42, n_init: int = 10,
-                  num_features: int = 1 << 10) -> DataFrame:
+                  num_features: int = 1 << 16) -> DataFrame:
     """TX2-TX4: k-means over the distinct cleaned texts (SO2).
 
     k = min(n_clusters, number of distinct texts); the best of ``n_init``

@@ -29,11 +29,6 @@ def coerce_actions(df: DataFrame) -> DataFrame:
     return out.withColumn("urgency", F.coalesce(F.col("urgency"), F.lit("medium")))
 
 
-def as_list(col: Column) -> Column:
-    """PR9: a scalar string becomes a one-element list, NULL an empty list."""
-    return F.when(col.isNull(), F.array().cast("array<string>")).otherwise(F.array(col))
-
-
 def validate(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Split on named boolean rules (NULL counts as a failure).
 

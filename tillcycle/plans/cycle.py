@@ -25,7 +25,7 @@ from tillcycle.operators import dispatch as DI
 from tillcycle.operators import kpis as K
 from tillcycle.operators.asof import as_of_view
 from tillcycle.operators.boosted import forecast_all
-from tillcycle.operators.demand import daily_demand, densify, forecastable
+from tillcycle.operators.demand import daily_demand, densify
 from tillcycle.params import RunParams
 from tillcycle.plans import derived as DV
 from tillcycle.sources.raw_sales import read_facts, write_curated
@@ -59,9 +59,7 @@ def run_cycle(spark: SparkSession, sf_dir: str, out_dir: str, params: RunParams
     cand = K.top_keys(visible, "stock_code", 20)
     top5 = cand.where(F.col("rank") <= 5).select("stock_code")
     dem = daily_demand(visible, "stock_code", keys=cand)
-    ok = forecastable(dem.join(top5, "stock_code", "left_semi"), "stock_code", p.as_of)
-    series = densify(dem.join(ok.select("stock_code"), "stock_code", "left_semi"), "stock_code",
-                     p.as_of)
+    series = densify(dem.join(top5, "stock_code", "left_semi"), "stock_code", p.as_of, min_sale_days=14)
     fc = forecast_all(series, "stock_code", p.as_of, p.horizon, params=gbt_params)
 
     # decision (rule-based actions for this run), control review, tasks

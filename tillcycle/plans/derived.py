@@ -136,13 +136,17 @@ def stored_kpis(kpis: DataFrame, runs: DataFrame) -> DataFrame:
     """The analyst report's KPI list: KPIs plus their evidence step.
 
     June reports lose the evidence of their customer KPI (an uncited KPI
-    for the audit and factuality checks to find).
+    for the audit and factuality checks to find), and May reports state an
+    order value that is 5 % too high (a wrong figure for them to find).
     """
     m = runs.select("run_id", F.month("as_of_date").alias("_m"))
     ev = F.when(F.col("name") == "return_rate", "return_rate").otherwise("total_kpis")
     ev = F.when((F.col("_m") == 6) & (F.col("name") == "unique_customers"), F.lit(None)) \
         .otherwise(ev)
-    return kpis.join(F.broadcast(m), "run_id").withColumn("evidence", ev.cast("string")).drop("_m")
+    wrong = (F.col("_m") == 5) & (F.col("name") == "avg_order_value")
+    return kpis.join(F.broadcast(m), "run_id") \
+        .withColumn("value", F.when(wrong, F.round(F.col("value") * 1.05, 2)).otherwise(F.col("value"))) \
+        .withColumn("evidence", ev.cast("string")).drop("_m")
 
 
 def narratives(kpis_wide: DataFrame, sku_stats: DataFrame) -> DataFrame:

@@ -23,26 +23,38 @@ PERIOD_SQL = f"per AS (SELECT * FROM visible WHERE invoice_date BETWEEN {TS_STAR
 PREFIX = f"WITH {FACT_SALES_SQL},\n{VISIBLE_SQL},\n{PERIOD_SQL}"
 
 
-def visible_facts(spark, d, **kw):
-    return as_of_view(fact_sales(spark, d, **kw), AS_OF, "bounded")
+#: Columns of the KPI job, of rankings and of demand.
+KPI_COLUMNS = ["invoice_no", "invoice_date", "customer_id", "quantity", "revenue"]
+RANK_COLUMNS = ["invoice_date", "stock_code", "quantity", "revenue"]
+DEMAND_COLUMNS = ["invoice_date", "stock_code", "quantity"]
+
+
+def visible_facts(spark, d, columns, **kw):
+    return as_of_view(fact_sales(spark, d, columns, **kw), AS_OF, "bounded")
+
+
+def described(spark, d):
+    """The visible lines of a few SKUs with their descriptions."""
+    return lambda keys: visible_facts(spark, d, ["invoice_date", "stock_code", "description"], only=keys)
 
 
 # --------------------------------------------------------------------- KPIs
-KPIS_SQL = PREFIX + f""",
+KPIS_CTE = PREFIX + f""",
 a AS (SELECT SUM(revenue) AS rev, COUNT(DISTINCT invoice_no) AS orders,
              COUNT(DISTINCT customer_id) AS customers, COUNT(*) AS lines,
-             COUNT(*) FILTER (WHERE quantity < 0) AS returns FROM per)
-SELECT 'total_revenue' AS name, ROUND(COALESCE(rev, 0), 2) AS value, 'GBP' AS unit, '{PERIOD}' AS period FROM a
+             COUNT(*) FILTER (WHERE quantity < 0) AS returns FROM per),
+k AS (SELECT 'total_revenue' AS name, ROUND(COALESCE(rev, 0), 2) AS value, 'GBP' AS unit, '{PERIOD}' AS period FROM a
 UNION ALL SELECT 'total_orders', CAST(orders AS DOUBLE), 'orders', '{PERIOD}' FROM a
 UNION ALL SELECT 'avg_order_value', COALESCE(ROUND(COALESCE(rev, 0) / NULLIF(orders, 0), 2), 0.0), 'GBP', '{PERIOD}' FROM a
 UNION ALL SELECT 'unique_customers', CAST(customers AS DOUBLE), 'customers', '{PERIOD}' FROM a
-UNION ALL SELECT 'return_rate', ROUND(returns / GREATEST(lines, 1), 4), 'ratio', '{PERIOD}' FROM a
-"""
+UNION ALL SELECT 'return_rate', ROUND(returns / GREATEST(lines, 1), 4), 'ratio', '{PERIOD}' FROM a)"""
+KPIS_SQL = KPIS_CTE + "\nSELECT * FROM k"
+
 
 
 @register("kpis", "FI1 FI2 FI3 AG1 AG4 JO2 PR13", KPIS_SQL)
 def q_kpis(spark, d):
-    return K.period_kpis(visible_facts(spark, d, description=False, country=False), START, AS_OF)
+    return K.period_kpis(visible_facts(spark, d, KPI_COLUMNS), START, AS_OF)
 
 
 # ------------------------------------------------------------ ranked SKUs
@@ -68,12 +80,13 @@ FROM t LEFT JOIN modal ON t.stock_code = modal.stock_code
 
 @register("top_skus", "AG2 JO1 TK1 TK2 FI6", _ranked_sql("", "DESC"))
 def q_top_skus(spark, d):
-    return K.top_skus(visible_facts(spark, d, country=False), START, AS_OF, k=10)
+    return K.top_skus(visible_facts(spark, d, RANK_COLUMNS), START, AS_OF, k=10, lines_of=described(spark, d))
 
 
 @register("bottom_skus", "AG3 JO1 TK1 FI6", _ranked_sql("HAVING SUM(quantity) >= 5", "ASC"))
 def q_bottom_skus(spark, d):
-    return K.bottom_skus(visible_facts(spark, d, country=False), START, AS_OF, k=10, min_units=5)
+    return K.bottom_skus(visible_facts(spark, d, RANK_COLUMNS), START, AS_OF, k=10, min_units=5,
+                         lines_of=described(spark, d))
 
 
 TOP20_SQL = """top20 AS (
@@ -85,7 +98,7 @@ TOP20_SQL = """top20 AS (
 @register("forecast_candidates", "AG5 TK1", PREFIX + ",\n" + TOP20_SQL +
           "\nSELECT stock_code, total_revenue, rank FROM top20")
 def q_forecast_candidates(spark, d):
-    return K.top_keys(visible_facts(spark, d, description=False, country=False), "stock_code", 20)
+    return K.top_keys(visible_facts(spark, d, RANK_COLUMNS), "stock_code", 20)
 
 
 # ------------------------------------------------------------ data quality
@@ -100,7 +113,7 @@ def _dq_sql() -> str:
             f"SELECT * FROM (\n" + "\nUNION ALL ".join(parts) + "\n) WHERE n > 0")
 
 
-@register("dq_findings", "AG8 AG9 AG10 AG11 AG12 SO6 SC3", _dq_sql())
+@register("dq_findings", "AG10 AG11 AG12 SO6 SC3", _dq_sql())
 def q_dq(spark, d):
     return dq_findings(fact_sales(spark, d))
 
@@ -116,6 +129,6 @@ GROUP BY stock_code, CAST(invoice_date AS DATE)
 @register("daily_demand", "AG6 FI4 FI5 JO4", DEMAND_SQL)
 def q_daily_demand(spark, d):
     from tillcycle.operators.demand import daily_demand
-    vis = visible_facts(spark, d, description=False, country=False)
+    vis = visible_facts(spark, d, RANK_COLUMNS)
     top = K.top_keys(vis, "stock_code", 20)
     return daily_demand(vis, "stock_code", keys=top)

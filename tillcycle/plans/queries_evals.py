@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 from tillcycle.functions.topk import top_k_per_group
 from tillcycle.operators import artifacts as AR
 from tillcycle.operators import evals as EV
-from tillcycle.operators.demand import daily_demand, densify, forecastable
+from tillcycle.operators.demand import daily_demand, densify
 from tillcycle.operators.naive import naive_backtest, naive_forecast
 from tillcycle.plans import derived as DV
-from tillcycle.plans.queries_cycle import BASE
+from tillcycle.plans.queries_cycle import BASE, DATE_COLUMNS
 from tillcycle.plans.queries_forecast import backtest_sql, forecast_sql
 from tillcycle.plans.registry import register
 from tillcycle.session import cut_lineage
@@ -31,8 +31,8 @@ ANALYST_SCHEMA = T.StructType([
 
 
 def run_tables(spark, d) -> dict:
-    facts = fact_sales(spark, d, description=False, country=False)
-    dates = fact_sales(spark, d, description=False, country=False, customer=False)
+    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS])
+    dates = fact_sales(spark, d, DATE_COLUMNS)
     t = DV.build_run_tables(facts, dates=dates)
     t["facts"] = facts
     return t
@@ -89,10 +89,18 @@ def q_latest(spark, d):
 
 
 @register("artifact_map", "SC11", BASE + """
-SELECT run_id, 2 AS n_types FROM runs""")
+SELECT d.run_id, 2 AS n_types, 2 AS report_revision, CAST(r.period_start AS VARCHAR) AS period_start,
+       CAST(r.period_end AS VARCHAR) AS period_end, CAST(d.n_actions AS BIGINT) AS n_actions,
+       d.rationale FROM decisions d JOIN runs r ON d.run_id = r.run_id""")
 def q_artifact_map(spark, d):
     m = AR.artifact_map(stored_artifacts(run_tables(spark, d)))
-    return m.select("run_id", F.size("artifacts").alias("n_types"))
+    of = lambda kind, field: F.get_json_object(F.col("artifacts")[kind], f"$.{field}")
+    return m.select("run_id", F.size("artifacts").alias("n_types"),
+                    of("analyst_report", "revision").cast("int").alias("report_revision"),
+                    of("analyst_report", "period_start").alias("period_start"),
+                    of("analyst_report", "period_end").alias("period_end"),
+                    of("decision", "n_actions").cast("long").alias("n_actions"),
+                    of("decision", "rationale").alias("rationale"))
 
 
 @register("recent_runs", "SC12 JO3 TK1", BASE + """,
@@ -126,11 +134,15 @@ nums AS (
              lambda v: v IS NOT NULL AND NOT list_bool_or(list_transform(kv,
                  lambda k: ABS(ROUND(v, 2) - k) / GREATEST(ABS(k), 1e-9) < 0.01)))) AS n_unsupported
   FROM toks),
+cmp AS (
+  SELECT k.run_id, k.evidence, ABS(k.value - r.value) / GREATEST(ABS(r.value), 1e-9) <= 0.01 AS near
+  FROM kpis k JOIN kl r ON k.run_id = r.run_id AND k.name = r.name),
 chk AS (
   SELECT run_id, COUNT(*) AS total_kpis, COUNT(evidence) AS kpis_with_evidence,
-         COUNT(evidence) AS kpis_verified, 0 AS kpis_mismatched,
+         COUNT(*) FILTER (WHERE evidence IS NOT NULL AND near) AS kpis_verified,
+         COUNT(*) FILTER (WHERE evidence IS NOT NULL AND NOT near) AS kpis_mismatched,
          COUNT(*) - COUNT(evidence) AS kpis_no_evidence
-  FROM kpis GROUP BY run_id)
+  FROM cmp GROUP BY run_id)
 SELECT chk.*, ROUND(CASE WHEN kpis_with_evidence = 0 THEN 1.0 ELSE kpis_verified / kpis_with_evidence END, 6) AS factuality_score,
        nums.n_numbers, nums.n_unsupported,
        CASE WHEN (CASE WHEN kpis_with_evidence = 0 THEN 1.0 ELSE kpis_verified / kpis_with_evidence END) >= 0.8
@@ -200,7 +212,7 @@ def run_forecasts(t: dict, k_rank: int = 20, k_forecast: int = 5) -> dict:
     """Per run: rank SKUs by period revenue, forecast the best ``k_forecast``
     of the top ``k_rank`` with the seasonal-naive model (keys with >= 14
     sale days up to the run's as_of), backtest them, fetch actuals."""
-    facts, runs = t["facts"], t["runs"]
+    facts, runs = t.dates, t["runs"]
     rev = DV.assign_runs(facts.groupBy("stock_code", "invoice_date")
                          .agg(F.sum("revenue").alias("revenue")), runs) \
         .groupBy("run_id", "stock_code").agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
@@ -212,10 +224,8 @@ def run_forecasts(t: dict, k_rank: int = 20, k_forecast: int = 5) -> dict:
     demand = daily_demand(facts.join(F.broadcast(fkeys.select("stock_code").distinct()),
                                      "stock_code", "left_semi"), "stock_code")
     dem = demand.join(F.broadcast(fkeys), "stock_code").where(F.col("ds") <= F.col("as_of_date"))
-    ok = forecastable(dem, RUN_KEYS, F.col("as_of_date"))
     # forecast and backtest both read the series: written once
-    series = cut_lineage(densify(dem.join(ok.select(*RUN_KEYS), RUN_KEYS, "left_semi"), RUN_KEYS,
-                                 F.col("as_of_date")))
+    series = cut_lineage(densify(dem, RUN_KEYS, F.col("as_of_date"), min_sale_days=14))
     fc = naive_forecast(series, RUN_KEYS, F.col("as_of_date"))
     bt = naive_backtest(series, RUN_KEYS, F.col("as_of_date"))
     act = demand.join(F.broadcast(fkeys), "stock_code").where(
@@ -323,7 +333,7 @@ def q_eval_factuality_first_column(spark, d):
     t = run_tables(spark, d)
     latest = AR.latest_artifacts(stored_artifacts(t, ("analyst_report",)), ["analyst_report"])
     stored, narr = stored_kpis_from(latest)
-    first = DV.evidence_first_columns(t["facts"], t["runs"])
+    first = DV.evidence_first_columns(t.dates, t["runs"])
     out = EV.eval_factuality(stored, stored.select("run_id", "name", "value"), narr,
                              first_columns=first)
     return out.select("run_id", "total_kpis", "kpis_with_evidence", "kpis_verified",

@@ -7,29 +7,24 @@ top-20 SKUs by visible revenue (sparse series that exercise gap filling).
 from __future__ import annotations
 
 from tillcycle.operators import kpis as K
-from tillcycle.operators.demand import daily_demand, densify, forecastable, series_stats
+from tillcycle.operators.demand import daily_demand, densify, series_stats
 from tillcycle.operators.naive import naive_backtest, naive_forecast
-from tillcycle.plans.queries_core import AS_OF, PREFIX, TOP20_SQL, visible_facts
+from tillcycle.plans.queries_core import (
+    AS_OF, DEMAND_COLUMNS, PREFIX, RANK_COLUMNS, TOP20_SQL, visible_facts)
 from tillcycle.plans.registry import register
 
 D_AS_OF = f"DATE '{AS_OF}'"
 
 
 def brand_series(spark, d):
-    vis = visible_facts(spark, d, description=False, country=False,
-                        part_attrs={"brand": "p_brand"})
-    dem = daily_demand(vis, "brand")
-    keys = forecastable(dem, "brand", AS_OF)
-    return densify(dem.join(keys.select("brand"), "brand", "left_semi"), "brand", AS_OF)
+    vis = visible_facts(spark, d, ["invoice_date", "quantity"], part_attrs={"brand": "p_brand"})
+    return densify(daily_demand(vis, "brand"), "brand", AS_OF, min_sale_days=14)
 
 
 def top20_series(spark, d):
-    vis = visible_facts(spark, d, description=False, country=False)
+    vis = visible_facts(spark, d, RANK_COLUMNS)
     top = K.top_keys(vis, "stock_code", 20)
-    dem = daily_demand(vis, "stock_code", keys=top)
-    keys = forecastable(dem, "stock_code", AS_OF)
-    return densify(dem.join(keys.select("stock_code"), "stock_code", "left_semi"),
-                   "stock_code", AS_OF)
+    return densify(daily_demand(vis, "stock_code", keys=top), "stock_code", AS_OF, min_sale_days=14)
 
 
 def _series_sql(key_expr: str, key: str, restrict: str = "") -> str:
@@ -74,8 +69,9 @@ st AS (SELECT {K}, AVG(y) FILTER (WHERE y > 0) AS mean_pos, STDDEV_SAMP(y) AS sd
        FROM series GROUP BY {K}),
 tgt AS (SELECT {", ".join(f"st.{k}" for k in keys)}, r.i, CAST({a_st} + CAST(r.i AS INTEGER) AS DATE) AS target
         FROM st, range(1, 29) r(i)),
-lk AS (SELECT {tk}, t.i, w.w, s.y FROM tgt t, range(1, 5) w(w), series s
-       WHERE {_on("s", "t", keys)} AND s.ds = CAST(t.target - CAST(7 * w.w AS INTEGER) AS DATE)),
+recent AS (SELECT {K}, y, date_diff('day', {asof}, ds) AS back FROM series WHERE ds > CAST({asof} - 28 AS DATE)),
+lk AS (SELECT {K}, back + 7 * w AS i, w, y FROM (SELECT *, unnest([1, 2, 3, 4]) AS w FROM recent)
+       WHERE back + 7 * w BETWEEN 1 AND 28),
 pos AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, i ORDER BY w) AS p FROM lk),
 ag AS (SELECT {K}, i, COUNT(*) AS nf,
               SUM(y * CASE WHEN p <= 2 THEN 2 ELSE 1 END) / SUM(CASE WHEN p <= 2 THEN 2 ELSE 1 END) AS wavg,
@@ -219,13 +215,11 @@ FROM dr LEFT JOIN ch ON true""")
 def q_forecast_summary(spark, d):
     """AG15/AG16 for the reference's shape: top 20 ranked, top 5 forecast."""
     from pyspark.sql import functions as F
-    vis = visible_facts(spark, d, description=False, country=False)
+    vis = visible_facts(spark, d, RANK_COLUMNS)
     top = K.top_keys(vis, "stock_code", 20)
     dem = daily_demand(vis, "stock_code", keys=top)
     top5 = top.where(F.col("rank") <= 5).select("stock_code")
-    ok = forecastable(dem, "stock_code", AS_OF)
-    series = densify(dem.join(ok.select("stock_code"), "stock_code", "left_semi")
-                     .join(top5, "stock_code", "left_semi"), "stock_code", AS_OF)
+    series = densify(dem.join(top5, "stock_code", "left_semi"), "stock_code", AS_OF, min_sale_days=14)
     st = series_stats(series, "stock_code")
     ch = st.agg(F.count(F.lit(1)).alias("n_keys"),
                 F.count_if(F.col("model") == "gbt").alias("n_gbt"))
@@ -278,11 +272,8 @@ def q_same_weekday_brand(spark, d):
 # ------------------------------------------------------------ whole catalogue
 def all_sku_series(spark, d):
     """Every SKU with >= 14 sale days up to as_of, densified (all keys in one plan)."""
-    vis = visible_facts(spark, d, description=False, country=False, customer=False)
-    dem = daily_demand(vis, "stock_code")
-    keys = forecastable(dem, "stock_code", AS_OF)
-    return densify(dem.join(keys.select("stock_code"), "stock_code", "left_semi"),
-                   "stock_code", AS_OF)
+    vis = visible_facts(spark, d, DEMAND_COLUMNS)
+    return densify(daily_demand(vis, "stock_code"), "stock_code", AS_OF, min_sale_days=14)
 
 
 ALL_SKU_SERIES = PREFIX + _series_sql("stock_code", "stock_code")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tillcycle.operators import policy as PO
 from tillcycle.operators import report as RP
 from tillcycle.operators.kpis import top_skus
-from tillcycle.plans.queries_core import AS_OF, PREFIX, START, visible_facts
+from tillcycle.plans.queries_core import (
+    AS_OF, DEMAND_COLUMNS, KPI_COLUMNS, KPIS_CTE, PREFIX, RANK_COLUMNS, START, described, visible_facts)
 from tillcycle.plans.queries_cycle import AUDIT_SQL, BASE, REVIEW_SQL, SUMMARY_SQL, TASKS_SQL, cycle
 from tillcycle.plans.queries_forecast import BRAND_SERIES, brand_series, forecast_sql
 from tillcycle.plans.registry import register
@@ -24,7 +25,7 @@ SELECT ROUND(SUM(CASE WHEN rk <= 5 THEN total_revenue ELSE 0 END), 2) AS top5_re
        ROUND(ROUND(SUM(CASE WHEN rk <= 5 THEN total_revenue ELSE 0 END), 2) / ROUND(SUM(total_revenue), 2), 4) AS top5_share
 FROM r""")
 def q_concentration(spark, d):
-    top = top_skus(visible_facts(spark, d, country=False), START, AS_OF, k=10)
+    top = top_skus(visible_facts(spark, d, RANK_COLUMNS), START, AS_OF, k=10, lines_of=described(spark, d))
     return RP.concentration(top)
 
 
@@ -41,7 +42,7 @@ SELECT name, value, array_to_string(list_transform(string_split(replace(name, '_
          lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS label FROM k""")
 def q_kpi_view(spark, d):
     from tillcycle.operators.kpis import period_kpis
-    k = period_kpis(visible_facts(spark, d, description=False, country=False), START, AS_OF)
+    k = period_kpis(visible_facts(spark, d, KPI_COLUMNS), START, AS_OF)
     return RP.kpi_view(k.select("name", "value"))
 
 
@@ -101,7 +102,7 @@ SELECT stock_code, NULL, 'high_return_rate', rate FROM rr WHERE lines >= 5 AND r
 @register("anomaly_flags", "PO5 PO2 PO1", ANOMALY_SQL)
 def q_anomalies(spark, d):
     from tillcycle.operators.asof import in_period
-    vis = visible_facts(spark, d, description=False, country=False, part_attrs={"brand": "p_brand"})
+    vis = visible_facts(spark, d, DEMAND_COLUMNS, part_attrs={"brand": "p_brand"})
     a = PO.weekly_anomalies(vis, "brand").select(F.col("brand").alias("key"), "week", "flag", "value")
     r = PO.high_return_rates(in_period(vis, START, AS_OF), "stock_code").select(
         F.col("stock_code").alias("key"), F.lit(None).cast("date").alias("week"),
@@ -130,7 +131,7 @@ def raw_lines(spark, d):
         F.col("o_custkey").cast("string").alias("CustomerID"), F.col("n_name").alias("Country"))
 
 
-@register("ingest_roundtrip", "PR1 PR2 PR3 PR4 PR5 PR6 PR7 PR8 SC1 SC3", f"WITH {FACT_SALES_SQL}\n"
+@register("ingest_roundtrip", "PR1 PR2 PR3 PR4 PR5 PR6 PR7 PR8", f"WITH {FACT_SALES_SQL}\n"
           "SELECT invoice_no, invoice_date, stock_code, description, quantity, unit_price, "
           "customer_id, country, revenue FROM fact_sales")
 def q_ingest_roundtrip(spark, d):
@@ -139,9 +140,17 @@ def q_ingest_roundtrip(spark, d):
     return c.where(~F.col("_bad_date")).select(*FACT_COLUMNS)
 
 
-@register("kpi_evidence", "PR14 PR15 SC7")
+@register("kpi_evidence", "PR14 PR15", KPIS_CTE + """,
+t AS (SELECT name, CAST(CAST(ROUND(value, 6) AS DECIMAL(38,6)) AS VARCHAR) AS value, unit, period FROM k),
+h AS (SELECT md5(name || '|' || value || '|' || unit || '|' || period) AS h FROM t)
+SELECT 'total_kpis' AS run_at, '""" + f"{START};{AS_OF}" + """' AS params, 'five KPIs of the period' AS sql,
+       (SELECT CAST(to_json(list({'name': name, 'value': value, 'unit': unit, 'period': period} ORDER BY name)) AS VARCHAR) FROM t) AS result_preview,
+       COUNT(*) AS rows,
+       CAST(SUM(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(SUM(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS fingerprint
+FROM h""")
 def q_kpi_evidence(spark, d):
     from tillcycle.operators.kpis import period_kpis
-    k = period_kpis(visible_facts(spark, d, description=False, country=False), START, AS_OF)
-    return RP.evidence(k, "total_kpis", [START, AS_OF])
+    k = period_kpis(visible_facts(spark, d, KPI_COLUMNS), START, AS_OF)
+    e = RP.evidence(k, "total_kpis", [START, AS_OF], sql="five KPIs of the period")
+    return e.withColumn("params", F.array_join("params", ";"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcycle.functions.text import COLOUR_PATTERN, PACK_PATTERN
-from tillcycle.operators.retrieval import chunk, sparse_topk, text_features, vector_topk
+from tillcycle.operators.retrieval import chunk, terms_topk, tfidf_terms, vector_topk
 from tillcycle.operators.taxonomy import build_dim_product, product_texts
-from tillcycle.plans.registry import register
+from tillcycle.plans.registry import REGISTRY, register
+from tillcycle.session import cut_lineage
 from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales, read_table
 
 
-@register("clean_descriptions", "TX1 SO1 SO2 FI6", f"""WITH {FACT_SALES_SQL},
+@register("clean_descriptions", "TX1 SO1 FI6", f"""WITH {FACT_SALES_SQL},
 p AS (SELECT DISTINCT stock_code, description FROM fact_sales WHERE description <> '')
 SELECT stock_code, description,
        regexp_replace(regexp_replace(
@@ -21,12 +22,12 @@ SELECT stock_code, description,
          '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS clean_desc
 FROM p""")
 def q_clean(spark, d):
-    return product_texts(fact_sales(spark, d, country=False))
+    return product_texts(fact_sales(spark, d, ["stock_code", "description"]))
 
 
 @register("dim_product", "TX2 TX3 TX4 TX5 TX8 TX9 SO3 JO9 SC14")
 def q_dim_product(spark, d):
-    return build_dim_product(fact_sales(spark, d, country=False), n_clusters=30, n_init=10)
+    return build_dim_product(fact_sales(spark, d, ["stock_code", "description"]), n_clusters=30, n_init=10)
 
 
 CHUNK_SQL = """
@@ -37,7 +38,7 @@ FROM (SELECT doc_id, parts, generate_subscripts(parts, 1) AS i FROM (
   FROM documents))"""
 
 
-@register("doc_chunks", "TX6 SC15", CHUNK_SQL.format(sep="chr(10) || chr(10)"))
+@register("doc_chunks", "TX6", CHUNK_SQL.format(sep="chr(10) || chr(10)"))
 def q_chunks(spark, d):
     return chunk(read_table(spark, d, "documents"), "doc_id", "text", "\n\n")
 
@@ -76,26 +77,59 @@ def q_vector_topk(spark, d):
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("benchmark_retrieval", "TX2 TX6 TX7")
+def _tokens_sql(cte: str, source: str) -> str:
+    return f"""{cte} AS (SELECT id, term, COUNT(*) AS tf FROM (
+  SELECT id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM {source})
+  WHERE term <> '' GROUP BY id, term)"""
+
+
+RETRIEVAL_SQL = "WITH para AS (SELECT doc_id * 1048576 + chunk_id AS id, text FROM (" \
+    + CHUNK_SQL.format(sep="chr(10) || chr(10)") + """)),
+every AS (SELECT id, text FROM para UNION ALL SELECT -item_id - 1, text FROM benchmark),
+""" + _tokens_sql("tf", "every") + """,
+idf AS (SELECT term, ln(((SELECT COUNT(DISTINCT id) FROM every) + 1.0) / (COUNT(*) + 1.0)) AS idf FROM tf GROUP BY term),
+w AS (SELECT id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+n AS (SELECT id, sqrt(SUM(w * w)) AS norm FROM w GROUP BY id),
+v AS (SELECT w.id, term, w / (norm + 1e-9) AS w FROM w JOIN n ON w.id = n.id),
+s AS (SELECT -q.id - 1 AS item_id, c.id, ROUND(SUM(q.w * c.w), 9) AS score
+      FROM v q JOIN v c ON q.term = c.term WHERE q.id < 0 AND c.id >= 0 GROUP BY q.id, c.id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT item_id, CAST(id // 1048576 AS BIGINT) AS doc_id, CAST(id % 1048576 AS INTEGER) AS chunk_id,
+       ROUND(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+CHUNK_SPAN = 1 << 20
+
+
+@register("benchmark_retrieval", "TX2 TX6 TX7 TK6", RETRIEVAL_SQL)
 def q_benchmark_retrieval(spark, d):
     """Benchmark passages as queries against document paragraphs (sparse
     TF-IDF cosine, top 3): which documents carry each benchmark passage.
-    IDF is fitted on the paragraphs; queries use the same buckets."""
+    Document frequencies count paragraphs and passages."""
     docs = chunk(read_table(spark, d, "documents"), "doc_id", "text", "\n\n")
     # one long id per paragraph (doc_id * 2^20 + chunk_id); benchmark items negative
-    corpus_text = docs.select((F.col("doc_id") * CHUNK_SPAN + F.col("chunk_id")).alias("id"), "text")
+    corpus = docs.select((F.col("doc_id") * CHUNK_SPAN + F.col("chunk_id")).alias("id"), "text")
     bench = read_table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
-    # JVM-side hashed TF -> IDF -> L2 (sparse ML vectors, no shuffle per token)
-    both, _ = text_features(corpus_text.unionByName(bench), "text", NUM_FEATURES, out_col="vec",
-                            as_vector=True)
-    corpus = both.where(F.col("id") >= 0).select("id", "vec")
-    queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "vec")
-    top = sparse_topk(corpus, queries, k=3, id_col="id", query_id="item_id",
-                      num_features=NUM_FEATURES)
+    both = cut_lineage(tfidf_terms(corpus.unionByName(bench), "id"))   # read as corpus and as queries
+    queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "term", "w")
+    top = terms_topk(both.where(F.col("id") >= 0), queries, k=3, id_col="id", query_id="item_id")
     return top.select("item_id", F.floor(F.col("id") / CHUNK_SPAN).cast("long").alias("doc_id"),
                       F.pmod(F.col("id"), F.lit(CHUNK_SPAN)).cast("int").alias("chunk_id"),
                       F.round("score", 6).alias("score"), "rank")
 
 
-CHUNK_SPAN = 1 << 20
-NUM_FEATURES = 1 << 12
+CLEAN_SQL = dict((n, q.sql) for n, q in REGISTRY.items())["clean_descriptions"]
+
+
+@register("distinct_clean_texts", "SO2 TX1", CLEAN_SQL.replace("SELECT stock_code, description,", "SELECT DISTINCT", 1))
+def q_distinct_clean(spark, d):
+    """The texts that the taxonomy clusters, each once."""
+    return product_texts(fact_sales(spark, d, ["stock_code", "description"])).select("clean_desc").distinct()
+
+
+@register("dim_product_keys", "SO3 TX9 TX1", CLEAN_SQL.replace("SELECT stock_code, description,", "SELECT stock_code, min(description) AS first_text,", 1)
+          .replace("AS clean_desc\nFROM p", "AS canonical_description\nFROM (SELECT stock_code, min(description) AS description FROM p GROUP BY stock_code) GROUP BY stock_code, description"))
+def q_dim_product_keys(spark, d):
+    """The product rows without their cluster: one per SKU, that of its
+    alphabetically first description."""
+    t = product_texts(fact_sales(spark, d, ["stock_code", "description"]))
+    return t.groupBy("stock_code").agg(F.min("description").alias("first_text"),
+                                       F.min_by("clean_desc", "description").alias("canonical_description"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -21,7 +22,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.timestampType", "TIMESTAMP_NTZ")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "10g")
         # checkpoint files of frames no longer referenced are removed
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
@@ -49,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def bounded_broadcast(df, max_rows: int = 100_000):
+    """``df`` with a broadcast hint if it is counted to have at most
+    ``max_rows`` rows, else as it is (a shuffle join, which AQE may split)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (reliable
     checkpoint; survives executor loss) and return the truncated frame."""

@@ -35,24 +35,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def fact_sales(spark: SparkSession, sf_dir: str, *, description: bool = True,
-               country: bool = True, customer: bool = True,
+def fact_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, *,
                part_attrs: dict[str, str] | None = None,
-               where: Column | None = None) -> DataFrame:
-    """The ``fact_sales`` relation built from the source tables.
-
-    ``description`` / ``country`` switch the part / customer+nation joins;
-    ``customer=False`` (only with ``country=False``) also skips the orders
-    join, for jobs that read no customer column;
-    ``part_attrs`` adds part columns under new names (e.g. ``{"brand":
-    "p_brand"}``) for keyed forecasting at a coarser grain.  ``where`` is a
-    predicate over lineitem columns applied at the scan (pushed down).
+               where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The ``fact_sales`` relation built from the source tables, with the
+    ``columns`` asked for (all nine if none are named).
+
+    The columns decide the joins: orders is joined for customer_id (and
+    country), part for description and ``part_attrs`` (part columns under new
+    names, e.g. ``{"brand": "p_brand"}``, for a coarser grain), customer and
+    nation for country.  ``where`` is a predicate over lineitem columns applied
+    at the scan (pushed down).  ``only`` is a frame of at most a few stock_codes
+    (a top-k result): lines of other codes go before any dimension is joined.
     """
+    wanted = list(columns or FACT_COLUMNS)
+    description, country = "description" in wanted, "country" in wanted
+    customer = "customer_id" in wanted
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_shipdate")
     if where is not None:
         li = li.where(where)
+    if only is not None:
+        keys = F.broadcast(only.select(F.col("stock_code").alias("_only")))
+        li = li.join(keys, li.l_partkey.cast("string") == F.col("_only"), "left_semi")
     if customer or country:
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
         df = li.join(orders, li.l_orderkey == orders.o_orderkey)
@@ -94,8 +100,8 @@ def fact_sales(spark: SparkSession, sf_dir: str, *, description: bool = True,
     if country:
         cols.append(F.col("country"))
     cols += [F.col(c) for c in (part_attrs or {})]
-    out = df.select(*cols)
-    return out.withColumn("revenue", F.col("quantity") * F.col("unit_price"))
+    out = df.select(*cols).withColumn("revenue", F.col("quantity") * F.col("unit_price"))
+    return out.select(*wanted, *(part_attrs or {}))
 
 
 FACT_SALES_SQL = """
