@@ -18,6 +18,7 @@ gives no piece.  Columns but doc_id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,48 +32,66 @@ from pyspark.sql import functions as F
 
 from tillcycle.llm.common import written
 
-WINDOW, END_ID, CACHE, SLICE_CHARS = 1024, 0, 400_000, 1_000_000
-_AFTER_WORD = re.compile(r"(?<=\S)(?= )")
-_SPACE_SPACE = re.compile(r"\s ")
-_encoders: dict[str, WordCachedEncoder] = {}
+WINDOW, END_ID = 1024, 0
+#: Beyond Latin letters the libraries' Unicode tables may differ: such texts go the plain way.
+_OTHER_SCRIPTS = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
+#: The byte-level pre-tokenizer's pattern, without needless backtracking.
+_PIECE = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
+_encoders: dict[str, Encoder] = {}
 
 
-class WordCachedEncoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, looked up a blank-led word at a time.
+def _byte_of_char() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 ones are
+    themselves, the others count up from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    Its pre-tokenizer never lets a token cross from a non-space to a blank, so the text may
-    be cut there: ids of the parts, joined, are the ids of the text."""
+
+class Encoder:
+    """Ids of whole texts by the tokenizer file at ``path``.
+
+    Where the file is a byte-level BPE whose merges are in the order of their ids, its ranks
+    are read into a faster encoder with the same ids; texts with special tokens or other
+    scripts, and all other files, go through the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        if _SPACE_SPACE.search(text):
-            return [x for x in _AFTER_WORD.split(text) if x]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + x for x in rest]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        known = self.known
-        new = {p for ps in parts for p in ps if p not in known}
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = {p for ps in parts for p in ps}
-            order = list(new)
-            for p, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in parts]
-
-
-def encoder(path: str) -> WordCachedEncoder:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = self._ranked(spec)
+
+    def _ranked(self, spec: dict):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = (model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel"
+                 and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+                 and not model.get("dropout") and not model.get("ignore_merges")
+                 and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+        if not plain:
+            return None
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [vocab["".join(m)] for m in pairs]
+        if any(x >= y for x, y in zip(ids, ids[1:])):
+            return None
+        import tiktoken
+        of = _byte_of_char()
+        ranks = {bytes(of[c] for c in word): i for word, i in vocab.items() if word not in self.special}
+        return tiktoken.Encoding("ranks", pat_str=_PIECE, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast and not _OTHER_SCRIPTS.search(text) and not any(x in text for x in self.special):
+            return np.array(self.fast.encode_ordinary(text), self.dtype)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = WordCachedEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -87,27 +106,19 @@ def measured(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END
     """Per row: number of ids, checksums of full windows, and the remainder."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
-            ids_col, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < SLICE_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                rows = []
-                for data in encode(texts[at:to]):
-                    ids = np.frombuffer(data + end, encode.dtype)
-                    full = len(ids) // window
-                    rest = ids[full * window:]
-                    rows.append((len(ids), [_crc(ids[i * window:(i + 1) * window]) for i in range(full)],
-                                 len(rest), _crc(rest), rest.tobytes()))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                    pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids_col.slice(at, to - at), *cols],
+            rows = []
+            for text in batch.column(1).to_pylist():
+                ids = np.append(encode(text or ""), np.array(end_id, encode.dtype))
+                full = len(ids) // window
+                rest = ids[full * window:]
+                rows.append((len(ids), [_crc(ids[i * window:(i + 1) * window]) for i in range(full)],
+                             len(rest), _crc(rest), rest.tobytes()))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+                pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols],
                                                  names=["doc_id", "tokens", "crcs", "rem", "rem_crc", "rem_ids"])
-                at = to
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, _MEASURED)
 
