@@ -84,9 +84,9 @@ def test_action_plan_first_task_per_type(spark):
         "run_id string, action_id string, action_type string, description string, urgency string, "
         "expected_impact string")
     tasks = spark.createDataFrame(
-        [("r", "t2", "restock", "warehouse_team", "2011-07-05", "Stock ok"),
-         ("r", "t1", "restock", "wh_b", "2011-07-03", "Stock b")],
-        "run_id string, task_id string, action_type string, assigned_to string, due_date string, "
+        [("r", "t1", "a7", "restock", "warehouse_team", "2011-07-05", "Stock ok"),
+         ("r", "t2", "a0", "restock", "wh_b", "2011-07-03", "Stock b")],
+        "run_id string, task_id string, action_id string, action_type string, assigned_to string, due_date string, "
         "expected_outcome string")
     got = {x.action_id: x for x in DI.action_plan(acts, tasks).collect()}
     assert (got["a0"].owner, got["a0"].due, got["a0"].impact, got["a0"].priority) == \

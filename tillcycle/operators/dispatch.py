@@ -158,3 +158,18 @@ def action_plan(actions: DataFrame, tasks: DataFrame) -> DataFrame:
         F.coalesce(nz("_owner"), F.lit("-")).alias("owner"),
         F.coalesce(nz("_due"), F.lit("-")).alias("due"),
         F.coalesce(nz("expected_impact"), nz("_outcome"), F.lit("-")).alias("impact"))
+
+
+def reached_stage(runs: DataFrame, artifacts: DataFrame, summary: DataFrame) -> DataFrame:
+    """DI6: where each run's routing leads.  A run without its analyst or
+    forecast report, or without a decision, is only persisted; else it goes to
+    the worker if the review released an action, to the auditor if not (or if
+    there is no review)."""
+    kinds = artifacts.groupBy("run_id").agg(*[
+        F.bool_or(F.col("artifact_type") == t).alias(t) for t in ("analyst_report", "forecast_report", "decision")])
+    j = runs.select("run_id").join(kinds, "run_id", "left") \
+        .join(summary.select("run_id", "auto_release"), "run_id", "left")
+    there = lambda t: F.coalesce(F.col(t), F.lit(False))
+    stage = F.when(~there("analyst_report") | ~there("forecast_report") | ~there("decision"), "persist") \
+        .when(F.coalesce("auto_release", F.lit(0)) > 0, "worker").otherwise("auditor")
+    return j.select("run_id", stage.alias("reached_stage"))

@@ -205,3 +205,49 @@ def eval_decisions(decisions: DataFrame, actions: DataFrame, kpi_names: DataFram
         F.coalesce("vague_actions", F.lit(0)).alias("vague_actions"),
         n_find.alias("n_findings"),
         F.when(score >= pass_at, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+# The sentences of the decision and forecast findings.
+NO_RATIONALE = "Decision rationale is absent or too short (< 20 chars)."
+NO_KPI_REFERENCES = "Decision has no kpi_references — KPI grounding cannot be verified."
+NO_FORECAST_REFERENCES = "Decision has no forecast_references."
+UNKNOWN_KPIS = "KPI references not found in analyst report: ['%s']"
+TOO_SURE = "Confidence is %.2f — suspiciously high. Manager should express uncertainty."
+TOO_UNSURE = "Confidence is %.2f — suspiciously low."
+NO_ACTIONS = "Decision has no actions."
+VAGUE_ACTION = "Action '%s' has no stock_code or category — too vague."
+NO_ACTUALS = "SKU %s: no actuals found beyond %s — forecast vs actual comparison not possible."
+
+
+def decision_findings(scores: DataFrame, actions: DataFrame) -> DataFrame:
+    """EV6: one row per finding, run_id and finding: the decision-level ones
+    from ``eval_decisions``' columns, and one per action without a target (in
+    a table of their own rows, so a run's list is never one value)."""
+    flag = F.col("confidence_flag")
+    unknown = F.regexp_replace("unknown_kpi_references", ";", "', '")
+    checks = [
+        F.when(~F.col("has_rationale"), NO_RATIONALE),
+        F.when(~F.col("has_kpi_references"), NO_KPI_REFERENCES),
+        F.when(~F.col("has_forecast_references"), NO_FORECAST_REFERENCES),
+        F.when(F.col("unknown_kpi_references") != "", F.format_string(UNKNOWN_KPIS, unknown)),
+        F.when(flag == "suspiciously_high", F.format_string(TOO_SURE, F.col("confidence")))
+        .when(flag == "suspiciously_low", F.format_string(TOO_UNSURE, F.col("confidence"))),
+        F.when(F.col("total_actions") == 0, NO_ACTIONS)]
+    whole = scores.select("run_id", F.explode(F.array(*checks)).alias("finding")).where("finding is not null")
+    vague = actions.where((F.coalesce("stock_code", F.lit("")) == "") & (F.coalesce("category", F.lit("")) == ""))
+    return whole.unionByName(vague.select("run_id", F.format_string(VAGUE_ACTION, F.col("action_type")).alias("finding")))
+
+
+def forecast_warnings(per_key: DataFrame, runs: DataFrame) -> DataFrame:
+    """EV4: a warning per forecast key without actuals (run_id, stock_code, warning)."""
+    as_of = bounded_broadcast(runs.select("run_id", F.col("as_of_date").cast("string").alias("_as_of")))
+    return per_key.where(F.col("n_actuals") == 0).join(as_of, "run_id").select(
+        "run_id", "stock_code", F.format_string(NO_ACTUALS, F.col("stock_code"), F.col("_as_of")).alias("warning"))
+
+
+def with_missing(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """SC10: every run asked for with its results and a status, `scored` or,
+    where the artifact to score was never stored, `missing_artifact`."""
+    r = results.withColumn("_there", F.lit(True))
+    return runs.select("run_id").join(r, "run_id", "left").withColumn(
+        "status", F.when(F.col("_there"), "scored").otherwise("missing_artifact")).drop("_there")

@@ -66,7 +66,7 @@ def _score_pair(corpus: pd.DataFrame, queries: pd.DataFrame, k: int, id_col: str
     with the k-th score are all ranked before the cut."""
     unit = lambda rows: (m := np.stack(rows.to_numpy()).astype(np.float64)) / (
         np.linalg.norm(m, axis=1, keepdims=True) + eps)
-    out = []
+    found: tuple[list, list, list] = ([], [], [])
     if len(corpus) and len(queries):
         c, ids = unit(corpus["v"]), corpus[id_col].to_numpy()
         for at in range(0, len(queries), chunk):
@@ -75,8 +75,11 @@ def _score_pair(corpus: pd.DataFrame, queries: pd.DataFrame, k: int, id_col: str
             for q, s, low in zip(queries["query_id"].iloc[at:at + chunk], scores, kth):
                 near = np.flatnonzero(s >= low)
                 best = near[np.lexsort((ids[near], -s[near]))][:k]
-                out.append(pd.DataFrame({"query_id": q, id_col: ids[best], "score": s[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], id_col: [], "score": []})
+                for column, values in zip(found, ([q] * len(best), ids[best].tolist(), s[best].tolist())):
+                    column.extend(values)
+    # ids as objects: they may be of any type
+    return pd.DataFrame({"query_id": pd.Series(found[0], dtype=object), id_col: pd.Series(found[1], dtype=object),
+                         "score": pd.Series(found[2], dtype=float)})
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillcycle.operators import artifacts as AR
 from tillcycle.operators import dispatch as DI
+from tillcycle.operators import evals as EV
 from tillcycle.operators import policy as PO
 from tillcycle.operators.features import build_features, split_holdout
 from tillcycle.operators.naive import naive_forecast
@@ -20,7 +21,8 @@ from tillcycle.operators.validate import action_rules, coerce_actions, validate,
 from tillcycle.plans.queries_core import AS_OF
 from tillcycle.plans.queries_cycle import (
     AUDIT_SQL, BASE, DATE_COLUMNS, REVIEW_SQL, SETTINGS, SUMMARY_SQL, TASKS_SQL, cycle)
-from tillcycle.plans.queries_evals import run_tables, stored_artifacts
+from tillcycle.plans.queries_evals import (
+    DEC_EVAL_SQL, FC_EVAL_SQL, run_forecasts, run_tables, stored_artifacts)
 from tillcycle.plans.queries_forecast import BRAND_SERIES, _features_sql, brand_series, forecast_sql
 from tillcycle.plans.queries_report import raw_lines
 from tillcycle.plans.registry import register
@@ -226,3 +228,74 @@ def q_tree_split(spark, d):
     f = split_holdout(build_features(brand_series(spark, d), "brand"), ["brand"], 28)
     return f.groupBy("brand", "is_test").agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("first_ds"),
                                              F.max("ds").alias("last_ds"), F.round(F.avg("y"), 6).alias("mean_y"))
+
+
+# ------------------------------------------------------------ stored artifacts, scored
+APRIL = "month(as_of_date) <> 4"
+
+
+@register("stored_forecast_eval", "EV4 TS18 SC10 AG21", FC_EVAL_SQL + f"""
+SELECT r.run_id, CASE WHEN x.run_id IS NULL THEN 'missing_artifact' ELSE 'scored' END AS status,
+       x.total_skus_forecasted, x.skus_with_actuals, x.overall_actual_mape, x.overall_actual_rmse
+FROM runs r LEFT JOIN (
+  SELECT run_id, COUNT(*) AS total_skus_forecasted, COUNT(*) FILTER (WHERE n_actuals > 0) AS skus_with_actuals,
+         ROUND(AVG(actual_mape), 6) AS overall_actual_mape, ROUND(AVG(actual_rmse), 6) AS overall_actual_rmse
+  FROM per WHERE run_id IN (SELECT run_id FROM runs WHERE {APRIL}) GROUP BY run_id) x ON r.run_id = x.run_id""")
+def q_stored_forecast_eval(spark, d):
+    """The forecast rows and backtests of every run but April's stored as
+    tables, read back and scored; April's report is missing."""
+    t = run_tables(spark, d)
+    f, at = run_forecasts(t), new_folder(spark, "forecasts")
+    stored = t["runs"].where(APRIL).select("run_id")
+    for name in ("forecast", "backtest"):
+        AR.append(f[name].drop("as_of_date").join(F.broadcast(stored), "run_id", "left_semi"),  # one row per month
+                  f"{at}/{name}")
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    _, summary = EV.eval_forecast(read("forecast"), read("backtest"), f["actuals"].drop("as_of_date"),
+                                  ["run_id", "stock_code"])
+    return EV.with_missing(t["runs"], summary)
+
+
+@register("forecast_warnings", "EV4", FC_EVAL_SQL + f"""
+SELECT p.run_id, p.stock_code, printf('{EV.NO_ACTUALS}', p.stock_code, CAST(r.as_of_date AS VARCHAR)) AS warning
+FROM per p JOIN runs r ON p.run_id = r.run_id WHERE p.n_actuals = 0""")
+def q_forecast_warnings(spark, d):
+    t = run_tables(spark, d)
+    f = run_forecasts(t)
+    per, _ = EV.eval_forecast(*[f[n].drop("as_of_date") for n in ("forecast", "backtest", "actuals")],
+                              ["run_id", "stock_code"])
+    return EV.forecast_warnings(per, t["runs"])
+
+
+@register("decision_findings", "EV6", DEC_EVAL_SQL[:DEC_EVAL_SQL.rindex("SELECT run_id")].rstrip() + f""",
+e AS (SELECT run_id, unnest([
+    CASE WHEN NOT has_rationale THEN '{EV.NO_RATIONALE}' END,
+    CASE WHEN NOT has_kpi_references THEN '{EV.NO_KPI_REFERENCES}' END,
+    CASE WHEN NOT has_forecast_references THEN '{EV.NO_FORECAST_REFERENCES}' END,
+    CASE WHEN unknown_kpi_references <> '' THEN
+      'KPI references not found in analyst report: [''' || replace(unknown_kpi_references, ';', ''', ''') || ''']' END,
+    CASE WHEN confidence_flag = 'suspiciously_high' THEN printf('{EV.TOO_SURE}', confidence)
+         WHEN confidence_flag = 'suspiciously_low' THEN printf('{EV.TOO_UNSURE}', confidence) END,
+    CASE WHEN total_actions = 0 THEN '{EV.NO_ACTIONS}' END]) AS finding FROM y)
+SELECT run_id, finding FROM e WHERE finding IS NOT NULL
+UNION ALL SELECT run_id, 'Action ''' || action_type || ''' has no stock_code or category — too vague.' FROM actions
+WHERE COALESCE(stock_code, '') = '' AND COALESCE(category, '') = ''""")
+def q_decision_findings(spark, d):
+    t = run_tables(spark, d)
+    scores = EV.eval_decisions(t["decisions"], t["actions"], t["kpis"].select("run_id", "name"))
+    return EV.decision_findings(scores, t["actions"])
+
+
+@register("run_routes", "DI6", BASE + REVIEW_SQL + SUMMARY_SQL + """
+SELECT r.run_id, CASE WHEN month(r.as_of_date) IN (4, 8, 12) THEN 'persist'
+       WHEN s.auto_release > 0 THEN 'worker' ELSE 'auditor' END AS reached_stage
+FROM runs r JOIN summary s ON r.run_id = s.run_id""")
+def q_run_routes(spark, d):
+    """Routing of runs of which April's forecast report, August's decision and
+    December's analyst report were never stored."""
+    t = cycle(spark, d)
+    kinds = F.array(F.when(F.month("as_of_date") != 12, F.lit("analyst_report")),
+                    F.when(F.month("as_of_date") != 4, F.lit("forecast_report")),
+                    F.when(F.month("as_of_date") != 8, F.lit("decision")))
+    artifacts = t["runs"].select("run_id", F.explode(kinds).alias("artifact_type")).where("artifact_type is not null")
+    return DI.reached_stage(t["runs"], artifacts, t["summary"])
