@@ -106,3 +106,15 @@ def test_policy_helpers(spark):
     fc = spark.createDataFrame([("A", dt.date(2011, 7, 1) + dt.timedelta(days=i), 10.0) for i in range(28)],
                                "k string, ds date, yhat double")
     assert PO.order_quantities(fc, "k").first().order_qty == 77
+
+
+def test_series_read_the_lines_once_and_no_orders(spark):
+    from tillcycle.plans import queries_core as QC
+    from tillcycle.plans import queries_forecast as QF
+    scans = lambda p, table: p.count(f"/{table}.parquet")
+    for series, lines in ((QF.brand_series, 1), (QF.all_sku_series, 1), (QF.top20_series, 2)):
+        p = _plan(series(spark, SF_SMALL))
+        assert scans(p, "lineitem") == lines and scans(p, "orders") == 0, series
+    for query in (QC.q_forecast_candidates, QC.q_daily_demand, QC.q_top_skus, QC.q_bottom_skus):
+        assert scans(_plan(query(spark, SF_SMALL)), "orders") == 0, query
+    assert scans(_plan(QC.q_kpis(spark, SF_SMALL)), "orders") > 0
