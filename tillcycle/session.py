@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,9 @@ def bounded_broadcast(df, max_rows: int = 100_000):
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder (reliable
-    checkpoint; survives executor loss) and return the truncated frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # Cache first: a reliable checkpoint otherwise computes the plan twice
-    # (once for the eager count, once more to write the files).
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    """Write ``df`` as a Parquet table into the shared checkpoint folder and
+    read it back: computed once, survives lost executors, read column by
+    column, and its size is known to the joins that follow."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
