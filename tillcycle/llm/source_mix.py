@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import WORD
+from tillcycle.llm.common import WORD, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -72,6 +72,7 @@ def mix(docs: DataFrame, total_share: float = 1.5, max_repeat: float = 2.0,
     d = d.select("*", source_key(F.col("source")).alias("sk"),
                  (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("long")
                   % buckets).cast("int").alias("bucket"))
+    d = written(d, "sizes")  # narrow, so that texts are scanned once
     cells = d.groupBy("sk", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     per_size = cells.groupBy("sk", "size").agg(F.sum("n").alias("n_size"))
     per_source = per_size.groupBy("sk").agg(F.sum(F.col("size") * F.col("n_size")).alias("source_size"))
