@@ -81,10 +81,12 @@ def _paths(messages: DataFrame, top: int) -> DataFrame:
     largest = m.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while 1 << (len(steps) - 1) < largest:  # after this round nobody looks back to a message
         s = steps[-1]
-        far = (s.alias("s").join(s.alias("t"), key("s", "t") & (F.col("s.up") == F.col("t.node")), "left")
+        # only messages that still look back to one; those at their root are done
+        far = (s.where("up is not null").alias("s")
+               .join(s.alias("t"), key("s", "t") & (F.col("s.up") == F.col("t.node")))
                .select("s.tree", "s.node", F.col("t.up").alias("up"),
-                       (F.col("s.total") + F.coalesce("t.total", F.lit(0.0))).alias("total")))
-        steps.append(written(far, f"step{len(steps)}"))
+                       (F.col("s.total") + F.col("t.total")).alias("total")))
+        steps.append(written(s.where("up is null").unionByName(far), f"step{len(steps)}"))
         if steps[-1].where("up is not null").isEmpty():
             break
     parents = steps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
