@@ -148,7 +148,7 @@ class Crf:
 class Labeller:
     """A model with the emissions of words met so far; forgets them beyond ``most``."""
 
-    def __init__(self, model: Crf, most: int = 300_000):
+    def __init__(self, model: Crf, most: int = 200_000):
         self.model, self.most = model, most
         self.forget()
 
@@ -176,7 +176,7 @@ class Labeller:
         out = [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in parts]
         return [n[n >= 0] for n in out]
 
-    def marginals(self, texts: list[str], cells: int = 1 << 20):
+    def marginals(self, texts: list[str], cells: int = 1 << 18):
         """(index, (T, K) marginals) of each text that has a letter; texts of like length are
         processed together, at most ``cells`` words with padding, or one text."""
         numbers = self.numbers(texts)

@@ -61,6 +61,19 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, **kw) -> Crf | None:
     return Crf.fit(seqs, **kw) if seqs else None
 
 
+def _in_slices(labeller: Labeller, texts: list[str], chars: int = 1_000_000):
+    """`Labeller.marginals` of so many texts at a time that their words stay small in memory."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= chars):
+            size += len(texts[to])
+            to += 1
+        for i, gamma in labeller.marginals(texts[at:to]):
+            yield at + i, gamma
+        at = to
+
+
 _labellers: dict[str, tuple[Crf, Labeller]] = {}
 _SCHEMA = "doc_id long, lang_pred string, score double, runs array<struct<lang:string,words:long>>"
 
@@ -78,7 +91,7 @@ def predict(docs: DataFrame, model: Crf | None, with_runs: bool = True) -> DataF
             texts = [t or "" for t in batch.column(1).to_pylist()]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             runs: list[list[dict]] = [[] for _ in texts]
-            found = _labellers["now"][1].marginals(texts) if model is not None else ()
+            found = _in_slices(_labellers["now"][1], texts) if model is not None else ()
             for i, gamma in found:
                 mass = gamma.mean(axis=0, dtype=np.float64)
                 best = int(mass.argmax())
