@@ -89,3 +89,28 @@ def test_empty_nulls_and_query(spark):
     ids = sorted(texts)
     want = plain_components([fps[i] for i in ids])
     assert {r["doc_id"]: r["component_id"] for r in rows} == {i: ids[w] for i, w in zip(ids, want)}
+
+
+def test_keep_first_without_ids_and_with_one_id_on_two_texts(spark):
+    a, b, c, d, e = (word_soup(700 + i, 120, 5000) for i in range(5))
+    rows = [(None, a), (None, a.upper()), (None, b), (None, c), (5, c), (7, c), (None, d),
+            (3, d), (3, e), (2, e), (3, e), (9, a + " "), (None, None), (None, ""), (8, b), (8, word_soup(9, 120, 5000))]
+    docs = docs_of(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    roots = plain_components([plain_fingerprint(t) for _, t in rows])
+    want = {}
+    for (i, t), root in zip(rows, roots, strict=True):
+        want[root] = min(want.get(root, (True, 0)), (i is None, i or 0))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0) for r in sd.keep_first(docs).collect()]
+    assert sorted(got) == sorted(want.values()) == [(False, 2), (False, 3), (False, 5), (False, 8), (False, 8),
+                                                    (False, 9), (True, 0)]
+    kept = {(r["doc_id"], r["text"]) for r in sd.keep_first(docs).collect()}
+    assert {(2, e), (3, d), (5, c), (8, b), (9, a + " ")} <= kept and (3, e) not in kept
+    lone = [word_soup(800 + i, 120, 5000) for i in range(6)]
+    for part in (1, 5):  # all without id, whatever the order and the partitions
+        df = docs_of(spark, [*lone, lone[0].upper(), lone[1]], ids=[None] * 8).repartition(part)
+        kept = [r["text"] for r in sd.keep_first(df).collect()]
+        assert sorted(t.lower() for t in kept) == sorted(lone)
+        assert part == 1 or set(kept) == before
+        before = set(kept)
+    swapped = spark.createDataFrame([(None, "t u v w", "x", None, 7), (None, "t u v w", None, "x", 7)], DOCS)
+    assert len({(r[0], r[1]) for r in swapped.select(*sd.row_hashes(swapped)).collect()}) == 2

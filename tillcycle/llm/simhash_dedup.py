@@ -18,7 +18,7 @@ cells, unlike shuffles and edges, grow with the square of the distinct fingerpri
 Defined cases: a null or empty text has no words and fingerprint zero, linked like any
 other; rows with the same doc_id are classed by their own texts; null doc_ids are never a
 component's id (null only if the component has no other).  Columns but doc_id and text are
-not read.
+not read, except that `keep_first` tells rows apart by all columns; rows equal in all are one.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcycle.llm.common import written
@@ -59,14 +59,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long, per row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint's 64 bits as a signed long, per row; then the long columns ``also``."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]],
+                                             names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+            .mapInArrow(scan, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))))
 
 
 def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,23 +197,41 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, max_cell: int = MAX_CELL) ->
     return pairs
 
 
+def _rooted(classes: DataFrame, max_bits: int, max_cell: int) -> DataFrame:
+    """``classes``, one row per fingerprint ``fp``, with the ``root`` of its component; never null."""
+    roots = components(links(classes, max_bits, max_cell))
+    return (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     max_cell: int = MAX_CELL) -> DataFrame:
     """(doc_id, fp, component_id) per row; component_id is the smallest doc_id reachable."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes, max_bits, max_cell))
-    named = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-             .withColumn("root", F.coalesce("root", "fp")))
+    named = _rooted(classes, max_bits, max_cell)
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(lowest, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **kw) -> DataFrame:
-    """One row of each component: that of the smallest doc_id; rows that share it count as
-    one.  Rows without doc_id stay only where nothing else is in their component."""
-    stay = (near_duplicates(docs, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__stay")).distinct())
-    return (docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__stay")), "left_semi")
-            .dropDuplicates(["doc_id"]))
+def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of all columns of a row, as two longs; nulls count by their place."""
+    cells = [c for n in docs.columns for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *cells)
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+               max_cell: int = MAX_CELL) -> DataFrame:
+    """One row of each component, of those with doc_id if there are any: the first by doc_id,
+    then by fingerprint, then by a hash of the row.  Rows that share a doc_id, or have none,
+    are judged each by its own text."""
+    key = ("__row1", "__row2")
+    keyed = docs.withColumns(dict(zip(key, row_hashes(docs), strict=True)))
+    fps = written(fingerprints(keyed, shingle, key), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first")), "classes")
+    stay = (_rooted(classes, max_bits, max_cell).groupBy("root")
+            .agg(F.min(F.struct("first.no_id", "first.doc_id", "fp", *[f"first.{k}" for k in key])).alias("first"))
+            .select(*[f"first.{k}" for k in key]))
+    return keyed.join(stay, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
