@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 from llm.helpers import same_as_oracle
 
 from tillcycle.llm import url_templates as ut
@@ -41,3 +44,31 @@ def test_bad_templates_are_rejected(spark):
 def test_empty_and_query(spark):
     assert not judged(spark, [])
     same_as_oracle(spark, "op9_url_templates")
+
+
+def test_paths_below_the_third_segment(spark):
+    urls = [f"http://h.net/a/b/c/{w}/{w}{i}" for w in ("spam", "news", "blog") for i in range(200)]
+    urls += ["http://h.net/a/b/c/" + "/".join(f"d{i}" for i in range(300)), "http://h.net/a/b/c", "http://h.net/a/b/c/"]
+    got = judged(spark, urls, [(i, i < 200) for i in range(0, 600, 2)])
+    assert {got[i]["template"] for i in range(600)} == {f"/a/b/c/{w}/{w}<n>" for w in ("spam", "news", "blog")}
+    assert {i for i, r in got.items() if r["verdict"] == "block"} == set(range(200))
+    assert [got[i]["template"] for i in (600, 601, 602)] == [u[len("http://h.net"):] for u in urls[600:]]
+
+
+def test_deep_paths_as_the_sql_of_their_depth(spark):
+    rnd = random.Random(9)
+    seg = lambda: rnd.choice(["", "~", "*", "a", "b", f"p{rnd.randrange(30)}", f"{rnd.choice('klmnopqrstuvwx')}z"])
+    urls = [f"http://h{rnd.randrange(3) // 2}.net" + "".join(f"/{seg()}" for _ in range(rnd.randrange(7)))
+            for _ in range(2500)]
+    bad = [int("/a" in u or rnd.random() < 0.2) for u in urls]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    con.execute("INSERT INTO pages SELECT unnest(?), unnest(?)", [list(range(len(urls))), urls])
+    con.execute("INSERT INTO labels SELECT unnest(?), 1, unnest(?)", [list(range(0, len(urls), 2)), bad[::2]])
+    want = {r[0]: r[1:] for r in con.execute(ut.sql(6)).fetchall()}
+    rows = judged(spark, urls, [(i, bool(bad[i])) for i in range(0, len(urls), 2)])
+    assert {i: (r["host"], r["path"], r["rule"], r["verdict"]) for i, r in rows.items()} == want
+    assert {w[3] for w in want.values()} == {"allow", "block"}
+    shares = con.execute(ut.sql(6).replace("SELECT page_id, d.host", "SELECT page_id, share, d.host")).fetchall()
+    assert all(abs(rows[i]["bad_share"] - x) < 1e-9 for i, x, *_ in shares)

@@ -4,24 +4,28 @@ The path of a URL is split into segments; the tree of one host has a node per pr
 templates.  Level by level, a node with more than ``max_children`` different segments is
 variable: a segment keeps its text only if it holds at least ``min_share`` of the node's
 pages, else it becomes its shape (digit runs written <n>); where there are too many shapes
-as well, a wildcard.  What lies below ``depth`` levels is the wildcard tail of its node.
+as well, a wildcard.  Levels go on to the last segment of the longest path.
 
-From the deepest level up, sibling branches whose labelled share of bad pages does not
-differ from their pooled share (two-proportion z test) become one branch.  A template is
+On every level, sibling branches whose labelled share of bad pages does not differ from
+their pooled share (two-proportion z test) become one branch.  A template is
 rejected when its bad share, smoothed by ``strength`` pages of the corpus's own share,
 is above ``max_bad``.  Explicit rules (host suffix and path prefix, longest first) go before.
 
-Every step is an aggregate and an equi-join on (host, prefix), so a host with a third of
-all pages is split by its paths, and counts are pre-aggregated before the shuffle.
+Tables are long, one row per (host, prefix), so neither their columns nor the plans grow with
+the levels.  Every step is an aggregate and an equi-join on (host, prefix) over distinct paths,
+so repeated pages are counted before the shuffle.  `sql` is written out for ``DEPTH`` levels, as
+many as the given tables have; it agrees with `judge` where no path has more.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import ascii_lower, written
+from tillcycle.llm.common import ascii_lower, shared_dir, written
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
@@ -53,60 +57,82 @@ def _shape(seg: Column) -> Column:
     return F.regexp_replace(seg, "[0-9]+", "<n>")
 
 
-def templates(pages: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN,
-              min_share: float = MIN_SHARE) -> DataFrame:
-    """Adds t1 .. t<depth>, the template of each level (null below the path's end), to rows
-    with host and path."""
-    seg = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    df = pages.withColumn("seg", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(seg))
-    keys = ["host"]
-    for i in range(1, depth + 1):
-        s = f"s{i}"
-        # written level by level: each level reads the one before several times
-        df = written(df.withColumn(s, F.get("seg", F.lit(i - 1))), f"level{i}")
-        seen = written(df.where(F.col(s).isNotNull()).groupBy(*keys, s).agg(F.count(F.lit(1)).alias("n")), f"seen{i}")
-        node = seen.groupBy(*keys).agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("kinds"))
-        shapes = (seen.select(*keys, _shape(F.col(s)).alias("shape")).distinct()
-                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("shapes")))
-        t = (F.when((F.col("kinds") <= max_children) | (F.col("n") >= F.lit(min_share) * F.col("pages")), F.col(s))
-             .when(F.col("shapes") <= max_children, _shape(F.col(s))).otherwise(F.lit("*")))
-        both = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-        named = seen.alias("x").join(node.alias("y"), both("x", "y")).join(shapes.alias("z"), both("x", "z")) \
-            .select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col(f"x.{s}").alias(s), t.alias(f"t{i}"))
-        on = [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in [*keys, s]]
-        df = df.alias("d").join(named.alias("m"), on, "left").select("d.*", f"m.t{i}").drop(s)
-        keys.append(f"t{i}")
-    return df.drop("seg")
-
-
-def purity(stats: DataFrame, depth: int = DEPTH, z: float = Z, strength: float = STRENGTH) -> DataFrame:
-    """From (host, t1.., labelled, bad) per template: the smoothed bad share after merging
-    similar siblings, deepest level first."""
-    levels = [f"t{i}" for i in range(1, depth + 1)]
-    s = stats.select("*", *[F.col(t).alias(f"m{i + 1}") for i, t in enumerate(levels)])
-    for i in range(depth, 0, -1):
-        parent = ["host", *[f"m{j}" for j in range(1, i)]]
-        branch = W.partitionBy(*parent, f"m{i}")
-        pool = W.partitionBy(*parent)
-        s = s.withColumns({"bn": F.sum("labelled").over(branch), "bb": F.sum("bad").over(branch),
-                           "pn": F.sum("labelled").over(pool), "pb": F.sum("bad").over(pool)})
-        share = F.when(F.col("pn") > 0, F.col("pb") / F.col("pn")).otherwise(F.lit(0.0))
-        spread = F.when(F.col("bn") > 0, F.sqrt(share * (1 - share) / F.col("bn"))).otherwise(F.lit(0.0))
-        off = F.when(F.col("bn") > 0, F.abs(F.col("bb") / F.col("bn") - share)).otherwise(F.lit(0.0))
-        s = s.withColumn(f"m{i}", F.when(F.col(f"m{i}").isNotNull() & (off <= F.lit(z) * spread), F.lit("~"))
-                         .otherwise(F.col(f"m{i}"))).drop("bn", "bb", "pn", "pb")
-    merged = W.partitionBy("host", *[f"m{i}" for i in range(1, depth + 1)])
+def templates(paths: DataFrame, max_children: int = MAX_CHILDREN, min_share: float = MIN_SHARE) -> DataFrame:
+    """Adds the template to rows with host, path and pages, one per host and path: its segments,
+    each after a slash; empty for an empty path.
+
+    Level by level, only paths with a segment left go on.  Where a node has at most
+    ``max_children`` different rests below it, so has every node under it, and all of them
+    keep their text: those paths are done at once."""
+    spark, node_of, level = paths.sparkSession, ["host", "prefix"], 0
+    own = paths.columns
+    rest = F.when(F.col("path") == "", F.lit(None)).otherwise(F.regexp_replace("path", "^/", ""))
+    df = written(paths.select(*own, F.lit("").alias("prefix"), rest.alias("rest")), "level0")
+    folder = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}/ended"
+    while True:  # tables are written, as each is read several times
+        level += 1
+        wide = (df.where("rest is not null").select(*node_of, "rest").distinct().groupBy(*node_of)
+                .agg(F.count(F.lit(1)).alias("rests")).where(F.col("rests") > max_children).select(*node_of))
+        wide = written(wide.withColumn("wide", F.lit(True)), f"wide{level}")
+        df = written(df.join(wide, node_of, "left").withColumn(
+            "wide", F.coalesce("wide", F.lit(False)) & F.col("rest").isNotNull()), f"level{level}")
+        ended = df.where(~F.col("wide")).select(*own, F.concat("prefix", F.when(F.col("rest").isNull(), "").otherwise(
+            F.concat(F.lit("/"), "rest"))).alias("template"))
+        ended.write.mode("append").option("compression", "zstd").parquet(folder)
+        df = df.where("wide").select(
+            *own, "prefix", F.substring_index("rest", "/", 1).alias("seg"),
+            F.expr("CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/') + 1) END").alias("rest"))
+        seen = written(df.groupBy(*node_of, "seg").agg(F.sum("pages").alias("n")), f"seen{level}")
+        node = seen.groupBy(*node_of).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
+        shapes = (seen.select(*node_of, _shape(F.col("seg")).alias("shape")).distinct()
+                  .groupBy(*node_of).agg(F.count(F.lit(1)).alias("shapes")))
+        t = (F.when((F.col("kinds") <= max_children) | (F.col("n") >= F.lit(min_share) * F.col("all_n")), F.col("seg"))
+             .when(F.col("shapes") <= max_children, _shape(F.col("seg"))).otherwise(F.lit("*")))
+        named = written(seen.join(node, node_of).join(shapes, node_of).select(*node_of, "seg", t.alias("t")),
+                        f"named{level}")
+        df = written(df.join(named, [*node_of, "seg"])
+                     .select(*own, F.concat("prefix", F.lit("/"), "t").alias("prefix"), "rest"), f"next{level}")
+        if df.isEmpty():
+            return spark.read.schema(ended.schema).parquet(folder)
+
+
+def purity(stats: DataFrame, z: float = Z, strength: float = STRENGTH) -> DataFrame:
+    """From (host, template, labelled, bad), one row per template: (host, template, bad_share),
+    smoothed, after similar siblings are merged.  A branch is judged by the pages below it and
+    below its parent, so all levels are judged at once: one row per template and prefix."""
+    stats = written(stats, "stats")
+    seg = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.expr("substr(template, 2)"), "/", -1))
+    upto = lambda i: F.concat_ws("/", F.lit(""), F.slice("seg", F.lit(1), i))
+    level = F.col("level")
+    at = (stats.withColumn("seg", seg).withColumn("level", F.explode(F.sequence(F.lit(0), F.size("seg"))))
+          .select("host", "template", "labelled", "bad", "level", upto(level).alias("prefix"),
+                  upto(F.greatest(level - 1, F.lit(0))).alias("parent"), F.get("seg", level - 1).alias("t")))
+    at = written(at, "prefixes")
+    node = written(at.groupBy("host", "level", "prefix", "parent")
+                   .agg(F.sum("labelled").alias("bn"), F.sum("bad").alias("bb")), "nodes")
+    over = node.select("host", (F.col("level") + 1).alias("level"), F.col("prefix").alias("parent"),
+                       F.col("bn").alias("pn"), F.col("bb").alias("pb"))
+    share = F.when(F.col("pn") > 0, F.col("pb") / F.col("pn")).otherwise(F.lit(0.0))
+    spread = F.when(F.col("bn") > 0, F.sqrt(share * (1 - share) / F.col("bn"))).otherwise(F.lit(0.0))
+    off = F.when(F.col("bn") > 0, F.abs(F.col("bb") / F.col("bn") - share)).otherwise(F.lit(0.0))
+    alike = written(node.join(over, ["host", "level", "parent"]).where(off <= F.lit(z) * spread)
+                    .select("host", "level", "prefix", F.lit("~").alias("one")), "alike")
+    named = (at.join(alike, ["host", "level", "prefix"], "left")
+             .groupBy("host", "template", "labelled", "bad")
+             .agg(F.array_sort(F.collect_list(F.struct("level", F.coalesce("one", "t").alias("m")))).alias("ms"))
+             .select("host", "template", "labelled", "bad", F.concat_ws("/", F.lit(""), F.col("ms.m")).alias("merged")))
+    merged = W.partitionBy("host", "merged")
     every = W.partitionBy()
     prior = F.when(F.sum("labelled").over(every) > 0,
                    F.sum("bad").over(every) / F.sum("labelled").over(every)).otherwise(F.lit(0.0))
-    s = s.withColumn("prior", prior)
+    s = named.withColumn("prior", prior)
     smooth = (F.sum("bad").over(merged) + F.lit(strength) * F.col("prior")) / (
         F.sum("labelled").over(merged) + F.lit(strength))
-    return s.withColumn("bad_share", smooth).select("host", *levels, "bad_share")
+    return s.withColumn("bad_share", smooth).select("host", "template", "bad_share")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, max_bad: float = MAX_BAD,
-          **tree) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, **tree) -> DataFrame:
     """One row per page: page_id, host, path, rule, template, bad_share, verdict.
 
     `labels` is (page_id, bad); several labels of one page count as bad if one is.  A null
@@ -118,17 +144,17 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH,
     known = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")).alias("k")
     p = (p.alias("p").join(known, F.col("p.page_id") == F.col("k.page_id"), "left")
          .select("p.*", F.col("k.bad").alias("bad")))
-    p = written(templates(p, depth, **tree), "templates")
-    levels = [f"t{i}" for i in range(1, depth + 1)]
-    stats = p.groupBy("host", *levels).agg(F.count("bad").alias("labelled"),
-                                           F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    share = written(purity(stats, depth), "purity").alias("q")
-    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}")) for k in ("host", *levels)]
-    p = p.alias("p").join(share, on).select("p.*", "q.bad_share")
+    p = written(p, "pages")
+    paths = p.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"),
+                                          F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    paths = templates(paths, **tree)
+    share = purity(paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    of_path = written(paths.select("host", "path", "template").join(written(share, "purity"), ["host", "template"]), "shares")
+    p = p.select("page_id", "host", "path").join(of_path, ["host", "path"])
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_share") > max_bad, "block").otherwise("allow")
     return p.select("page_id", "host", "path", rule.alias("rule"),
-                    F.concat(F.lit("/"), F.concat_ws("/", *levels)).alias("template"), "bad_share",
+                    F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "bad_share",
                     F.coalesce(said, own).alias("verdict"))
 
 
