@@ -44,3 +44,17 @@ def test_repeated_rows_empty_and_one_source(spark):
 def test_query(spark):
     same_as_oracle(spark, "op10_source_mix")
     assert sm.mix(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).count() == 200
+
+
+def test_repeated_and_null_ids_get_their_own_copies(spark):
+    texts = [word_soup(i, 1 + i * i % 97) for i in range(300)] + ["x y z"] * 6
+    sources = ["abc"[i % 3] for i in range(300)] + ["a"] * 6
+    ids = [None if i % 3 == 1 or i % 5 == 0 else i // 4 for i in range(300)] + [None] * 6
+    df = docs_of(spark, texts, sources, ids=ids)
+    got, want = {}, plain_targets({s: sum(len(t.split()) for t, x in zip(texts, sources) if x == s) for s in "abc"})
+    rows = sm.mixed_documents(df).collect()
+    for r in rows:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert all(abs(got[s] - want[s]) <= 0.02 * want[s] + 97 for s in "abc")
+    assert len(rows) == sum(r["copies"] for r in sm.mix(df).collect())
+    assert all(sum(r["text"] == t for r in rows) <= 2 * texts.count(t) for t in set(texts))

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import written
+from tillcycle.llm.common import row_hashes, written
 from tillcycle.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED, MAX_CELL = 4, 4, 42, 20_000
@@ -215,12 +215,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
-    """128 bits of all columns of a row, as two longs; nulls count by their place."""
-    cells = [c for n in docs.columns for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
-    return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *cells)
-
-
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                max_cell: int = MAX_CELL) -> DataFrame:
     """One row of each component, of those with doc_id if there are any: the first by doc_id,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import WORD, written
+from tillcycle.llm.common import WORD, row_hashes, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -60,14 +60,16 @@ def targets(sizes: DataFrame, total_share: float, max_repeat: float,
 
 
 def mix(docs: DataFrame, total_share: float = 1.5, max_repeat: float = 2.0,
-        weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", buckets: int = 64) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+        weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", buckets: int = 64,
+        also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken; then the
+    columns ``also``, which order rows of one doc_id.
 
     Null source is a source of its own; a null or empty text has size 0; repeated rows are
     documents of their own (equal rows are interchangeable in the order); an empty table
     gives an empty result; a source of size 0 has target 0.  Extra columns are not read."""
     d = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"),
-                    F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+                    F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *also)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     d = d.select("*", source_key(F.col("source")).alias("sk"),
                  (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("long")
@@ -88,22 +90,25 @@ def mix(docs: DataFrame, total_share: float = 1.5, max_repeat: float = 2.0,
                .select("sk", "size", "bucket", "source_size", "target",
                        (F.col("before_size") + F.col("before_bucket")).alias("before")))
     k = F.col("before") + F.row_number().over(
-        W.partitionBy("sk", "size", "bucket").orderBy("doc_id"))
+        W.partitionBy("sk", "size", "bucket").orderBy("doc_id", *also))
     out = d.join(offsets, ["sk", "size", "bucket"]).withColumn("k", k)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = _unit(F.concat(F.lit(f"{seed}:"), F.col("sk")))
     copies = (F.floor(rate * F.col("k") + start) - F.floor(rate * (F.col("k") - 1) + start)).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                      (copies * F.col("size")).alias("taken"))
+                      (copies * F.col("size")).alias("taken"), *also)
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns as given.
 
-    Rows with the same doc_id are all repeated by the most copies any of them gets."""
-    copies = (mix(docs, **kw).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")))
-    keyed = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return (keyed.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
+    Every row has its own count, whatever its doc_id; rows equal in all columns are taken as
+    often as they are together."""
+    key = ("__row1", "__row2")
+    keyed = docs.withColumns(dict(zip(key, row_hashes(docs), strict=True)))
+    copies = mix(keyed, **kw, also=key).groupBy(*key).agg(F.sum("copies").alias("__copies"))
+    taken = keyed.join(copies.where("__copies > 0"), list(key)).dropDuplicates(list(key))
+    return (taken.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
             .select(*docs.columns))
 
 
