@@ -89,3 +89,5 @@ def test_query(spark):
         r = rows[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (
             len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+        left = kept.decode(errors="replace")
+        assert (r["text"], r["n_chars"]) == (left, len(left))

@@ -267,12 +267,12 @@ def union_of(begins, sizes) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
+_REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary, text string"
 
 
 def remove_repeats(docs: DataFrame, **kw) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, the maximal removed spans, and the
-    remaining bytes (which may cut a code point)."""
+    """One row per input row: doc_id, n_bytes, n_removed, the maximal removed spans, the
+    remaining bytes (which may cut a code point), and the text they make (U+FFFD for a cut one)."""
     spans = (repeated_spans(docs, **kw).groupBy("doc_id", "crc")
              .agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
              .withColumnRenamed("doc_id", "span_id").withColumnRenamed("crc", "span_crc"))
@@ -294,6 +294,7 @@ def remove_repeats(docs: DataFrame, **kw) -> DataFrame:
                 out.append([{"begin": b, "end": e} for b, e in cuts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, kind),
-                 pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                 pa.array(kept, pa.binary()), pa.array([k.decode(errors="replace") for k in kept], pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
     return both.select("doc_id", "text", "spans").mapInArrow(remove, _REMOVED)

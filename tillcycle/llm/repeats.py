@@ -25,7 +25,11 @@ _POS_BITS = 22
 
 def seed_hashes(data: np.ndarray, seed_len: int = SEED_LEN) -> np.ndarray:
     """64-bit hash of each ``seed_len``-byte string (a power of two) of ``data``."""
-    h = _BYTE[data]
+    return folded(_BYTE[data], seed_len)
+
+
+def folded(h: np.ndarray, seed_len: int) -> np.ndarray:
+    """64-bit hash of each ``seed_len`` (a power of two) symbols in a row, by the symbols' own."""
     length, i = 1, 0
     while length < seed_len:
         h = h[:-length] * _MULT[i] + h[length:]
@@ -41,10 +45,13 @@ def runs(data: np.ndarray, window: int, seed_len: int = SEED_LEN):
     n = len(data) - window + 1
     if n <= 0:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    h = seed_hashes(data, seed_len)
+    return anchored(seed_hashes(data, seed_len), n, window - seed_len + 1)
+
+
+def anchored(h: np.ndarray, n: int, span: int):
+    """The runs of ``n`` windows of ``span`` seeds each, whose hashes are ``h``."""
     cut = np.uint64((1 << _POS_BITS) - 1)
     parts = []
-    span = window - seed_len + 1
     block = 1 << 16
     for at in range(0, n, block):  # blocks of windows keep the arrays in cache
         k = h[at:min(at + block + span - 1, len(h))]
