@@ -26,7 +26,7 @@ def oracle_rows(name, sf=SF_SMALL):
 
     from tillcycle.llm.queries import SQL
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]

@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, **kw) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id, 9223372036854775807) AS o,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, o, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
 keyed AS (SELECT r, o, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM win),
@@ -274,6 +274,7 @@ seen AS (SELECT word.r, word.i, word.word,
 kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed,
                 string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM seen GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       sha256(coalesce(kept.text, '')) AS kept_sha256
+       sha256(coalesce(kept.text, '')) AS kept_sha256,
+       CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE coalesce(d.text, '') END AS text, length(CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE coalesce(d.text, '') END)::BIGINT AS n_chars
 FROM d LEFT JOIN kept ON d.r = kept.r
 """

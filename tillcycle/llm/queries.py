@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcycle.llm import automaton_dedup, balltree_topk, bwt_dedup, langid, line_dedup, line_quality, packing, reply_trees, simhash_dedup, source_mix, url_templates
+from tillcycle.llm import automaton_dedup, balltree_topk, bwt_dedup, langid, line_dedup, line_quality, packing, reply_trees, rmq_search, simhash_dedup, source_mix, url_templates
 from tillcycle.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,4 +94,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_automaton_dedup", automaton_dedup.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "text",
+        F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op12_rmq_search", rmq_search.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rmq_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
