@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcycle.llm import automaton_dedup, balltree_topk, bwt_dedup, langid, line_dedup, line_quality, packing, reply_trees, rmq_search, simhash_dedup, source_mix, url_templates
+from tillcycle.llm import automaton_dedup, balltree_topk, bwt_dedup, langid, line_dedup, line_quality, packing, reply_trees, rmq_search, simhash_dedup, source_mix, spelling, url_templates
 from tillcycle.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_rmq_search", rmq_search.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rmq_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_qchunk_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
