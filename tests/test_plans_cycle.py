@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tillcycle.operators import artifacts as AR
+from tillcycle.operators.key_trees import TreeParams
 from tillcycle.operators import dispatch as DI
 from tillcycle.operators import policy as PO
 from tillcycle.plans.cycle import run_cycle
@@ -38,7 +39,7 @@ def test_dimension_joins_only_when_read(spark):
 
 def test_cycle_end_to_end_and_rerun_appends(spark):
     out = tempfile.mkdtemp(prefix="tillcycle-cycle-")
-    small = dict(maxIter=5, maxDepth=3, seed=42)     # the pipeline, not the model, is under test
+    small = TreeParams(rounds=5)     # the pipeline, not the model, is under test
     r = run_cycle(spark, SF_SMALL, out, gbt_params=small)
     arts = spark.read.parquet(os.path.join(out, "run_artifacts"))
     types = {x.artifact_type for x in arts.collect()}

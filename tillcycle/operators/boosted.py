@@ -1,7 +1,7 @@
-"""Pooled gradient-boosted forecaster with holdout metrics and a recursive
-multi-step forecast; model choice per key (TS12-TS18, FI9, AG15, AG16).
+"""Model choice per key (TS17, TS18, FI9, AG15, AG16), and the pooled boosted-tree baseline.
 
-One model for all keys instead of one per key: targets and level-type
+Forecasts come from one model per key (`operators.key_trees`).  The baseline is one
+model for all keys: targets and level-type
 features are divided by the key's training mean ("level"), so keys of very
 different sizes share trees; predictions are scaled back per key.  Training
 is a distributed ``pyspark.ml`` GBT fit over every eligible key at once.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tillcycle.operators.demand import date_expr, key_list, series_stats
 from tillcycle.operators.features import build_features, split_holdout
+from tillcycle.operators.key_trees import fit_key_trees, key_forecast
 from tillcycle.operators.naive import naive_backtest, naive_forecast
 from tillcycle.session import cut_lineage
 
@@ -147,11 +148,13 @@ def recursive_forecast(model, series: DataFrame, metrics: DataFrame, key, as_of,
         F.round(F.col("yhat") + half, 2).alias("yhat_upper"))
 
 
-def forecast_all(series: DataFrame, key, as_of, horizon: int = 28,
-                 params: dict | None = None) -> dict[str, DataFrame]:
+def forecast_all(series: DataFrame, key, as_of, horizon: int = 28, params=None,
+                 pooled: bool = False) -> dict[str, DataFrame]:
     """TS17/TS18/AG15: tree model for eligible keys, seasonal-naive for the
-    rest (and for everything if no tree could be fitted).
+    rest (and for everything if no key is eligible).
 
+    One model per key (`operators.key_trees`, ``params``: TreeParams), or, as a baseline,
+    the ``pooled`` one over all keys (``params``: those of the Spark ML fit).
     Returns forecast (*key, ds, yhat, yhat_lower, yhat_upper, model),
     backtest (*key, mape, rmse, model), stats and summary (dominant model).
     """
@@ -161,20 +164,23 @@ def forecast_all(series: DataFrame, key, as_of, horizon: int = 28,
     series = cut_lineage(series)
     stats = cut_lineage(series_stats(series, ks))
     tree_keys = stats.where(F.col("model") == "gbt").select(*ks)
-    naive_keys = stats.where(F.col("model") != "gbt").select(*ks)
-    tree_series = series.join(tree_keys, ks, "left_semi")
-    model, metrics = fit_boosted(build_features(tree_series, ks), ks, params=params)
-    if model is None:
-        naive_keys = stats.select(*ks)
+    trees = not tree_keys.isEmpty()
+    naive_keys = stats.where(F.col("model") != "gbt").select(*ks) if trees else stats.select(*ks)
     naive_series = series.join(naive_keys, ks, "left_semi")
     fc = naive_forecast(naive_series, ks, as_of, horizon).withColumn("model", F.lit("seasonal_naive"))
     bt = naive_backtest(naive_series, ks, as_of).withColumn("model", F.lit("seasonal_naive"))
-    if model is not None:
-        tf = recursive_forecast(model, tree_series, metrics, ks, as_of, horizon) \
-            .withColumn("model", F.lit("gbt"))
+    if trees:
+        tree_series = series.join(tree_keys, ks, "left_semi")
+        features = build_features(tree_series, ks)
+        if pooled:
+            model, metrics = fit_boosted(features, ks, params=params)
+            tf = recursive_forecast(model, tree_series, metrics, ks, as_of, horizon)
+        else:
+            models, metrics = fit_key_trees(features, ks, params=params)
+            tf = key_forecast(models, tree_series, metrics, ks, as_of, horizon)
         tb = metrics.select(*ks, F.round("mape", 6).alias("mape"), F.round("rmse", 6).alias("rmse"),
                             F.lit("gbt").alias("model"))
-        fc, bt = fc.unionByName(tf), bt.unionByName(tb)
+        fc, bt = fc.unionByName(tf.withColumn("model", F.lit("gbt"))), bt.unionByName(tb)
     used = bt.select(*ks, "model")
     summary = used.agg(F.count(F.lit(1)).alias("n_keys"),
                        F.count_if(F.col("model") == "gbt").alias("n_gbt")) \

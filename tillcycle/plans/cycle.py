@@ -26,6 +26,7 @@ from tillcycle.operators import kpis as K
 from tillcycle.operators.asof import as_of_view
 from tillcycle.operators.boosted import forecast_all
 from tillcycle.operators.demand import daily_demand, densify
+from tillcycle.operators.key_trees import TreeParams
 from tillcycle.params import RunParams
 from tillcycle.plans import derived as DV
 from tillcycle.sources.raw_sales import read_facts, write_curated
@@ -34,7 +35,7 @@ from tillcycle.sources.tables import fact_sales
 
 def run_cycle(spark: SparkSession, sf_dir: str, out_dir: str, params: RunParams | None = None,
               settings: DI.DispatchSettings | None = None, skip_ingest: bool = False,
-              gbt_params: dict | None = None) -> dict:
+              gbt_params: TreeParams | None = None) -> dict:
     p = params or RunParams(as_of="2000-12-31", start="2000-10-02", run_id="run-cycle")
     settings = settings or DI.DispatchSettings()
     curated = os.path.join(out_dir, "curated", "fact_sales")

@@ -249,6 +249,70 @@ def q_gbt_brand(spark, d):
     return out["forecast"]
 
 
+def _first_split_sql() -> str:
+    """The gain of the first tree's first split, by all cuts of its columns' bins."""
+    from tillcycle.operators.features import FEATURES
+    from tillcycle.operators.key_trees import TreeParams, tree_columns
+    p = TreeParams()
+    columns = [FEATURES[f] for f in tree_columns(p, 0, len(FEATURES))]
+    longs = " UNION ALL ".join(f"SELECT brand, y, '{c}' AS f, CAST({c} AS DOUBLE) AS x FROM train" for c in columns)
+    rows = _features_sql(BRAND_SERIES, "brand")
+    for c in ("rolling_mean_7", "rolling_mean_14", "rolling_std_7"):
+        rows = rows.replace(f"ROUND({c}, 6) AS {c}", c)
+    rows = rows.replace("\nSELECT brand, ds, y, day_of_week", ",\nrows AS (SELECT brand, ds, y, day_of_week", 1)
+    return rows + f"""),
+train AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY brand ORDER BY ds DESC) AS back FROM rows) WHERE back > 28),
+mean AS (SELECT brand, AVG(y) AS base, COUNT(*) AS n FROM train GROUP BY brand),
+long AS ({longs}),
+ranked AS (SELECT l.brand, f, y - base AS r, DENSE_RANK() OVER (PARTITION BY l.brand, f ORDER BY x) - 1 AS k FROM long l JOIN mean m ON l.brand = m.brand),
+sized AS (SELECT *, MAX(k) OVER (PARTITION BY brand, f) + 1 AS nd FROM ranked),
+bins AS (SELECT brand, f, CASE WHEN nd <= {p.bins} THEN k ELSE k * {p.bins} // nd END AS b, SUM(r) AS g, COUNT(*) AS c FROM sized GROUP BY brand, f, b),
+cum AS (SELECT brand, f, SUM(g) OVER w AS g, SUM(c) OVER w AS c FROM bins WINDOW w AS (PARTITION BY brand, f ORDER BY b)),
+gains AS (SELECT cum.brand, MAX(g * g / c + (0 - g) * (0 - g) / (n - c)) AS gain FROM cum JOIN mean ON cum.brand = mean.brand
+          WHERE c >= {p.min_rows} AND n - c >= {p.min_rows} GROUP BY cum.brand)
+SELECT m.brand, CAST(m.n AS BIGINT) AS n_train, ROUND(base, 6) AS base, ROUND(gain, 2) AS gain
+FROM mean m JOIN gains ON m.brand = gains.brand"""
+
+
+@register("key_tree_first_split_brand", "TS12 TS13", _first_split_sql())
+def q_first_split_brand(spark, d):
+    """Each brand's model is its own: rows trained on, start value, and the gain of the first
+    split of its first tree, computed from the stored model's cut."""
+    from pyspark.sql import functions as F
+    from tillcycle.operators.features import FEATURES, build_features, split_holdout
+    from tillcycle.operators.key_trees import TreeParams, fit_key_trees
+    from tillcycle.session import cut_lineage
+    features = cut_lineage(build_features(brand_series(spark, d), "brand"))
+    models, _ = fit_key_trees(features, "brand", params=TreeParams(rounds=1))
+    train = split_holdout(features, "brand").where(~F.col("is_test"))
+    root = models.select("brand", "base", F.col("feature")[0].alias("f"), F.col("threshold")[0].alias("cut"))
+    x = F.element_at(F.array(*[F.col(c).cast("double") for c in FEATURES]), F.col("f") + 1)
+    r, low = F.col("y") - F.col("base"), x <= F.col("cut")
+    # one row a brand, an equi-join
+    sums = train.join(root.where("f >= 0"), "brand").groupBy("brand", "base").agg(
+        F.count(F.lit(1)).alias("n_train"), F.sum(F.when(low, r)).alias("g"), F.count_if(low).alias("n_low"),
+        F.sum(F.when(~low, r)).alias("h"))
+    return sums.select("brand", "n_train", F.round("base", 6).alias("base"), F.round(
+        F.col("g") ** 2 / F.col("n_low") + F.col("h") ** 2 / (F.col("n_train") - F.col("n_low")), 2).alias("gain"))
+
+
+@register("grouped_stats_brand", "TS19 FI9 TS17", _stats_sql(BRAND_SERIES, "brand"))
+def q_grouped_stats_brand(spark, d):
+    """A user's function over each brand's days that gives what `series_stats` does."""
+    import pandas as pd
+    from tillcycle.operators.grouped import apply_per_key
+    from tillcycle.session import cut_lineage
+
+    def stats(days: pd.DataFrame) -> pd.DataFrame:
+        n, sold = len(days), int((days["y"] > 0).sum())
+        tree = n >= 56 and sold >= 14 and n - 28 >= 42
+        return pd.DataFrame({"n_days": [n], "nonzero_days": [sold], "train_start": [days["ds"].iloc[0]],
+                             "train_end": [days["ds"].iloc[-1]], "model": ["gbt" if tree else "seasonal_naive"]})
+
+    return apply_per_key(cut_lineage(brand_series(spark, d)), "brand", stats,
+                         "n_days long, nonzero_days long, train_start date, train_end date, model string")
+
+
 @register("same_weekday_brand", "TS3 JO13", BRAND_SERIES + f""",
 tgt AS (SELECT DISTINCT brand, CAST({D_AS_OF} + CAST(r.i AS INTEGER) AS DATE) AS target
         FROM series, range(1, 29) r(i)),
