@@ -123,12 +123,14 @@ def fingerprint(df: DataFrame) -> DataFrame:
                               F.coalesce(F.sum(half(16)), F.lit(0)).cast("string")).alias("fingerprint"))
 
 
-def evidence(df: DataFrame, name: str, params: list[str], sql: str = "", preview_rows: int = 5) -> DataFrame:
+def evidence(df: DataFrame, name: str, params: list[str], sql: str = "", preview_rows: int = 5,
+             stored: bool = False) -> DataFrame:
     """PR14: evidence record of a query result: step name, parameters, the
     query text, a JSON preview of the first ``preview_rows`` rows in the order
     of all columns, the row count and the fingerprint.  The result is written
-    once and read for both; only the preview rows are gathered into one value."""
-    df = cut_lineage(df)
+    once (unless it is a ``stored`` table) and read for both; only the preview rows are
+    gathered into one value."""
+    df = df if stored else cut_lineage(df)
     text = df.select(*canonical(df))
     first = text.orderBy(*df.columns).limit(preview_rows)
     prev = first.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("result_preview"))

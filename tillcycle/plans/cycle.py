@@ -29,7 +29,8 @@ from tillcycle.operators.demand import daily_demand, densify
 from tillcycle.operators.key_trees import TreeParams
 from tillcycle.params import RunParams
 from tillcycle.plans import derived as DV
-from tillcycle.sources.raw_sales import read_facts, write_curated
+from tillcycle.sources.raw_sales import read_facts, refresh_curated
+from tillcycle.sources.stored import VersionedTable
 from tillcycle.sources.tables import fact_sales
 
 
@@ -38,9 +39,9 @@ def run_cycle(spark: SparkSession, sf_dir: str, out_dir: str, params: RunParams
               gbt_params: TreeParams | None = None) -> dict:
     p = params or RunParams(as_of="2000-12-31", start="2000-10-02", run_id="run-cycle")
     settings = settings or DI.DispatchSettings()
-    curated = os.path.join(out_dir, "curated", "fact_sales")
-    if not skip_ingest or not os.path.exists(curated):
-        write_curated(fact_sales(spark, sf_dir), curated)                # SC2/SC4
+    curated = VersionedTable(spark, f"{out_dir.rstrip('/')}/curated/fact_sales")
+    if not skip_ingest or not curated.exists():
+        refresh_curated(curated, fact_sales(spark, sf_dir))              # SC2/SC4
     facts = read_facts(spark, curated)                                   # SC3
     visible = as_of_view(facts, p.as_of, p.mode, p.end_of_day)          # FI1
     created = dt.datetime.now().replace(microsecond=0)

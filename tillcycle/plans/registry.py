@@ -33,5 +33,5 @@ def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from tillcycle.plans import (  # noqa: F401
         queries_core, queries_cycle, queries_entries, queries_evals, queries_forecast,
-        queries_report, queries_text)
+        queries_report, queries_stores, queries_text)
     return REGISTRY

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillcycle.sources.stored import VersionedTable
 from tillcycle.sources.tables import FACT_COLUMNS
 
 # The raw header names of the retail CSV and their snake-case
@@ -69,9 +70,8 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     return out.withColumn("_bad_date", F.col("invoice_date").isNull())
 
 
-def write_curated(df: DataFrame, path: str, mode: str = "overwrite",
-                  partitions: int = 64) -> None:
-    """SC2/SC4: full refresh of the curated table, partitioned by invoice month
+def curated(df: DataFrame, partitions: int = 64) -> DataFrame:
+    """The rows of the curated table as they are written, partitioned by invoice month
     so period filters prune whole directories.
 
     Rows are range-partitioned on invoice_date first: each task then holds
@@ -81,15 +81,25 @@ def write_curated(df: DataFrame, path: str, mode: str = "overwrite",
     bounds the tasks (AQE merges small ones): set it to the input's size over
     what a task should hold.
     """
-    (df.select(*FACT_COLUMNS)
-       .repartitionByRange(partitions, "invoice_date")
-       .withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM"))
-       .write.mode(mode).partitionBy("invoice_month").parquet(path))
+    return (df.select(*FACT_COLUMNS).repartitionByRange(partitions, "invoice_date")
+            .withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM")))
+
+
+def write_curated(df: DataFrame, path: str, mode: str = "overwrite",
+                  partitions: int = 64) -> None:
+    """SC2: the curated table as a plain folder, replaced in place."""
+    curated(df, partitions).write.mode(mode).partitionBy("invoice_month").parquet(path)
+
+
+def refresh_curated(table: VersionedTable, df: DataFrame, partitions: int = 64) -> int:
+    """SC4: full refresh of the curated table; readers see the old one until it is whole."""
+    return table.refresh(curated(df, partitions), ("invoice_month",))
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
+def read_facts(spark: SparkSession, path: str | VersionedTable) -> DataFrame:
     """SC3: the explicit 9-column projection over the curated table."""
-    return spark.read.parquet(path).select(*FACT_COLUMNS)
+    rows = path.read() if isinstance(path, VersionedTable) else spark.read.parquet(path)
+    return rows.select(*FACT_COLUMNS)
 
 
 def ingest(spark: SparkSession, csv_path: str, out_path: str,
