@@ -67,3 +67,39 @@ def test_one_copy_of_each_packs_right(spark):
     docs = docs_of(spark, [word_soup(i, 40 + i) for i in range(30)])
     ids = dict(enumerate(plain_ids([r["text"] for r in docs.orderBy("doc_id").collect()])))
     assert held_right(cp.pack_documents(spark, docs, None).collect(), ids, 1024) < 1024
+
+
+#: Names that stages or their operators use, or used, for columns of their own.
+HELPERS = """kept_text n_lines n_dropped drop doc own_id own_drop __doc __drop __own __id __gone __body gone_at own own_body body host
+    keeper h n_docs words words_left kept row1 row2 row1_ __row1 __row2 copies copies_of turn __copies __i size sk bucket target
+    taken source_size fp root first cell component_id anchor row spans n_words base_failed a.b c`d N_Lines""".split()
+
+
+def test_columns_of_any_name_pass_every_stage_unchanged(spark):
+    boiler = word_soup(2, 8, 5000)
+    texts = [f"{word_soup(50 + i, 80, 5000)}\n{boiler}\n{word_soup(300 + i % 5, 12, 5000)}" for i in range(30)]
+    texts += [texts[0], word_soup(3, 70000, 60000), None]
+    F = cp.F
+    plain = docs_of(spark, texts, [["a", None][i % 2] for i in range(len(texts))])
+    names = list(dict.fromkeys(n for n in HELPERS))
+    names = [n for i, n in enumerate(names) if n.lower() not in {m.lower() for m in names[:i]}]
+    docs = plain.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names],
+                        F.create_map(F.lit("k"), F.col("doc_id")).alias("tags"), F.array("source").alias("list"))
+    docs, plain = written(docs, "docs"), written(plain, "plain")
+    for name, stage in cp.STAGES[:-1]:
+        out, want = stage(spark, docs, None), stage(spark, plain, None)
+        assert out.dtypes == docs.dtypes, name
+        rows = [r.asDict() for r in out.collect()]
+        for r in rows:
+            assert all(r[n] == f"{n}:{r['doc_id']}" for n in names) and r["tags"] == {"k": r["doc_id"]}, name
+        key = lambda r: (r["doc_id"], r["text"] or "", r["n_chars"] or 0)
+        assert sorted(map(key, rows)) == sorted(key(r.asDict()) for r in want.collect()), name
+    assert cp.pack_documents(spark, docs, None).count() == cp.pack_documents(spark, plain, None).count()
+
+
+def test_rows_without_id_or_with_one_id(spark):
+    texts = [word_soup(i, 90, 5000) for i in range(12)]
+    docs = written(docs_of(spark, texts, ids=[None] * 4 + [7] * 4 + [1, 2, 3, 4]), "docs")
+    for name, stage in cp.STAGES[:-1]:
+        got = sorted({r["text"] for r in stage(spark, docs, None).collect()})
+        assert got == sorted(texts), name

@@ -47,6 +47,18 @@ def test_large_components_and_few_candidates(spark):
     assert got == {(q, r, i, min(s, limit)) for q, r, i, s in brute(rows)}
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(50, [1.0, 0.0], "", "", ""), (1, [1.0, 0.0], "", "", ""), (1, [5.0, 0.0], "", "", ""), (2, [2.0, 9.0], "", "", ""),
+            (1, [5.0, 0.0], "", "", ""), (50, [9.0, 9.0], "", "", "")]
+    df = spark.createDataFrame([r for r in rows if r[:2] != (50, [9.0, 9.0])], SCHEMA)
+    for shard_rows in (1, 100):
+        got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).collect())
+        assert got == [(50, 1, 1, 5 * 65536), (50, 2, 2, 2 * 65536), (50, 3, 1, 65536)]
+    # two rows that ask: the best of both, none of them their own id
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=2).collect()]
+    assert sorted(got) == [(50, 1, 2, 99 * 65536), (50, 2, 1, 45 * 65536)]
+
+
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
 

@@ -14,8 +14,9 @@ every shard, in blocks.  Floating-point bounds are widened by more than their er
 are integers.
 
 Defined cases: vectors null, or holding null or non-finite components, and null ids take no
-part; only vectors of one length are compared; rows that repeat an id count once, by their
-least vector; fewer than k candidates are all returned; equal scores go to the smaller id.
+part; only vectors of one length are compared; rows equal in id and vector count once; rows
+of one id with different vectors are candidates of their own, though not for queries of that
+id, and if they ask, the id's results are the best that any of them finds; fewer than k candidates are all returned; equal scores go to the smaller id.
 Scores beyond the range of a long are cut to it.  Columns but the two named are not read.
 """
 
@@ -149,8 +150,8 @@ def top_k(embeddings: DataFrame, queries: Column, id_col: str = "vec_id", vec_co
     v = (embeddings.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(odd, F.lit(True)))
          .select(F.col(id_col).cast("long").alias("vec_id"),
                  F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v"),
-                 queries.alias("asks"))
-         .groupBy("vec_id").agg(F.min(F.struct("v", "asks")).alias("s")).select("vec_id", "s.v", "s.asks"))
+                 F.coalesce(queries, F.lit(False)).alias("asks"))
+         .dropDuplicates(["vec_id", "v"]))
     v = written(v.withColumn("dim", F.size("v")), "vectors")
     sizes = v.groupBy("dim").agg(
         F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"),

@@ -40,9 +40,33 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(n) for n in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it (upper or lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
-    """128 bits of all columns of a row, as two longs; nulls count by their place."""
-    cells = [c for n in docs.columns for c in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    """128 bits of all columns of a row, as two longs; nulls count by their place, maps and
+    variants by their JSON text."""
+    def cell(name: str, kind: str) -> Column:
+        return F.to_json(F.struct(column(name))) if "map<" in kind or "variant" in kind else column(name)
+
+    cells = [c for n, kind in docs.dtypes for c in (column(n).isNull(), cell(n, kind))]
     return F.xxhash64(F.lit(1), *cells), F.xxhash64(F.lit(2), *cells)
 
 

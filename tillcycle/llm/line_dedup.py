@@ -33,8 +33,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tillcycle.llm.common import shared_dir
+from tillcycle.llm.common import columns, shared_dir, unused
 from tillcycle.llm.cuckoo import CuckooFilter
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -173,12 +174,14 @@ class LineDedup:
                 .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
                 .groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop")))
 
-    def clean(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """The rows of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``, which
-        replace columns of these names."""
-        docs = docs.drop("kept_text", "n_lines", "n_dropped", "__doc", "__drop")
-        drops = self.drops(min_docs).select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"))
-        both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    def clean(self, docs: DataFrame, min_docs: int = MIN_DOCS,
+              added: tuple[str, ...] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
+        """The rows of ``docs`` with the text kept, the number of lines and of those dropped, in
+        columns named ``added``, which replace columns of these names."""
+        docs = docs.drop(*added)
+        own_id, own_drop = unused(docs, "own_id", "own_drop")
+        drops = self.drops(min_docs).select(F.col("doc_id").alias(own_id), F.col("drop").alias(own_drop))
+        both = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops[own_id]), "left")
         names, min_chars = docs.columns, self.min_chars
         text_at = names.index("text")
 
@@ -200,17 +203,20 @@ class LineDedup:
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(i) for i in range(len(names))], pa.array(kept, pa.string()),
                      pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64())],
-                    names=[*names, "kept_text", "n_lines", "n_dropped"])
+                    names=[*own, "kept", "lines", "dropped"])
 
-        schema = docs.schema
-        for name, kind in (("kept_text", "string"), ("n_lines", "long"), ("n_dropped", "long")):
-            schema = schema.add(name, kind)
-        return both.select(*names, "__drop").mapInArrow(rebuild, schema)
+        # numbered inside the task: mapInArrow takes no names with dots or back-ticks
+        own = [f"c{i}" for i in range(len(names))]
+        schema = StructType([StructField(c, f.dataType) for c, f in zip(own, docs.schema, strict=True)])
+        for name, kind in zip(("kept", "lines", "dropped"), ("string", "long", "long"), strict=True):
+            schema.add(name, kind)
+        return (both.select(*[c.alias(o) for c, o in zip(columns(docs), own, strict=True)], own_drop)
+                .mapInArrow(rebuild, schema).toDF(*names, *added))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, **kw) -> DataFrame:
     """One batch into a new state, and the documents cleaned by it."""
-    return LineDedup(docs.sparkSession, min_chars=min_chars).insert(docs).clean(docs, min_docs)
+    return LineDedup(docs.sparkSession, min_chars=min_chars).insert(docs).clean(docs, min_docs, **kw)
 
 
 SQL = r"""

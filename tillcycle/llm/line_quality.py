@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import WORD, ascii_lower, written
+from tillcycle.llm.common import WORD, ascii_lower, columns, unused, written
 from tillcycle.llm.source_mix import source_key
 
 MIN_DOCS, SHARE, MIN_LEFT_PCT = 10, 0.005, 30
@@ -105,19 +105,20 @@ def judge(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, removed: DataFrame
 def clean(docs: DataFrame, min_left_pct: int = MIN_LEFT_PCT, **limits) -> DataFrame:
     """The kept documents, all columns, without the lines above the limits; `n_chars`, if
     there, follows the text."""
+    gone_at, own, own_id, own_body = unused(docs, "gone_at", "own", "own_id", "own_body")
     removed = written(removed_lines(docs, **limits), "removed")
     kept = judge(docs, min_left_pct, removed).where("kept").select("doc_id", "body").distinct()
-    gone = removed.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("__gone"))
+    gone = removed.groupBy("doc_id", "body").agg(F.collect_set("pos").alias(gone_at))
     verdict = kept.join(gone, kept["doc_id"].eqNullSafe(gone["doc_id"]) & (kept["body"] == gone["body"]), "left") \
-        .select(kept["doc_id"].alias("__id"), kept["body"].alias("__body"), "__gone")
-    rows = docs.withColumn("__own", F.xxhash64(F.lit(1), "source", "text"))
-    out = rows.join(verdict, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")))
-    fewer = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(fewer))
+        .select(kept["doc_id"].alias(own_id), kept["body"].alias(own_body), gone_at)
+    rows = docs.withColumn(own, F.xxhash64(F.lit(1), "source", "text"))
+    out = rows.join(verdict, rows["doc_id"].eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_body)))
+    fewer = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone_at, i)), "\n")
+    out = out.withColumn("text", F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(fewer))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars"))
+        out = out.withColumn("n_chars", F.when(F.col(gone_at).isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 SQL = r"""

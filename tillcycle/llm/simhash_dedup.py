@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import row_hashes, written
+from tillcycle.llm.common import row_hashes, unused, written
 from tillcycle.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED, MAX_CELL = 4, 4, 42, 20_000
@@ -220,7 +220,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     """One row of each component, of those with doc_id if there are any: the first by doc_id,
     then by fingerprint, then by a hash of the row.  Rows that share a doc_id, or have none,
     are judged each by its own text."""
-    key = ("__row1", "__row2")
+    key = tuple(unused(docs, "row1", "row2"))
     keyed = docs.withColumns(dict(zip(key, row_hashes(docs), strict=True)))
     fps = written(fingerprints(keyed, shingle, key), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min(F.struct(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.llm.common import WORD, row_hashes, written
+from tillcycle.llm.common import WORD, columns, row_hashes, unused, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -104,12 +104,13 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
 
     Every row has its own count, whatever its doc_id; rows equal in all columns are taken as
     often as they are together."""
-    key = ("__row1", "__row2")
+    *key, copies_of, turn = unused(docs, "row1", "row2", "copies_of", "turn")
+    key = tuple(key)
     keyed = docs.withColumns(dict(zip(key, row_hashes(docs), strict=True)))
-    copies = mix(keyed, **kw, also=key).groupBy(*key).agg(F.sum("copies").alias("__copies"))
-    taken = keyed.join(copies.where("__copies > 0"), list(key)).dropDuplicates(list(key))
-    return (taken.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-            .select(*docs.columns))
+    copies = mix(keyed, **kw, also=key).groupBy(*key).agg(F.sum("copies").alias(copies_of))
+    taken = keyed.join(copies.where(F.col(copies_of) > 0), list(key)).dropDuplicates(list(key))
+    return (taken.withColumn(turn, F.explode(F.array_repeat(F.lit(0), F.col(copies_of).cast("int"))))
+            .select(*columns(docs)))
 
 
 SQL = """
