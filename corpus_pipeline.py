@@ -4,6 +4,11 @@ sources to target weights, packing.
 Each stage is (spark, docs, sf_dir) -> DataFrame, called with all rows its predecessor kept;
 all but the last return the columns of `documents`.  SQL can't express fingerprints and the
 tokenizer, so there is no ORACLE_SQL; tests hold every stage against a plain version.
+
+In every stage columns beside those of `documents` are carried as they are, whatever their
+names, by all stages but packing; a null text counts as empty, a null source as a source of its own, a
+null doc_id as an id of no other row; rows that repeat others are documents of their own, until
+near-dedup leaves one of each group; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcycle.llm import line_dedup, line_quality, packing, simhash_dedup, source_mix
-from tillcycle.llm.common import table, written
+from tillcycle.llm.common import columns, table, unused, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but the one of the largest id; `n_chars` follows.
     A document that has no other line stays, empty."""
-    out = line_dedup.dedup(docs)
+    kept, _, dropped = added = unused(docs, "kept_text", "n_lines", "n_dropped")
+    out = line_dedup.dedup(docs, added=tuple(added))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length(kept).cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("kept_text")).select(*docs.columns)
+    return out.withColumn("text", F.col(kept)).select(*columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
