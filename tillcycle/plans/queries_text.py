@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcycle.functions.text import COLOUR_PATTERN, PACK_PATTERN
+from tillcycle.operators.pruned_terms import pruned_topk, term_index
 from tillcycle.operators.retrieval import chunk, terms_topk, tfidf_terms, vector_topk
 from tillcycle.operators.taxonomy import build_dim_product, product_texts
 from tillcycle.plans.registry import REGISTRY, register
@@ -104,18 +105,36 @@ def q_benchmark_retrieval(spark, d):
     """Benchmark passages as queries against document paragraphs (sparse
     TF-IDF cosine, top 3): which documents carry each benchmark passage.
     Document frequencies count paragraphs and passages."""
+    corpus, queries = _passage_terms(spark, d)
+    top = terms_topk(corpus, queries, k=3, id_col="id", query_id="item_id")
+    return _by_paragraph(top)
+
+
+def _passage_terms(spark, d):
+    """Weighted terms of the document paragraphs, and of the benchmark passages."""
     docs = chunk(read_table(spark, d, "documents"), "doc_id", "text", "\n\n")
     # one long id per paragraph (doc_id * 2^20 + chunk_id); benchmark items negative
     corpus = docs.select((F.col("doc_id") * CHUNK_SPAN + F.col("chunk_id")).alias("id"), "text")
     bench = read_table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
     both = cut_lineage(tfidf_terms(corpus.unionByName(bench), "id"))   # read as corpus and as queries
     queries = both.where(F.col("id") < 0).select((-F.col("id") - 1).alias("item_id"), "term", "w")
-    top = terms_topk(both.where(F.col("id") >= 0), queries, k=3, id_col="id", query_id="item_id")
+    return both.where(F.col("id") >= 0), queries
+
+
+def _by_paragraph(top):
     return top.select("item_id", F.floor(F.col("id") / CHUNK_SPAN).cast("long").alias("doc_id"),
                       F.pmod(F.col("id"), F.lit(CHUNK_SPAN)).cast("int").alias("chunk_id"),
                       F.round("score", 6).alias("score"), "rank")
 
 
+@register("benchmark_retrieval_pruned", "TX2 TX6 TX7 TK6", RETRIEVAL_SQL)
+def q_benchmark_retrieval_pruned(spark, d):
+    """The same rows, without scoring paragraphs that only share weak terms with a passage."""
+    corpus, queries = _passage_terms(spark, d)
+    top, _ = pruned_topk(term_index(corpus), queries, k=3, query_id="item_id")
+    return _by_paragraph(top)
+
+
 CLEAN_SQL = dict((n, q.sql) for n, q in REGISTRY.items())["clean_descriptions"]
 
 
