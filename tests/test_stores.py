@@ -131,3 +131,16 @@ def test_cycle_reads_a_versioned_table(spark, folder):
     t = VersionedTable(spark, f"{folder}/curated")
     refresh_curated(t, fact_sales(spark, SF_SMALL))
     assert read_facts(spark, t).count() == fact_sales(spark, SF_SMALL).count()
+
+
+# ---- fields of several types
+def test_union_records(spark):
+    from tillcycle.operators.unions import union_records
+    rows = [("a", '{"quantity": 5, "acceptance_criteria": ["x", 2], "finding_type": "schema_drift", "reported_value": 1.5}'),
+            ("b", '{"quantity": " 7.5 ", "acceptance_criteria": "x", "finding_type": "new", "reported_value": true}'),
+            ("c", '{"quantity": "n/a", "acceptance_criteria": null, "finding_type": ["other"], "reported_value": null}'),
+            ("d", '{"quantity": [1], "acceptance_criteria": []}'), ("e", "no json"), ("f", None), ("g", "[1]")]
+    got = {r.id: tuple(r)[1:] for r in union_records(spark.createDataFrame(rows, "id string, payload_json string")).collect()}
+    none = (None, [], "other", "")
+    assert got == {"a": (5.0, ["x", "2"], "schema_drift", "1.5"), "b": (7.5, ["x"], "other", "true"),
+                   "c": none, "d": none, "e": none, "f": none, "g": none}

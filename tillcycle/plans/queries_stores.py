@@ -181,3 +181,30 @@ def q_index_parts(spark, d):
     placed = numbered(cycle(spark, d)["reviews"].select("run_id", "action_id", "execution_state"), ["run_id"], ["action_id"])
     return list_parts(placed, ["run_id", "execution_state"], ["pos"], "pos", BOUND).select(
         "run_id", "execution_state", "part", "n", F.array_join(F.col("items").cast("array<string>"), ",").alias("indices"))
+
+
+# ------------------------------------------------------------ fields of several types
+@register("union_records", "PR9", BASE + """
+SELECT run_id, action_id, CASE WHEN action_type <> 'promo' THEN quantity END AS quantity,
+       CASE urgency WHEN 'high' THEN action_id || ',review' WHEN 'medium' THEN action_id ELSE '' END AS criteria,
+       CASE urgency WHEN 'high' THEN 'policy_violation' ELSE 'other' END AS finding_type,
+       CASE urgency WHEN 'high' THEN '7' WHEN 'medium' THEN action_type ELSE '' END AS reported_value
+FROM actions""")
+def q_union_records(spark, d):
+    """The actions as JSON records whose fields change their type: quantities as numbers, texts and
+    'n/a', criteria as list, text and null, finding types known, unknown and numeric."""
+    from tillcycle.operators.unions import union_records
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    by_urgency = lambda high, medium: F.when(F.col("urgency") == "high", high).when(
+        F.col("urgency") == "medium", medium)
+    q = F.when(F.col("action_type") == "promo", F.lit('"n/a"')).when(F.col("urgency") == "high", quoted("quantity")) \
+        .otherwise(F.col("quantity").cast("string"))
+    fields = {"quantity": q,
+              "acceptance_criteria": by_urgency(F.concat(F.lit("["), quoted("action_id"), F.lit(',"review"]')), quoted("action_id")),
+              "finding_type": by_urgency(F.lit('"policy_violation"'), quoted("action_type")).otherwise(F.lit("3")),
+              "reported_value": by_urgency(F.lit("7"), quoted("action_type"))}
+    parts = [F.concat(F.lit(f'"{name}":'), F.coalesce(c, F.lit("null"))) for name, c in fields.items()]
+    records = cycle(spark, d)["actions"].select("run_id", "action_id", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+                                                .alias("payload_json"))
+    return union_records(records).select("run_id", "action_id", "quantity", F.array_join("acceptance_criteria", ",").alias("criteria"),
+                                         "finding_type", "reported_value")
