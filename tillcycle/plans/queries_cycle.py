@@ -324,7 +324,7 @@ def q_executable(spark, d):
     return cycle(spark, d)["released"].select("run_id", "action_id", "action_type")
 
 
-@register("worker_tasks", "DI5 PR16 SC8", BASE + REVIEW_SQL + TASKS_SQL + """
+@register("worker_tasks", "DI5 PR16", BASE + REVIEW_SQL + TASKS_SQL + """
 SELECT run_id, task_id, action_id, assigned_to, t0 || ': ' || tgt_name AS title, due_date, priority,
        expected_outcome FROM tasks""")
 def q_tasks(spark, d):

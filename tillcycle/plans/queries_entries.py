@@ -47,7 +47,7 @@ def q_csv_ingest(spark, d):
     return facts
 
 
-@register("decision_log_appends", "SC7 SC9", BASE + """
+@register("decision_log_appends", "SC7", BASE + """
 SELECT run_id, CAST(as_of_date AS VARCHAR) AS as_of_date, mode, rationale, confidence, n_actions, part
 FROM decisions, (VALUES (1), (2)) p(part)""")
 def q_decision_log(spark, d):

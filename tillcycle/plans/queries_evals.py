@@ -74,7 +74,7 @@ def stored_kpis_from(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kpis, narr
 
 
-@register("latest_artifacts", "SC6 SC10 TK2", BASE + """,
+@register("latest_artifacts", "SC10 TK2", BASE + """,
 arts AS (
   SELECT run_id, 'analyst_report' AS artifact_type, created_at, 2 AS revision FROM runs
   UNION ALL SELECT run_id, 'analyst_report', created_at - INTERVAL 1 HOUR, 1 FROM runs WHERE control_profile = 'regulated'

@@ -54,7 +54,7 @@ def q_forecast_view(spark, d):
     return RP.forecast_view(naive_forecast(brand_series(spark, d), "brand", AS_OF), "brand")
 
 
-@register("top_actions", "TK4 TK7", BASE + """
+@register("top_actions", "TK4", BASE + """
 SELECT run_id, action_id, urgency, CAST(pos AS INTEGER) AS pos FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY
            CASE urgency WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END,

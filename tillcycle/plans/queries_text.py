@@ -26,7 +26,7 @@ def q_clean(spark, d):
     return product_texts(fact_sales(spark, d, ["stock_code", "description"]))
 
 
-@register("dim_product", "TX2 TX3 TX4 TX5 TX8 TX9 SO3 JO9 SC14")
+@register("dim_product", "TX2 TX3 TX4 TX5 TX8 TX9 SO3 JO9")
 def q_dim_product(spark, d):
     return build_dim_product(fact_sales(spark, d, ["stock_code", "description"]), n_clusters=30, n_init=10)
 
