@@ -84,6 +84,9 @@ def test_bins():
     code, cuts = binned(np.arange(10.0), 3)
     assert code.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2] and cuts.tolist() == [3.5, 6.5]
     assert binned(np.zeros(4), 9)[1].tolist() == []
+    near = np.array([1.0, np.nextafter(1.0, 2), np.nextafter(np.nextafter(1.0, 2), 2)])
+    code, cuts = binned(near, 9)
+    assert [(x > cuts).sum() for x in near] == code.tolist() == [0, 1, 2]
 
 
 def test_models_and_metrics_equal_a_plain_version(spark):

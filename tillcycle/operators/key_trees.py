@@ -58,7 +58,9 @@ def binned(column: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     group = np.arange(n) if n <= bins else np.arange(n) * bins // n
     ends = np.flatnonzero(np.diff(group))
-    return group[code], (values[ends] + values[ends + 1]) / 2
+    low, high = values[ends], values[ends + 1]
+    middle = (low + high) / 2
+    return group[code], np.where(middle < high, middle, low)  # neighbouring doubles have none between
 
 
 class Histograms:

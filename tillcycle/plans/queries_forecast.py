@@ -258,7 +258,7 @@ def _first_split_sql() -> str:
     longs = " UNION ALL ".join(f"SELECT brand, y, '{c}' AS f, CAST({c} AS DOUBLE) AS x FROM train" for c in columns)
     rows = _features_sql(BRAND_SERIES, "brand")
     for c in ("rolling_mean_7", "rolling_mean_14", "rolling_std_7"):
-        rows = rows.replace(f"ROUND({c}, 6) AS {c}", c)
+        rows = rows.replace(f"ROUND({c}, 6) AS {c}", f"ROUND({c}, 9) AS {c}")
     rows = rows.replace("\nSELECT brand, ds, y, day_of_week", ",\nrows AS (SELECT brand, ds, y, day_of_week", 1)
     return rows + f"""),
 train AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY brand ORDER BY ds DESC) AS back FROM rows) WHERE back > 28),
@@ -282,7 +282,9 @@ def q_first_split_brand(spark, d):
     from tillcycle.operators.features import FEATURES, build_features, split_holdout
     from tillcycle.operators.key_trees import TreeParams, fit_key_trees
     from tillcycle.session import cut_lineage
-    features = cut_lineage(build_features(brand_series(spark, d), "brand"))
+    # means that differ by the order of their sums alone are one value in any engine
+    features = cut_lineage(build_features(brand_series(spark, d), "brand").withColumns(
+        {c: F.round(c, 9) for c in ("rolling_mean_7", "rolling_mean_14", "rolling_std_7")}))
     models, _ = fit_key_trees(features, "brand", params=TreeParams(rounds=1))
     train = split_holdout(features, "brand").where(~F.col("is_test"))
     root = models.select("brand", "base", F.col("feature")[0].alias("f"), F.col("threshold")[0].alias("cut"))
