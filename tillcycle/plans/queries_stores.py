@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillcycle.functions.parts import list_parts
 from tillcycle.operators import artifacts as AR
 from tillcycle.operators.statements import Statements
+from tillcycle.plans.derived import stored_kpis
 from tillcycle.plans.queries_core import DEMAND_COLUMNS
 from tillcycle.plans.queries_cycle import BASE, REVIEW_SQL, SETTINGS, TASKS_SQL, cycle
 from tillcycle.plans.queries_entries import new_folder
@@ -208,3 +209,19 @@ def q_union_records(spark, d):
                                                 .alias("payload_json"))
     return union_records(records).select("run_id", "action_id", "quantity", F.array_join("acceptance_criteria", ",").alias("criteria"),
                                          "finding_type", "reported_value")
+
+
+# ------------------------------------------------------------ periods from sets per day
+@register("run_kpis_from_day_sets", "AG1 EV1", REGISTRY["run_kpis"].sql)
+def q_run_kpis_from_day_sets(spark, d):
+    """The KPIs of all runs, whose periods overlap, merged from bitmaps and sums per day.  The lines
+    come in two appends that share days; the second is retried."""
+    from tillcycle.plans.day_sets import DaySets, run_kpis_from_sets
+    facts = fact_sales(spark, d, ["invoice_no", "customer_id", "invoice_date", "quantity", "revenue"])
+    runs = cycle(spark, d)["runs"]
+    store = DaySets(spark, new_folder(spark, "day_sets"))
+    old = (F.col("invoice_date") < F.lit(STATEMENT_AS_OF).cast("timestamp_ntz")) | (F.col("quantity") > 25)
+    done = [store.append(facts.where(old), "old"), store.append(facts.where(~old), "new"), store.append(facts.where(~old), "new")]
+    if done != [True, True, False]:
+        raise Interrupted(f"appends of lines: {done}")
+    return stored_kpis(run_kpis_from_sets(store, runs), runs).select("run_id", "name", "value", "unit", "period", "evidence")
