@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tillcycle.functions.text import clean_description
 from tillcycle.functions.topk import top_k_per_group
-from tillcycle.operators.retrieval import text_features
+from tillcycle.operators.restarts import best_of_restarts
+from tillcycle.operators.retrieval import tfidf_terms
 from tillcycle.session import cut_lineage
 
 DIM_PRODUCT_COLUMNS = ["stock_code", "canonical_description", "category_id", "category_name",
@@ -28,33 +29,32 @@ def product_texts(facts: DataFrame) -> DataFrame:
     return pairs.withColumn("clean_desc", clean_description("description"))
 
 
+def text_points(uniq: DataFrame, dims: int) -> DataFrame:
+    """TX2/TX3: each clean_desc as a sparse point of length one: its weighted terms, dealt by hash to
+    ``dims`` features.  A text without a term is the zero vector."""
+    terms = tfidf_terms(uniq, "clean_desc", "clean_desc")
+    feats = terms.groupBy("clean_desc", F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("f")) \
+        .agg(F.sum("w").alias("w"))
+    whole = feats.groupBy("clean_desc").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("l"))
+    none = F.array().cast("array<struct<f:int,w:double>>")
+    return uniq.join(whole, "clean_desc", "left").withColumn("l", F.coalesce("l", none)).select(
+        "clean_desc", F.xxhash64("clean_desc").alias("h"), F.col("l.f").alias("f"), F.col("l.w").alias("w"))
+
+
 def cluster_texts(texts: DataFrame, n_clusters: int = 30, seed: int = 42, n_init: int = 10,
-                  num_features: int = 1 << 16) -> DataFrame:
+                  num_features: int = 1 << 14) -> DataFrame:
     """TX2-TX4: k-means over the distinct cleaned texts (SO2).
 
-    k = min(n_clusters, number of distinct texts); the best of ``n_init``
-    seeded runs by training cost is kept.  Output: clean_desc, cluster_id.
+    k = min(n_clusters, number of distinct texts); the best of ``n_init`` seeded restarts, which
+    advance together, by cost.  The centres (n_init * k * num_features numbers, 39 MB by default)
+    are sent to every task.  Output: clean_desc, cluster_id.
     """
-    from pyspark.ml.clustering import KMeans
-
     uniq = texts.select("clean_desc").distinct()
-    feats, _ = text_features(uniq, "clean_desc", num_features, out_col="fv", as_vector=True)
-    feats = feats.select("clean_desc", "fv").persist()
-    k = min(n_clusters, feats.count())
+    points = cut_lineage(text_points(uniq, num_features))
+    k = min(n_clusters, points.limit(n_clusters).count())
     if k < 2:
-        feats.unpersist()
-        return uniq.withColumn("cluster_id", F.lit(0))
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="fv", predictionCol="cluster_id",
-                       initMode="k-means||", maxIter=50).fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    out = cut_lineage(best[1].transform(feats).select("clean_desc",
-                                                      F.col("cluster_id").cast("int")))
-    feats.unpersist()
-    return out
+        return points.select("clean_desc", F.lit(0).alias("cluster_id"))
+    return cut_lineage(best_of_restarts(points, "clean_desc", k, n_init, num_features, seed))
 
 
 def label_clusters(assigned: DataFrame, n_terms: int = 3) -> DataFrame:
