@@ -47,3 +47,24 @@ def test_no_labels_and_empty(spark):
     rows = langid.identify(docs_of(spark, ["a b", None], langs=[None, None])).collect()
     assert [r["lang_pred"] for r in rows] == ["und", "und"]
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_no_language_is_left_out_and_the_sample_is_bounded(spark):
+    rng = np.random.default_rng(7)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x3B1, 0x3C9)] + [chr(c) for c in range(0x430, 0x450)]
+    texts, langs = [], []
+    for i in range(70):
+        own = [letters[j] for j in rng.permutation(len(letters))[:4]]
+        words = ["".join(own[j] for j in rng.integers(0, 4, 5)) for _ in range(12)]
+        texts += [" ".join(words[j] for j in rng.integers(0, 12, 40)) for _ in range(6)]
+        langs += [f"l{i:02}"] * 6
+    texts[5] += " " + "y" * 100_000   # a word too long to learn from
+    docs = docs_of(spark, texts, langs=langs)
+    rows = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    right = [rows[i]["lang_pred"] == lang for i, lang in enumerate(langs)]
+    assert {r["lang_pred"] for r in rows.values()} == set(langs) and sum(right) / len(right) > 0.97
+    few = langid.sample(docs, all_chunks=70)
+    assert sorted(lang for _, lang in few) == sorted(set(langs)) and max(len(w) for w, _ in few) <= langid.CHUNK
+    assert max(len(w) for words, _ in langid.sample(docs) for w in words) <= langid.LONGEST
+    long = docs_of(spark, [" ".join(["ab cd"] * 5000), "ef gh"], langs=["x", "y"])
+    assert len(langid.sample(long, per_lang_chunks=7)) <= 8

@@ -1,16 +1,20 @@
 """Language of whole texts by a linear-chain conditional random field over their words.
 
-The model is fitted on a bounded sample: of the labelled documents outside the held-out fold,
-the ``per_lang`` with the least hash of each of the ``max_langs`` most frequent languages.
-Their whole texts are cut into sequences of ``CHUNK`` words labelled by the document, and every
-third sequence is spliced to one of another document, so that transitions between languages
-are learned as in code-switched text.  Only text and lang of these documents are used.
+The model is fitted on a bounded sample of the labelled documents outside the held-out fold: of
+each language, of which none is left out, the ``PER_LANG`` documents with the least hash are cut into
+sequences of ``CHUNK`` words, and the ``PER_LANG_CHUNKS`` sequences with the least hash of (doc_id, place)
+are kept; where the languages are so many that this is above ``ALL_CHUNKS`` sequences in all, each gives its
+equal part, and one at least.  Words of more than ``LONGEST`` letters are not learned from.  So the driver
+gets ``ALL_CHUNKS * CHUNK * LONGEST`` letters at most, whatever the texts.  Every third sequence is
+spliced to one of another document, so that transitions between languages are learned as in
+code-switched text.  Only text and lang of these documents are used.
 
 Every text is labelled word by word, whole; the language with the most marginal mass is the
 prediction and its share the score.  `runs` lists the languages in the order of the text.
 
 Defined cases: null text or one without letters: `und`, score 0; no labelled document at all:
-every text is `und`; repeated rows count as rows; ties go to the language first by code point.
+every text is `und`; very long texts are
+labelled whole, in slices of their own; repeated rows count as rows; ties go to the language first by code point.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillcycle.llm.crf import Crf, Labeller, words_of
 
-PER_LANG, MAX_LANGS, CHUNK, FOLDS, HELD = 150, 64, 100, 4, 2
+PER_LANG, PER_LANG_CHUNKS, ALL_CHUNKS, CHUNK, LONGEST, FOLDS, HELD = 150, 1000, 8000, 100, 64, 4, 2
 
 
 def held_out():
@@ -33,23 +37,41 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(True))
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
-    """(text, lang) of at most per_lang * max_langs documents, in a fixed order."""
-    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    ids = d.select("lang", "doc_id").distinct().join(F.broadcast(langs), "lang")  # max_langs rows
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "doc_id")
-    rows = d.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id") \
-        .agg(F.min("text").alias("text")).select("lang", "text").collect()  # bounded by the sample
-    return sorted((r["text"], r["lang"]) for r in rows)
-
-
-def sequences(texts: list[tuple[str, str]], chunk: int = CHUNK) -> list[tuple[list[str], list[str]]]:
-    out = []
-    for text, lang in texts:
-        words = words_of(text)
-        out += [(words[i:i + chunk], [lang] * len(words[i:i + chunk])) for i in range(0, len(words), chunk)]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, doc_id, at, words) of each text's sequences."""
+    for batch in batches:
+        out: list[tuple] = []
+        for lang, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = [w for w in words_of(text) if len(w) <= LONGEST]
+            out += [(lang, doc_id, i, words[i:i + CHUNK]) for i in range(0, len(words), CHUNK)]
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            cols, (pa.string(), batch.column(1).type, pa.int64(), pa.list_(pa.string())), strict=True)],
+            names=["lang", "doc_id", "at", "words"])
+
+
+def sample(docs: DataFrame, per_lang: int = PER_LANG, per_lang_chunks: int = PER_LANG_CHUNKS,
+           all_chunks: int = ALL_CHUNKS) -> list[tuple[list[str], str]]:
+    """(words, lang) of the sequences to learn from, in a fixed order."""
+    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "doc_id", "text")
+    langs = d.select("lang").distinct().count()
+    each = max(1, min(per_lang_chunks, all_chunks // max(1, langs)))
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(*by), *by))
+    docs_each = min(per_lang, each)
+    ids = d.select("lang", "doc_id").distinct().withColumn("rank", rank("doc_id")) \
+        .where(F.col("rank") <= docs_each).select("lang", "doc_id")
+    if langs * docs_each <= 1_000_000:  # rows of ids at most
+        ids = F.broadcast(ids)
+    texts = d.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    kind = f"lang string, doc_id {dict(d.dtypes)['doc_id']}, at long, words array<string>"
+    cut = texts.select("lang", "doc_id", "text").mapInArrow(_chunks, kind)
+    rows = cut.withColumn("rank", rank("doc_id", "at")).where(F.col("rank") <= each) \
+        .select("words", "lang").collect()  # bounded: all_chunks sequences, or one a language
+    return sorted((list(r["words"]), r["lang"]) for r in rows)
+
+
+def sequences(chunks: list[tuple[list[str], str]]) -> list[tuple[list[str], list[str]]]:
+    out = [(words, [lang] * len(words)) for words, lang in chunks]
     rng = np.random.default_rng(0)
     other = rng.permutation(len(out))
     return [(w[:len(w) // 2] + out[o][0][:len(out[o][0]) // 2], y[:len(w) // 2] + out[o][1][:len(out[o][0]) // 2])
