@@ -6,8 +6,8 @@ variable: a segment keeps its text only if it holds at least ``min_share`` of th
 pages, else it becomes its shape (digit runs written <n>); where there are too many shapes
 as well, a wildcard.  Levels go on to the last segment of the longest path.
 
-On every level, sibling branches whose labelled share of bad pages does not differ from
-their pooled share (two-proportion z test) become one branch.  A template is
+On every level, sibling branches whose labelled share of bad pages lies within z standard
+errors of the share of all pages below their parent (one-sample z test) become one branch.  A template is
 rejected when its bad share, smoothed by ``strength`` pages of the corpus's own share,
 is above ``max_bad``.  Explicit rules (host suffix and path prefix, longest first) go before.
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillcycle.llm.common import ascii_lower, shared_dir, written
@@ -122,14 +121,13 @@ def purity(stats: DataFrame, z: float = Z, strength: float = STRENGTH) -> DataFr
              .groupBy("host", "template", "labelled", "bad")
              .agg(F.array_sort(F.collect_list(F.struct("level", F.coalesce("one", "t").alias("m")))).alias("ms"))
              .select("host", "template", "labelled", "bad", F.concat_ws("/", F.lit(""), F.col("ms.m")).alias("merged")))
-    merged = W.partitionBy("host", "merged")
-    every = W.partitionBy()
-    prior = F.when(F.sum("labelled").over(every) > 0,
-                   F.sum("bad").over(every) / F.sum("labelled").over(every)).otherwise(F.lit(0.0))
-    s = named.withColumn("prior", prior)
-    smooth = (F.sum("bad").over(merged) + F.lit(strength) * F.col("prior")) / (
-        F.sum("labelled").over(merged) + F.lit(strength))
-    return s.withColumn("bad_share", smooth).select("host", "template", "bad_share")
+    total = F.sum("labelled")   # of the corpus: one row
+    prior = stats.agg(F.when(total > 0, F.sum("bad") / total).otherwise(F.lit(0.0)).alias("prior"))
+    named = written(named, "merged")
+    sums = named.groupBy("host", "merged").agg(F.sum("labelled").alias("mn"), F.sum("bad").alias("mb"))
+    sums = sums.withColumn("prior", prior.scalar())
+    smooth = (F.col("mb") + F.lit(strength) * F.col("prior")) / (F.col("mn") + F.lit(strength))
+    return named.join(sums, ["host", "merged"]).select("host", "template", smooth.alias("bad_share"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, **tree) -> DataFrame:
