@@ -85,13 +85,17 @@ def _score_pair(corpus: pd.DataFrame, queries: pd.DataFrame, k: int, id_col: str
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_id: str = "query_id",
                 query_vec: str = "embedding", eps: float = 1e-9,
-                shards: int = 32, blocks: int = 1) -> DataFrame:
+                shards: int | None = None, blocks: int | None = None,
+                rows_per_task: int = 16_384) -> DataFrame:
     """TX7/TK6: per query the ``k`` corpus rows of highest cosine similarity.
 
     Output: query_id, id_col, score (cosine of the eps-normalised vectors, nine
     decimals), rank (1..k; ties by id ascending).  A task holds the rows of one
-    shard and one block: set ``shards`` and ``blocks`` so that they fit.
+    shard and one block: about ``rows_per_task`` each, by counts, unless
+    ``shards`` and ``blocks`` are given.
     """
+    shards = shards or max(8, -(-corpus.count() // rows_per_task))
+    blocks = blocks or max(1, -(-queries.count() // rows_per_task))
     id_type, q_type = dict(corpus.dtypes)[id_col], dict(queries.dtypes)[query_id]
     number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     c = corpus.where(F.col(vec_col).isNotNull()).select(
