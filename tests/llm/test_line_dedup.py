@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from llm.helpers import DOCS, docs_of, same_as_oracle, word_soup
 
@@ -78,3 +80,69 @@ def test_repeated_rows_empty_and_query(spark):
     assert sum(r["n_dropped"] for r in ld.dedup(df.unionByName(docs_of(spark, [line], ids=[9]))).collect()) == 3
     assert ld.dedup(spark.createDataFrame([], DOCS)).count() == 0
     same_as_oracle(spark, "op4_line_dedup")
+
+
+def test_a_small_batch_reads_only_its_shards_and_the_keys_that_may_be_known(spark, tmp_path):
+    texts = [f"{word_soup(i, 20)}\n{word_soup(1000 + i % 11, 20)}" for i in range(24)]
+    old, path = docs_of(spark, texts), str(tmp_path / "lines")
+    ld.LineDedup(spark, path, shards=12).insert(old, batch="first")
+    state = ld.LineDedup(spark, path)  # as a new session opens it
+    assert state.shards == 12 and state.insert(old, batch="first").made["generation"] == 1
+    known, fresh = word_soup(1000, 20), word_soup(5000, 20)
+    seen = []
+    read = state._read
+    state._read = lambda kind, touched=None: seen.append((kind, touched)) or read(kind, touched)
+    new = docs_of(spark, [f"{known}\n{fresh}"], ids=[900])
+    state.insert(new)
+    k = [int(np.frombuffer(ld.line_key(x, 20), "<i8")[0] % 12) for x in (known, fresh)]
+    assert seen[0] == ("filters", sorted(set(k))) and seen[1] == ("refs", [k[0]])  # the fresh key asks for no counts
+    plan = read("refs", [k[0]])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^]]*shard#\d+ (= {k[0]}|IN \({k[0]}\))", plan), plan
+    newest = state.made["folders"]["refs"][-1][1]
+    assert spark.read.parquet(f"{path}/{newest}/refs").count() == 2  # only what the batch touched is written
+    again = ld.LineDedup(spark, path)
+    both = old.unionByName(new)
+    want = plain([(r["doc_id"], r["text"]) for r in both.collect()])
+    assert result(again.clean(both)) == want
+    refs = {tuple(r)[1:] for r in again.refs.collect()}
+    again.compact(shards=7)
+    assert again.shards == 7 and {tuple(r)[1:] for r in again.refs.collect()} == refs
+    assert result(ld.LineDedup(spark, path).clean(both)) == want
+    again.delete(spark.createDataFrame([(900,), (31337,), (None,)], "doc_id long"))
+    assert result(again.clean(old)) == plain(list(enumerate(texts)))
+    again.insert(new)  # back again after its deletion
+    assert result(ld.LineDedup(spark, path).clean(both)) == want
+
+
+def test_shards_grow_and_a_failed_change_leaves_the_state(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    docs = lambda a, n: docs_of(spark, [word_soup(i, 20) for i in range(a, a + n)], ids=list(range(a, a + n)))
+    state = ld.LineDedup(spark, path, keys_per_shard=4).insert(docs(0, 4))
+    assert state.shards == 8
+    state.insert(docs(4, 60))
+    assert state.shards == 64 and state.made["keys"] == 64
+    broken = docs(100, 3).withColumn("text", ld.F.raise_error(ld.F.lit("lost")).cast("string"))
+    try:
+        state.insert(broken)
+    except Exception:  # noqa: BLE001, S110
+        pass
+    after = ld.LineDedup(spark, path, keys_per_shard=4)
+    assert after.refs.count() == 64 and after.made == state.made
+    held = {r["shard"]: r["filter"] for r in after.filters.collect()}
+    keys = [(r["shard"], r["k1"], r["k2"]) for r in after.refs.collect()]
+    assert all(CuckooFilter.loads(bytes(held[s])).contains(np.array([a]), np.array([b]))[0] for s, a, b in keys)
+
+
+def test_a_shard_without_a_filter_is_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(CuckooFilter, "add", lambda self, k1, k2: False)
+    a, b = docs_of(spark, [word_soup(1, 20)] * 2), docs_of(spark, [word_soup(1, 20)] * 2, ids=[7, 8])
+    out = ld._refilter(10)
+    import pyarrow as pa
+    none = pa.table({"filter": pa.array([], pa.binary())})
+    change = pa.table({"k1": [5], "k2": [6], "step": [1]})
+    got = out((pa.scalar(3),), change, none)
+    assert got["filter"].to_pylist() == [None] and got["shard"].to_pylist() == [3]
+    assert ld._ask(change, got)["maybe"].to_pylist() == [True]
+    monkeypatch.undo()
+    state = ld.LineDedup(spark, shards=2).insert(a).insert(b)
+    assert [(r["refs"], r["keeper"]) for r in state.refs.collect()] == [(4, 8)]

@@ -2,34 +2,47 @@
 
 The key of a line is the line with white space at both ends stripped and A-Z lower-cased;
 keys of at least ``min_chars`` code points are tracked, by a 128-bit hash.  The state is a
-folder in shared storage with one generation per change, each of three tables:
-
-* postings  (shard, k1, k2, doc_id): which document holds which key;
-* refs      (shard, k1, k2, refs, keeper): exact number of documents and largest doc_id;
-* filters   (shard, filter): a cuckoo filter of the keys with refs > 0.
-
-``insert`` counts a batch per key, and the shard's filter tells the keys that are surely
-new, which are appended; only the others are looked up in the exact counts.  ``delete``
-takes documents back: counts fall, the keeper becomes the next largest doc_id, and keys
-that no document holds leave the counts and the filter.  So a delete undoes an insert.
-
-A shard's keys are processed together; the number of shards is set from the first batch,
-for ``keys_per_shard`` keys each, and stored with the state.  Keys are pre-aggregated
-before they meet, so a line of a third of all documents is one row per task.
+folder in shared storage.  Every change writes a generation, a folder of its own with
+
+* postings  (k1, k2, doc_id): the keys that the documents inserted hold;
+* gone      (doc_id): the documents deleted;
+* refs      (shard, k1, k2, refs, keeper, step): the exact number of documents and the largest
+  doc_id of the keys that the change touched, and no others; step: 1, the key is new, -1, it is gone;
+* filters   (shard, filter): the cuckoo filters of the shards whose set of keys changed;
+
+and last a small file that names the folders which make up the state, so a change that fails
+midway, or is run again by a lost executor, leaves the state as it was; a new session opens
+the newest.  A key's counts are those of its newest generation.
+
+``insert`` counts a batch per key and reads the filters of its shards, alone: keys that a
+filter does not hold are surely new and are appended; only the others are looked up in the
+exact counts, of the shards that have such keys.  ``delete`` lowers the counts of the keys of
+the documents taken back; only where the keeper goes, the other holders are read for the next
+largest doc_id; a key that no document holds leaves the filter.  So a delete undoes an insert.
+``compact`` folds all generations into one, with more shards if there are too many keys for
+them; ``insert`` does so by itself after ``MAX_GENERATIONS`` or if a shard would hold more than
+``keys_per_shard`` keys.
+
+A shard's changed keys and its filter are processed together; shards are set from the first
+batch, with room for three more of its size.  Keys are pre-aggregated before they meet, so a line of a third
+of all documents is one row per task, and salted where they meet their documents again.
+The driver holds the numbers of the touched shards, a few bytes for ``keys_per_shard`` keys.
 
 Defined cases: a null or empty text is one empty line; rows with the same doc_id are one
 document; a null doc_id is a document of its own, never the keeper while another is; an
-empty batch changes nothing.  Documents inserted must not be in the state already.
+empty batch changes nothing; ids to delete that are not there are passed over; a batch whose
+name is in the state is not inserted again.  Documents inserted must not be in the state already.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +50,16 @@ from pyspark.sql.types import StructField, StructType
 
 from tillcycle.llm.common import columns, shared_dir, unused
 from tillcycle.llm.cuckoo import CuckooFilter
+from tillcycle.sources.stored import Folder
 
 SPACE = " \t\n\x0b\x0c\r"
-MIN_CHARS, MIN_DOCS, KEYS_PER_SHARD = 20, 3, 200_000
-_NOBODY = -(1 << 63)  # keeper of a line that only documents without id hold
-_REFS = "shard int, k1 long, k2 long, refs long, keeper long"
+MIN_CHARS, MIN_DOCS, KEYS_PER_SHARD, MAX_GENERATIONS = 20, 3, 200_000, 16
+LEAST_SHARDS, ROOM, SALTS, BATCHES = 8, 4, 16, 2
+_KINDS = {"postings": "k1 long, k2 long, doc_id long", "gone": "doc_id long",
+          "refs": "k1 long, k2 long, refs long, keeper long, step int, shard int",
+          "filters": "filter binary, shard int"}
+_KEY = ["shard", "k1", "k2"]
+_ASKED = "shard int, k1 long, k2 long, refs long, keeper long, maybe boolean"
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -66,111 +84,237 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 [pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(pa.array(owner, pa.int64()))],
                 names=["k1", "k2", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "k1 long, k2 long, doc_id long")
-
-
-def _apply_shard(key, change: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """The shard's new refs and filter.  change: (k1, k2, refs, keeper), refs the new number
-    for a delete (`absolute`), else to be added."""
-    shard = int(key[0])
-    known = state[state["filter"].isna()]
-    held = state["filter"].dropna()
-    absolute = bool(len(change)) and bool(change["absolute"].iloc[0])
-    change = change[["k1", "k2", "refs", "keeper"]]
-    filt = CuckooFilter.loads(held.iloc[0]) if len(held) else CuckooFilter.built(
-        known["k1"].to_numpy(), known["k2"].to_numpy(), len(change))
-    maybe = filt.contains(change["k1"].to_numpy("int64"), change["k2"].to_numpy("int64"))
-    surely_new, looked_up = change[~maybe], change[maybe]
-    known = known[["k1", "k2", "refs", "keeper"]]
-    if not len(looked_up):
-        merged, fresh = known, surely_new
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, _KINDS["postings"])
+
+
+def _longs(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows[n].to_numpy().astype(np.int64) for n in names]
+
+
+def _ask(change: pa.Table, held: pa.Table) -> pa.Table:
+    """The shard's changed keys, and whether its filter may hold them."""
+    if not held.num_rows:
+        maybe = np.zeros(change.num_rows, bool)
+    elif held["filter"][0].as_py() is None:  # none could be kept: the counts decide alone
+        maybe = np.ones(change.num_rows, bool)
     else:
-        # nullable integers, so that an outer join keeps all 64 bits
-        refs = known.astype("Int64").merge(looked_up.astype("Int64"), "outer", on=["k1", "k2"], suffixes=("", "_c"),
-                                           indicator=True)
-        touched = refs["_merge"] != "left_only"
-        old, new = refs["refs"].fillna(0), refs["refs_c"].fillna(0)
-        refs["refs"] = np.where(touched, new if absolute else old + new, old)
-        keeper, keeper_c = refs["keeper"].fillna(_NOBODY), refs["keeper_c"].fillna(_NOBODY)
-        refs["keeper"] = np.where(touched, keeper_c if absolute else np.maximum(keeper, keeper_c), keeper)
-        fresh = pd.concat([surely_new, refs.loc[(refs["_merge"] == "right_only") & (refs["refs"] > 0),
-                                                ["k1", "k2", "refs", "keeper"]]])
-        dead = refs[(refs["refs"] <= 0) & (refs["_merge"] == "both")]
-        filt.delete(dead["k1"].to_numpy("int64"), dead["k2"].to_numpy("int64"))
-        merged = refs.loc[(refs["refs"] > 0) & (refs["_merge"] != "right_only"), ["k1", "k2", "refs", "keeper"]]
-    out = pd.concat([merged, fresh[fresh["refs"] > 0]], ignore_index=True)
-    if not filt.add(fresh["k1"].to_numpy("int64"), fresh["k2"].to_numpy("int64")):
-        filt = CuckooFilter.built(out["k1"].to_numpy("int64"), out["k2"].to_numpy("int64"), 2 * len(out))
-    out = out.astype("int64").assign(filter=None)
-    out = pd.concat([out, pd.DataFrame({"k1": [0], "k2": [0], "refs": [0], "keeper": [0], "filter": [filt.dumps()]})],
-                    ignore_index=True)
-    out.insert(0, "shard", shard)
-    return out
+        maybe = CuckooFilter.loads(held["filter"][0].as_py()).contains(*_longs(change, "k1", "k2"))
+    return change.append_column("maybe", pa.array(maybe, pa.bool_()))
+
+
+def _refilter(capacity: int):
+    """The shard's filter with the new keys and without those gone; null if one finds no place."""
+    def run(key, change: pa.Table, held: pa.Table) -> pa.Table:
+        out = []
+        if change.num_rows:
+            data = held["filter"][0].as_py() if held.num_rows else CuckooFilter.sized(capacity).dumps()
+            if data is not None:
+                (step,) = _longs(change, "step")
+                k1, k2 = _longs(change, "k1", "k2")
+                filt = CuckooFilter.loads(data)
+                filt.delete(k1[step < 0], k2[step < 0])
+                data = filt.dumps() if filt.add(k1[step > 0], k2[step > 0]) else None
+            out.append(data)
+        return pa.table({"filter": pa.array(out, pa.binary()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32())})
+    return run
 
 
 class LineDedup:
-    """The state in ``path`` (a new folder of the shared one if none is given)."""
+    """The state in ``path``: that of its newest generation, or a new one (in a new folder of
+    the shared one if no path is given)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None,
                  min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD):
-        self.spark, self.min_chars, self.keys_per_shard = spark, min_chars, keys_per_shard
+        self.spark, self.keys_per_shard = spark, keys_per_shard
         self.path = path or f"{shared_dir(spark).rstrip('/')}/llm-lines-{uuid.uuid4().hex[:12]}"
-        self.shards, self.generation, self.parts = shards, 0, []
-
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/g{self.generation}/{name}"
-        df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def _shard(self):
-        return F.pmod(F.col("k1"), F.lit(self.shards)).cast("int").alias("shard")
+        self._log = Folder(spark, f"{self.path}/_generations")
+        #: folders: (generation, folder) of each kind of table; keys: live keys
+        self.made = {"generation": 0, "shards": shards, "keys": 0, "min_chars": min_chars, "batches": [],
+                     "capacity": keys_per_shard * 5 // 4, "folders": {k: [] for k in _KINDS}}
+        for name in sorted((n for n in self._log.names() if n.isdigit()), reverse=True):
+            text = self._log.read(name)
+            if text:  # empty: its writer died before filling it
+                self.made = json.loads(text)
+                if self.made["min_chars"] != min_chars:
+                    raise ValueError(f"the state tracks keys of {self.made['min_chars']} code points, not {min_chars}")
+                break
+
+    @property
+    def shards(self) -> int:
+        return self.made["shards"]
+
+    # -- reading -------------------------------------------------------------------------
+
+    def _read(self, kind: str, touched: list[int] | None = None) -> DataFrame:
+        """The rows of all generations with their number ``gen``, of the touched shards only if given."""
+        def one(gen: int, folder: str) -> DataFrame:
+            df = self.spark.read.schema(_KINDS[kind]).parquet(f"{self.path}/{folder}/{kind}")
+            if touched is not None and len(touched) < self.shards:
+                df = df.where(F.col("shard").isin(touched))  # a folder a shard: the others are not opened
+            return df.withColumn("gen", F.lit(gen))
+        parts = [one(*f) for f in self.made["folders"][kind]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _KINDS[kind] + ", gen int")
+
+    def _newest(self, kind: str, by: list[str], touched: list[int] | None = None,
+                only: DataFrame | None = None) -> DataFrame:
+        rows = self._read(kind, touched)
+        if only is not None:
+            rows = rows.join(only, by, "left_semi")
+        if len(self.made["folders"][kind]) < 2:
+            return rows.drop("gen")
+        rest = [c for c in rows.columns if c not in (*by, "gen")]
+        return (rows.groupBy(*by).agg(F.max_by(F.struct(*rest), "gen").alias("newest"))
+                .select(*by, "newest.*"))
+
+    @property
+    def refs(self) -> DataFrame:
+        """(shard, k1, k2, refs, keeper) of the keys that a document holds."""
+        return self._newest("refs", _KEY).where("refs > 0").select(*_KEY, "refs", "keeper")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._newest("filters", ["shard"]).select("shard", "filter")
 
     def postings(self) -> DataFrame:
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def _change(self, change: DataFrame, absolute: bool) -> None:
-        change = change.select(self._shard(), "k1", "k2", "refs",
-                               F.coalesce("keeper", F.lit(_NOBODY)).alias("keeper"), F.lit(absolute).alias("absolute"))
-        old = self.state if self.generation > 1 else self.spark.createDataFrame([], _REFS + ", filter binary")
-        new = change.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(
-            _apply_shard, _REFS + ", filter binary")
-        self.state = new = self._write(new, "shards")
-        keeper = F.when(F.col("keeper") != _NOBODY, F.col("keeper")).alias("keeper")
-        self.refs = new.where("filter is null").select("shard", "k1", "k2", "refs", keeper)
-        self.filters = new.where("filter is not null").select("shard", "filter")
-
-    def insert(self, docs: DataFrame) -> LineDedup:
-        self.generation += 1
-        part = self._write(postings(docs, self.min_chars), "postings")
+        """(k1, k2, doc_id) of the documents in the state."""
+        held = self._read("postings")
+        if self.made["folders"]["gone"]:
+            gone = self._read("gone").groupBy(F.col("doc_id").alias("gone")).agg(F.max("gen").alias("until"))
+            held = held.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("gen") < F.col("until")), "left_anti")
+        return held.select("k1", "k2", "doc_id")
+
+    @staticmethod
+    def _holders(held: DataFrame, keys: DataFrame) -> DataFrame:
+        """The postings of the keys (k1, k2, ...), each key once.  Salted: a key may be in a third of all documents."""
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+        spread = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        return held.select("*", salt).join(spread, ["k1", "k2", "salt"]).drop("salt")
+
+    # -- writing -------------------------------------------------------------------------
+
+    def _shard(self, shards: int | None = None):
+        return F.pmod(F.col("k1"), F.lit(shards or self.shards)).cast("int").alias("shard")
+
+    def _write(self, df: DataFrame, kind: str, folder: str) -> DataFrame:
+        at = f"{self.path}/{folder}/{kind}"
+        own = [c.split()[0] for c in _KINDS[kind].split(", ")]
+        writer = df.select(*own).write.option("compression", "zstd")
+        (writer.partitionBy("shard") if "shard" in own else writer).parquet(at)
+        return self.spark.read.schema(_KINDS[kind]).parquet(at)
+
+    def _commit(self, made: dict, folder: str, kinds: list[str]) -> None:
+        made["generation"] = n = self.made["generation"] + 1
+        for kind in kinds:
+            made["folders"][kind].append([n, folder])
+        while not self._log.create(f"{n:012d}", json.dumps(made)):
+            if self._log.read(f"{n:012d}"):
+                raise RuntimeError(f"{self.path}: another change became generation {n} first")
+            self._log.delete(f"{n:012d}")  # its writer died before filling it
+        self.made = made
+
+    @staticmethod
+    def _touched(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select("shard").distinct().collect())
+
+    def _change(self, change: DataFrame, folder: str, kinds: list[str], **more) -> None:
+        """change: (shard, k1, k2, refs, keeper, step), refs and keeper being the new ones."""
+        made = json.loads(json.dumps(self.made | more))
+        refs = self._write(change, "refs", folder)
+        steps = refs.where("step <> 0").select("shard", "k1", "k2", "step")
+        held = self._newest("filters", ["shard"], self._touched(steps))
+        self._write(steps.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(
+            _refilter(made["capacity"]), _KINDS["filters"]), "filters", folder)
+        made["keys"] += steps.agg(F.sum("step")).first()[0] or 0
+        self._commit(made, folder, [*kinds, "refs", "filters"])
+
+    def _asked(self, change: DataFrame, part: DataFrame) -> DataFrame:
+        """(shard, k1, k2, refs, keeper, maybe) of the batch, from the filters of its shards alone."""
+        held = self._newest("filters", ["shard"], self._touched(part.select(self._shard())))
+        return change.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_ask, _ASKED)
+
+    def insert(self, docs: DataFrame, batch: str | None = None) -> LineDedup:
+        """Adds the documents; a batch of a name that is in the state already is passed over."""
+        if batch is not None and batch in self.made["batches"]:
+            return self
+        folder = f"g-{uuid.uuid4().hex[:12]}"
+        part = self._write(postings(docs, self.made["min_chars"]), "postings", folder)
+        most = self.made["keys"] + part.count()
+        need = max(LEAST_SHARDS, -(-ROOM * most // self.keys_per_shard))
         if self.shards is None:
-            self.shards = max(8, -(-part.count() // self.keys_per_shard))
-        self.parts.append(part)
-        self._change(part.groupBy("k1", "k2").agg(F.count_distinct(F.struct("doc_id")).alias("refs"),
-                                                  F.max("doc_id").alias("keeper")), absolute=False)
+            self.made["shards"] = need
+        elif most > self.shards * self.keys_per_shard or len(self.made["folders"]["refs"]) >= MAX_GENERATIONS:
+            self.compact(max(need, self.shards) if most > self.shards * self.keys_per_shard else self.shards)
+        change = part.groupBy("k1", "k2").agg(F.count_distinct(F.struct("doc_id")).alias("refs"),
+                                              F.max("doc_id").alias("keeper")).select(self._shard(), "*")
+        if self.made["folders"]["refs"]:
+            at = f"{self.path}/{folder}/asked"
+            self._asked(change, part).write.option("compression", "zstd").parquet(at)
+            asked = self.spark.read.schema(_ASKED).parquet(at)
+            known = asked.where("maybe")
+            old = self._newest("refs", _KEY, self._touched(known), known.select(*_KEY)).where("refs > 0").select(
+                *_KEY, F.col("refs").alias("had"), F.col("keeper").alias("kept"))
+            change = known.join(old, _KEY, "left").select(
+                *_KEY, (F.coalesce("had", F.lit(0)) + F.col("refs")).alias("refs"),
+                F.greatest("keeper", "kept").alias("keeper"), F.when(F.col("had").isNull(), 1).otherwise(0).alias("step"))
+            change = change.unionByName(asked.where("not maybe").select(*_KEY, "refs", "keeper", F.lit(1).alias("step")))
+        else:
+            change = change.withColumn("step", F.lit(1))
+        # one task writes a shard, and a shard is one file
+        self._change(change.repartition("shard"), folder, ["postings"],
+                     batches=self.made["batches"] + ([batch] if batch is not None else []))
         return self
 
     def delete(self, ids: DataFrame) -> LineDedup:
         """Takes the documents of the ``doc_id`` column out of the state."""
-        self.generation += 1
-        gone = ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
+        if not self.made["folders"]["refs"]:
+            return self
+        folder = f"g-{uuid.uuid4().hex[:12]}"
+        gone = self._write(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "gone", folder)
+        gone = gone.select(F.col("doc_id").alias("gone"))
         held, hit = self.postings(), F.col("doc_id").eqNullSafe(F.col("gone"))
-        lost = held.join(gone, hit, "left_semi").select("k1", "k2").distinct()
-        kept = self._write(held.join(gone, hit, "left_anti"), "postings")
-        left = (lost.join(kept.withColumn("there", F.lit(True)), ["k1", "k2"], "left")
-                .withColumn("own", F.when(F.col("there"), F.struct("doc_id"))))
-        self.parts = [kept]
-        self._change(left.groupBy("k1", "k2").agg(F.count_distinct("own").alias("refs"),
-                                                  F.max("doc_id").alias("keeper")), absolute=True)
+        lost = held.join(gone, hit, "left_semi").groupBy("k1", "k2").agg(
+            F.count_distinct(F.struct("doc_id")).alias("lost")).select(self._shard(), "*")
+        at = f"{self.path}/{folder}/lost"
+        lost.write.option("compression", "zstd").parquet(at)
+        lost = self.spark.read.schema("shard int, k1 long, k2 long, lost long").parquet(at)
+        now = (self._newest("refs", _KEY, self._touched(lost), lost.select(*_KEY)).join(lost, _KEY)
+               .join(gone, F.col("keeper") == F.col("gone"), "left")
+               .select(*_KEY, (F.col("refs") - F.col("lost")).alias("refs"), "keeper",
+                       F.col("gone").isNotNull().alias("orphan")))
+        left = self._holders(held.join(gone, hit, "left_anti"), now.where("orphan and refs > 0").select("k1", "k2"))
+        heirs = left.groupBy("k1", "k2").agg(F.max("doc_id").alias("heir"))
+        change = now.join(heirs, ["k1", "k2"], "left").select(
+            *_KEY, "refs", F.when(F.col("orphan"), F.col("heir")).otherwise(F.col("keeper")).alias("keeper"),
+            F.when(F.col("refs") == 0, -1).otherwise(0).alias("step"))
+        self._change(change.repartition("shard"), folder, ["gone"])
         return self
 
+    def compact(self, shards: int | None = None) -> LineDedup:
+        """All generations as one, in ``shards`` shards; the state stays what it was."""
+        if not self.made["folders"]["refs"]:
+            return self
+        folder, shards = f"g-{uuid.uuid4().hex[:12]}", shards or self.shards
+        made = json.loads(json.dumps(self.made | {"shards": shards, "capacity": self.keys_per_shard * 5 // 4}))
+        kinds = ["refs", "filters"]
+        if len(made["folders"]["postings"]) > 1 or made["folders"]["gone"]:
+            self._write(self.postings(), "postings", folder)
+            kinds.append("postings")
+            made["folders"] |= {"postings": [], "gone": []}
+        live = self.refs.drop("shard").select(self._shard(shards), "*", F.lit(1).alias("step"))
+        refs = self._write(live.repartition("shard"), "refs", folder)
+        none = self.spark.createDataFrame([], _KINDS["filters"])
+        self._write(refs.groupBy("shard").cogroup(none.groupBy("shard")).applyInArrow(
+            _refilter(made["capacity"]), _KINDS["filters"]), "filters", folder)
+        made["folders"] |= {"refs": [], "filters": []}
+        self._commit(made, folder, kinds)
+        return self
+
+    # -- using ---------------------------------------------------------------------------
+
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(doc_id, drop): 16-byte keys whose lines the document loses."""
         often = self.refs.where(F.col("refs") >= min_docs).select("k1", "k2", "keeper")
-        return (self.postings().join(often, ["k1", "k2"])
+        return (self._holders(self.postings(), often)
                 .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
                 .groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop")))
 
@@ -182,7 +326,7 @@ class LineDedup:
         own_id, own_drop = unused(docs, "own_id", "own_drop")
         drops = self.drops(min_docs).select(F.col("doc_id").alias(own_id), F.col("drop").alias(own_drop))
         both = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops[own_id]), "left")
-        names, min_chars = docs.columns, self.min_chars
+        names, min_chars = docs.columns, self.made["min_chars"]
         text_at = names.index("text")
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +358,16 @@ class LineDedup:
                 .mapInArrow(rebuild, schema).toDF(*names, *added))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, **kw) -> DataFrame:
-    """One batch into a new state, and the documents cleaned by it."""
-    return LineDedup(docs.sparkSession, min_chars=min_chars).insert(docs).clean(docs, min_docs, **kw)
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES,
+          **kw) -> DataFrame:
+    """The documents cleaned by a new state that takes them in ``batches``, as a corpus arrives in
+    parts: from the second on, the filters tell which keys the exact counts are read for.
+    Rows are dealt by doc_id, so that rows of one document are in one batch."""
+    state = LineDedup(docs.sparkSession, min_chars=min_chars)
+    batch = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches))
+    for i in range(batches):
+        state.insert(docs.where(batch == i))
+    return state.clean(docs, min_docs, **kw)
 
 
 SQL = r"""
