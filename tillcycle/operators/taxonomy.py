@@ -1,5 +1,5 @@
 """Product taxonomy: clean text -> features -> k-means -> cluster labels ->
-one dim_product row per SKU (SC14, TX1-TX5, TX8, TX9, SO1-SO3, JO9).
+one dim_product row per SKU (SC14, TX1-TX5, TX8, TX9, TK7, SO1-SO3, JO9).
 
 The cluster naming of the reference asks a language model; here a cluster
 is named by its three highest-scoring terms (term frequency in the cluster
@@ -76,6 +76,13 @@ def label_clusters(assigned: DataFrame, n_terms: int = 3) -> DataFrame:
         "cluster_id", F.coalesce("category_name", F.lit("Misc")).alias("category_name"))
 
 
+def cluster_samples(assigned: DataFrame, n: int = 20) -> DataFrame:
+    """TK7: the alphabetically first ``n`` distinct texts of every cluster, ranked from 1.
+    assigned: cluster_id, clean_desc; a cluster of any size is ranked in pieces."""
+    texts = assigned.select("cluster_id", "clean_desc").distinct()
+    return top_k_per_group(texts, ["cluster_id"], [F.col("clean_desc")], n, salt_cols=["clean_desc"])
+
+
 def build_dim_product(facts: DataFrame, n_clusters: int = 30, version: str = "v1",
                       seed: int = 42, n_init: int = 10) -> DataFrame:
     """TX8/TX9/SO3: one row per stock_code (the alphabetically first of its

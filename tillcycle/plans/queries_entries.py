@@ -18,11 +18,12 @@ from tillcycle.operators.naive import naive_forecast
 from tillcycle.operators.quality import dq_findings
 from tillcycle.operators.retrieval import chunk, read_documents
 from tillcycle.operators.validate import action_rules, coerce_actions, validate, validate_requests
+from tillcycle.plans import derived as DV
 from tillcycle.plans.queries_core import AS_OF
 from tillcycle.plans.queries_cycle import (
     AUDIT_SQL, BASE, DATE_COLUMNS, REVIEW_SQL, SETTINGS, SUMMARY_SQL, TASKS_SQL, cycle)
 from tillcycle.plans.queries_evals import (
-    DEC_EVAL_SQL, FC_EVAL_SQL, run_forecasts, run_tables, stored_artifacts)
+    DEC_EVAL_SQL, FACT_EVAL_SQL, FC_EVAL_SQL, run_forecasts, run_tables, stored_artifacts, stored_kpis_from)
 from tillcycle.plans.queries_forecast import BRAND_SERIES, _features_sql, brand_series, forecast_sql
 from tillcycle.plans.queries_report import raw_lines
 from tillcycle.plans.registry import register
@@ -256,6 +257,46 @@ def q_stored_forecast_eval(spark, d):
     return EV.with_missing(t["runs"], summary)
 
 
+def _missing_sql(scored: str, month: int) -> str:
+    """An evaluation's statement, with a row for every run and none of that month scored."""
+    at = scored.rindex("\nSELECT ")
+    return scored[:at].rstrip() + f""",
+scored AS ({scored[at:]})
+SELECT r.run_id, CASE WHEN x.run_id IS NULL THEN 'missing_artifact' ELSE 'scored' END AS status, x.* EXCLUDE (run_id)
+FROM runs r LEFT JOIN (SELECT * FROM scored WHERE run_id IN (SELECT run_id FROM runs WHERE month(as_of_date) <> {month})) x
+ON r.run_id = x.run_id"""
+
+
+def _stored_but(spark, t: dict, artifact: str, month: int) -> DataFrame:
+    """The latest artifacts of a type, of all runs but that month's, appended and read back."""
+    at = new_folder(spark, artifact)
+    stored = t["runs"].where(F.month("as_of_date") != month).select("run_id")
+    rows = stored_artifacts(t, (artifact,)).where(F.col("artifact_type") == artifact)
+    AR.append(rows.join(stored, "run_id", "left_semi"), at)
+    return AR.latest_artifacts(spark.read.parquet(at), [artifact])
+
+
+@register("stored_factuality_eval", "EV1 EV2 EV3 SC10", _missing_sql(FACT_EVAL_SQL, 12))
+def q_stored_factuality_eval(spark, d):
+    """Analyst reports of every run but December's, stored, read back and scored."""
+    t = run_tables(spark, d)
+    stored, narr = stored_kpis_from(_stored_but(spark, t, "analyst_report", 12))
+    return EV.with_missing(t["runs"], EV.eval_factuality(stored, DV.run_kpis(t["facts"], t["runs"]), narr))
+
+
+DECISION_SCHEMA = "rationale string, confidence double, kpi_references array<string>, forecast_references array<string>"
+
+
+@register("stored_decision_eval", "EV5 EV6 EV7 SC10", _missing_sql(DEC_EVAL_SQL, 8))
+def q_stored_decision_eval(spark, d):
+    """Decisions of every run but August's, stored, read back and scored; the actions and the
+    known KPIs of a run without a decision make no row of their own."""
+    t = run_tables(spark, d)
+    latest = _stored_but(spark, t, "decision", 8)
+    decisions = latest.select("run_id", F.from_json("artifact_json", DECISION_SCHEMA).alias("r")).select("run_id", "r.*")
+    return EV.with_missing(t["runs"], EV.eval_decisions(decisions, t["actions"], t["kpis"].select("run_id", "name")))
+
+
 @register("forecast_warnings", "EV4", FC_EVAL_SQL + f"""
 SELECT p.run_id, p.stock_code, printf('{EV.NO_ACTUALS}', p.stock_code, CAST(r.as_of_date AS VARCHAR)) AS warning
 FROM per p JOIN runs r ON p.run_id = r.run_id WHERE p.n_actuals = 0""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillcycle.functions.text import COLOUR_PATTERN, PACK_PATTERN
 from tillcycle.operators.pruned_terms import pruned_topk, term_index
 from tillcycle.operators.retrieval import chunk, terms_topk, tfidf_terms, vector_topk
-from tillcycle.operators.taxonomy import build_dim_product, product_texts
+from tillcycle.operators.taxonomy import build_dim_product, cluster_samples, product_texts
 from tillcycle.plans.registry import REGISTRY, register
 from tillcycle.session import cut_lineage
 from tillcycle.sources.tables import FACT_SALES_SQL, fact_sales, read_table
@@ -138,6 +138,16 @@ def q_benchmark_retrieval_pruned(spark, d):
 CLEAN_SQL = dict((n, q.sql) for n, q in REGISTRY.items())["clean_descriptions"]
 
 
+@register("text_samples_per_group", "TK7 TX1", f"""SELECT cluster_id, clean_desc, rank FROM (
+  SELECT cluster_id, clean_desc, CAST(ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY clean_desc) AS INTEGER) AS rank
+  FROM (SELECT DISTINCT split_part(clean_desc, ' ', 1) AS cluster_id, clean_desc FROM ({CLEAN_SQL})))
+WHERE rank <= 20""")
+def q_text_samples(spark, d):
+    """The first 20 texts of every group; texts are grouped by their first word, which SQL can follow."""
+    texts = product_texts(fact_sales(spark, d, ["stock_code", "description"]))
+    return cluster_samples(texts.withColumn("cluster_id", F.substring_index("clean_desc", " ", 1)))
+
+
 @register("distinct_clean_texts", "SO2 TX1", CLEAN_SQL.replace("SELECT stock_code, description,", "SELECT DISTINCT", 1))
 def q_distinct_clean(spark, d):
     """The texts that the taxonomy clusters, each once."""
