@@ -138,8 +138,10 @@ def review_actions(actions: DataFrame, profile_col: str = "control_profile") ->
     risk = F.when(q_reg, "medium").otherwise(risk)
     r_quality = F.when(q_reg, REG_QUALITY)
 
-    reasons = F.filter(F.array(r_base, r_pricing_high, r_target, r_reg, r_inv_ok, r_quality),
-                       lambda x: x.isNotNull())
+    # joined lists, not a filtered one: a function over list elements would keep the whole
+    # projection from being compiled
+    reasons = F.concat(*[F.when(r.isNull(), F.array().cast("array<string>")).otherwise(F.array(r))
+                         for r in (r_base, r_pricing_high, r_target, r_reg, r_inv_ok, r_quality)])
     return actions.select(
         "*", fam.alias("control_family"), risk.alias("risk_tier"),
         new_role.alias("approval_role"), new_state.alias("execution_state"),
@@ -200,9 +202,12 @@ def executable(actions: DataFrame, reviews: DataFrame | None) -> DataFrame:
     actions of a run that has no review at all."""
     if reviews is None:
         return actions
-    rv = reviews.select("run_id", "action_id", "execution_state")
+    # the keys' hash comes first: sorting by a long is faster than by texts that begin alike
+    keys = ["_h", "run_id", "action_id"]
+    hashed = lambda df: df.withColumn("_h", F.xxhash64("run_id", "action_id"))
+    rv = hashed(reviews).select(*keys, "execution_state")
     # one row per run: without the bound a run with most of the actions would be one key
     reviewed_runs = bounded_broadcast(reviews.select("run_id").distinct().withColumn("_reviewed", F.lit(True)))
-    a = actions.join(rv, ["run_id", "action_id"], "left").join(reviewed_runs, "run_id", "left")
+    a = hashed(actions).join(rv, keys, "left").drop("_h").join(reviewed_runs, "run_id", "left")
     keep = (F.col("execution_state") == AUTO) | F.col("_reviewed").isNull()
     return a.where(keep).drop("execution_state", "_reviewed")

@@ -63,34 +63,68 @@ def assign_runs(df: DataFrame, runs: DataFrame, ts_col: str = "invoice_date") ->
     return j.where(ok).drop("as_of_date", "period_start", "period_end", "mode")
 
 
+def run_calendar(runs: DataFrame) -> DataFrame:
+    """(moment, runs): the runs whose visible period holds a day's midnight, and those that hold
+    the times past it; bounded by the calendar.  Rules as in `assign_runs`."""
+    days = runs.select(F.explode(F.sequence("period_start", "period_end")).alias("day")).distinct()
+    midnight = F.col("day").cast("timestamp_ntz")
+    moments = days.select(F.explode(F.array(midnight, midnight + F.expr("INTERVAL '1' MICROSECOND"))).alias("moment"))
+    return assign_runs(moments, runs, "moment").groupBy("moment").agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+
+
+def moment(ts) -> F.Column:
+    """The day of a timestamp: its midnight, or a microsecond later for all times past midnight, as
+    period bounds are midnights and tell just these two apart."""
+    day = F.to_date(ts).cast("timestamp_ntz")
+    return F.when(ts == day, day).otherwise(day + F.expr("INTERVAL '1' MICROSECOND"))
+
+
+#: Runs in one word of a set of runs.
+WORD_BITS = 62
+
+
 def run_kpis(facts: DataFrame, runs: DataFrame) -> DataFrame:
     """The five analyst KPIs of every run: run_id, name, value, unit, period.
 
-    Lines are first summed per (invoice, customer, timestamp) before the
-    fan-out to runs, so the fan-out multiplies invoices, not lines, and the
-    facts are scanned once for both the invoice and the customer counts.
+    Runs overlap, so nothing is sent to each run: an invoice and a customer keep the set of runs
+    that see one of their lines, as bits of a few longs that are or-ed in one aggregate (sums are
+    kept per moment beside them).  The facts are read once; a line gives three rows that are
+    combined before the shuffle, and what fans out to runs are the distinct sets.
     """
-    # one pass over the lines; both branches read this (reused) aggregate
-    pre = facts.groupBy("invoice_no", "customer_id", "invoice_date").agg(
-        F.sum("revenue").alias("revenue"),
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.col("quantity") < 0).alias("returns"))
-    inv = assign_runs(pre, runs)
-    per_invoice = inv.groupBy("run_id", "invoice_no").agg(
-        F.sum("revenue").alias("rev"), F.sum("lines").alias("lines"),
-        F.sum("returns").alias("returns"))
-    totals = per_invoice.groupBy("run_id").agg(
-        F.sum("rev").alias("rev"), F.count(F.lit(1)).alias("orders"),
-        F.sum("lines").alias("lines"), F.sum("returns").alias("returns"))
-    cust = inv.select("run_id", "customer_id").distinct() \
-        .groupBy("run_id").agg(F.count(F.lit(1)).alias("customers"))
-    long_a = grouped_kpis_from_totals(totals, ["run_id"])
-    long_b = cust.select("run_id", F.lit("unique_customers").alias("name"),
-                         F.col("customers").cast("double").alias("value"),
-                         F.lit("customers").alias("unit"))
+    numbers = {r["run_id"]: i for i, r in enumerate(runs.select("run_id", "as_of_date").where("run_id is not null")
+                                                    .orderBy("as_of_date").collect())}   # one row per month
+    words = [f"w{i}" for i in range(max(1, -(-len(numbers) // WORD_BITS)))]
+    numbered = runs.sparkSession.createDataFrame(list(numbers.items()), "run_id string, n int")
+    bits = run_calendar(runs).select("moment", F.explode("runs").alias("run_id")).join(F.broadcast(numbered), "run_id")
+    sets = bits.groupBy("moment").agg(*[
+        F.bit_or(F.when(F.floor(F.col("n") / WORD_BITS) == i, F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.pmod("n", F.lit(WORD_BITS)))).otherwise(F.lit(0).cast("long"))).alias(w)
+        for i, w in enumerate(words)])
+    lines = facts.select("invoice_no", "customer_id", "revenue", (F.col("quantity") < 0).alias("back"),
+                         moment(F.col("invoice_date")).alias("moment")).join(F.broadcast(sets), "moment")
+    no_sum = (F.lit(None).cast("double").alias("revenue"), F.lit(None).cast("boolean").alias("back"))
+    none = F.lit(None).cast("timestamp_ntz").alias("moment")
+    line = F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("key"), "moment", "revenue", "back"),
+                   F.struct(F.lit(1).alias("kind"), F.col("invoice_no").alias("key"), none, *no_sum),
+                   F.struct(F.lit(2).alias("kind"), F.col("customer_id").alias("key"), none, *no_sum))
+    seen = lines.select(F.inline(line), *words).groupBy("kind", "key", "moment").agg(
+        *[F.bit_or(w).alias(w) for w in words], F.sum("revenue").alias("rev"), F.count(F.lit(1)).alias("lines"),
+        F.count_if("back").alias("returns"))
+    alike = seen.groupBy("kind", *words).agg(F.sum("rev").alias("rev"), F.sum("lines").alias("lines"),
+                                             F.sum("returns").alias("returns"), F.count(F.lit(1)).alias("keys"))
+    places = F.array(*[F.lit(i) for i in range(WORD_BITS)])
+
+    def members(word: str, first: int):
+        return F.transform(F.filter(places, lambda n: F.call_function("getbit", F.col(word), n) == 1), lambda n: n + first)
+
+    of_set = F.concat(*[members(w, i * WORD_BITS) for i, w in enumerate(words)])
+    kind = lambda i, c: F.sum(F.when(F.col("kind") == i, F.col(c)))
+    totals = alike.select("*", F.explode(of_set).alias("n")).groupBy("n").agg(
+        kind(0, "rev").alias("rev"), kind(0, "lines").alias("lines"), kind(0, "returns").alias("returns"),
+        kind(1, "keys").alias("orders"), kind(2, "keys").alias("customers")).join(F.broadcast(numbered), "n")
     period = runs.select("run_id", F.concat_ws("/", F.col("period_start").cast("string"),
                                                F.col("period_end").cast("string")).alias("period"))
-    return long_a.unionByName(long_b).join(F.broadcast(period), "run_id")
+    return grouped_kpis_from_totals(totals, ["run_id"], customers=True).join(F.broadcast(period), "run_id")
 
 
 def evidence_first_columns(facts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -108,21 +142,22 @@ def evidence_first_columns(facts: DataFrame, runs: DataFrame) -> DataFrame:
         F.struct(F.lit("return_rate").alias("evidence"), F.col("returns").alias("value")))))
 
 
-def grouped_kpis_from_totals(totals: DataFrame, by: list[str]) -> DataFrame:
-    """Long KPI rows from pre-aggregated (rev, orders, lines, returns)."""
+def grouped_kpis_from_totals(totals: DataFrame, by: list[str], customers: bool = False) -> DataFrame:
+    """Long KPI rows from pre-aggregated (rev, orders, lines, returns; customers if asked for)."""
     rev = F.coalesce(F.col("rev"), F.lit(0.0))
 
     def metric(name, value, unit):
         return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"),
                         F.lit(unit).alias("unit"))
 
+    own = [metric("unique_customers", F.col("customers"), "customers")] if customers else []
     arr = F.array(
         metric("total_revenue", F.round(rev, 2), "GBP"),
         metric("total_orders", F.col("orders"), "orders"),
         metric("avg_order_value",
                F.coalesce(F.round(F.try_divide(rev, F.col("orders")), 2), F.lit(0.0)), "GBP"),
         metric("return_rate", F.round(F.col("returns") / F.greatest(F.col("lines"), F.lit(1)), 4),
-               "ratio"))
+               "ratio"), *own)
     return totals.select(*by, F.inline(arr))
 
 
@@ -163,18 +198,26 @@ def narratives(kpis_wide: DataFrame, sku_stats: DataFrame) -> DataFrame:
     return kpis_wide.join(n_skus, "run_id", "left").select("run_id", text.alias("narrative"))
 
 
+#: Lines that a task of `sku_period_stats` deals with.
+LINES_PER_TASK = 250_000
+
+
 def sku_period_stats(facts: DataFrame, runs: DataFrame) -> DataFrame:
     """Per (run, SKU) over the run's visible period: units sold, lines,
-    return lines, last sale timestamp.  Pre-aggregated per (SKU, timestamp)
-    before the fan-out to runs."""
-    daily = facts.groupBy("stock_code", "invoice_date").agg(
-        F.sum(F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(0)).alias("units"),
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(F.col("quantity") < 0).alias("return_lines"),
-        F.max(F.when(F.col("quantity") > 0, F.col("invoice_date"))).alias("last_sale"))
-    return assign_runs(daily, runs).groupBy("run_id", "stock_code").agg(
-        F.sum("units").cast("long").alias("units"), F.sum("lines").alias("lines"),
-        F.sum("return_lines").alias("return_lines"), F.max("last_sale").alias("last_sale"))
+    return lines, last sale timestamp.  The lines meet by SKU, in as many
+    partitions as they need, before the fan-out to runs: the fan-out is
+    aggregated where it arises and never shuffled."""
+    sold = F.col("quantity") > 0
+    lines = facts.select("stock_code", moment(F.col("invoice_date")).alias("moment"),
+                         F.when(sold, F.col("quantity")).otherwise(0).alias("units"),
+                         F.coalesce(F.col("quantity") < 0, F.lit(False)).alias("back"),
+                         F.when(sold, F.col("invoice_date")).alias("last_sale"))
+    tasks = max(1, -(-facts.count() // LINES_PER_TASK))
+    return lines.repartition(tasks, "stock_code").join(F.broadcast(run_calendar(runs)), "moment") \
+        .select(F.explode("runs").alias("run_id"), "stock_code", "units", "back", "last_sale") \
+        .groupBy("run_id", "stock_code").agg(
+            F.sum("units").cast("long").alias("units"), F.count(F.lit(1)).alias("lines"),
+            F.count_if("back").alias("return_lines"), F.max("last_sale").alias("last_sale"))
 
 
 def pct(ratio):

@@ -19,7 +19,7 @@ SETTINGS = DI.DispatchSettings(dry_run=True, target_system="jira")
 
 def cycle(spark, d) -> DV.RunTables:
     """Every cycle table for the facts at ``d``, each built on first use."""
-    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS])
+    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS], lines_per_task=DV.LINES_PER_TASK)
     dates = fact_sales(spark, d, DATE_COLUMNS)
     t = DV.build_run_tables(facts, dates=dates)
 

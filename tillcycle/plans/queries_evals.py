@@ -31,7 +31,7 @@ ANALYST_SCHEMA = T.StructType([
 
 
 def run_tables(spark, d) -> dict:
-    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS])
+    facts = fact_sales(spark, d, ["invoice_no", "customer_id", *DATE_COLUMNS], lines_per_task=DV.LINES_PER_TASK)
     dates = fact_sales(spark, d, DATE_COLUMNS)
     t = DV.build_run_tables(facts, dates=dates)
     t["facts"] = facts

@@ -37,7 +37,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fact_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, *,
                part_attrs: dict[str, str] | None = None,
-               where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+               where: Column | None = None, only: DataFrame | None = None,
+               lines_per_task: int | None = None) -> DataFrame:
     """The ``fact_sales`` relation built from the source tables, with the
     ``columns`` asked for (all nine if none are named).
 
@@ -47,6 +48,8 @@ def fact_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
     nation for country.  ``where`` is a predicate over lineitem columns applied
     at the scan (pushed down).  ``only`` is a frame of at most a few stock_codes
     (a top-k result): lines of other codes go before any dimension is joined.
+    ``lines_per_task`` sizes the orders join by the lines (counted from the
+    files' footers), so that a task sorts no more of them on larger tables.
     """
     wanted = list(columns or FACT_COLUMNS)
     description, country = "description" in wanted, "country" in wanted
@@ -61,6 +64,9 @@ def fact_sales(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
         li = li.join(keys, li.l_partkey.cast("string") == F.col("_only"), "left_semi")
     if customer or country:
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        if lines_per_task:
+            tasks = max(1, -(-li.count() // lines_per_task))
+            li, orders = li.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
         df = li.join(orders, li.l_orderkey == orders.o_orderkey)
     else:
         df = li
