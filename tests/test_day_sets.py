@@ -73,3 +73,13 @@ def test_sketches_stay_near_the_counts(spark):
     exact = {(r.run_id, r.measure): r.n for r in period_counts(store.sets(), runs).collect()}
     near = {(r.run_id, r.measure): r.n for r in period_estimates(day_sketches(lines), runs).collect()}
     assert exact.keys() == near.keys() and max(abs(near[k] - n) / n for k, n in exact.items()) < 0.05
+
+
+def test_a_day_fills_few_bitmaps(spark):
+    store = DaySets(spark, tempfile.mkdtemp(prefix="tillcycle-sets-"))
+    day = F.expr("timestamp_ntz'2011-03-01 00:00:00' + make_dt_interval(cast(id % 20 as int))")
+    store.append(spark.range(80_000).select(
+        F.concat(F.lit("i"), "id").alias("invoice_no"), F.lit("c").alias("customer_id"), day.alias("invoice_date"),
+        F.lit(1).alias("quantity"), F.lit(1.0).alias("revenue")), "all")
+    # 80,000 invoices, each on one of 20 days: three bitmaps of 32,768 numbers, two of which share a day
+    assert store.sets().where("measure = 'orders'").count() <= 22

@@ -9,7 +9,9 @@ numbering is not wanted; their error is that of HyperLogLog.
 
 Numbers: keys are dealt by hash into slices of about ``PER_SLICE`` keys (the slices are counted at the
 first append) and numbered inside their slice, so no window holds more than a slice; keys of later
-appends go on from their slice's last number.  A bitmap covers 32,768 numbers of one slice.
+appends go on from their slice's last number.  A bitmap covers 32,768 numbers of one slice.  The order
+is that of the first day a key is seen on: keys of the same days share bitmaps, and a day has few.
+Bitmaps meet in as many partitions as they fill (``SETS_PER_TASK``, ``KEYS_PER_TASK``).
 
 Defined cases: a null key is a key like any other (the sketches skip it); days may come in several
 appends, in any order; a retried append adds nothing; one writer at a time.
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillcycle.plans.derived import assign_runs, grouped_kpis_from_totals
+from tillcycle.plans.derived import assign_runs, grouped_kpis_from_totals, moment, run_calendar
 from tillcycle.session import bounded_broadcast, cut_lineage
 from tillcycle.sources.stored import AppendLog
 
-PER_SLICE = 16_384
+PER_SLICE = 1 << 19
+SETS_PER_TASK, KEYS_PER_TASK = 8_192, 500_000
 #: What is counted, and the fact column that holds its keys.
 MEASURES = {"orders": "invoice_no", "customers": "customer_id"}
 IDS_SCHEMA = "measure string, key string, slice int, number long, slices int"
@@ -33,16 +36,11 @@ SETS_SCHEMA = "moment timestamp_ntz, measure string, slice int, bucket long, bit
 SUMS_SCHEMA = "moment timestamp_ntz, rev double, lines long, returns long"
 
 
-def moment(ts) -> F.Column:
-    """The day of a timestamp: its midnight, or a microsecond later for all times past midnight, as
-    period bounds are midnights and tell just these two apart."""
-    day = F.to_date(ts).cast("timestamp_ntz")
-    return F.when(ts == day, day).otherwise(day + F.expr("INTERVAL '1' MICROSECOND"))
-
-
 def number_keys(keys: DataFrame, known: DataFrame, per_slice: int = PER_SLICE) -> DataFrame:
-    """(measure, key, slice, number, slices) for the (measure, key) rows that ``known`` lacks."""
-    keys = keys.distinct().alias("k")
+    """(measure, key, slice, number, slices) for the (measure, key) rows that ``known`` lacks, in the
+    order of their first moment if they have one."""
+    first_seen = F.min("moment") if "moment" in keys.columns else F.lit(None).cast("timestamp_ntz")
+    keys = keys.groupBy("measure", "key").agg(first_seen.alias("first")).alias("k")
     same = (F.col("k.measure") == F.col("o.measure")) & F.col("k.key").eqNullSafe(F.col("o.key"))
     new = cut_lineage(keys.join(known.select("measure", "key").alias("o"), same, "left_anti"))
     # one row per measure and per (measure, slice)
@@ -52,17 +50,19 @@ def number_keys(keys: DataFrame, known: DataFrame, per_slice: int = PER_SLICE) -
     last = known.groupBy("measure", "slice").agg(F.max("number").alias("last"))
     dealt = new.join(F.broadcast(sizes), "measure") \
         .withColumn("slice", F.expr("pmod(xxhash64(key), slices)").cast("int"))
-    own = F.row_number().over(W.partitionBy("measure", "slice").orderBy("key"))
+    own = F.row_number().over(W.partitionBy("measure", "slice").orderBy("first", "key"))
     return dealt.withColumn("own", own).join(last, ["measure", "slice"], "left").select(
         "measure", "key", "slice", (F.coalesce("last", F.lit(0)) + F.col("own")).cast("long").alias("number"), "slices")
 
 
-def day_bitmaps(seen: DataFrame, ids: DataFrame) -> DataFrame:
+def day_bitmaps(seen: DataFrame, ids: DataFrame, tasks: int | None = None) -> DataFrame:
     """(moment, measure, slice, bucket, bits) of (moment, measure, key) rows; ids number from 1."""
     same = (F.col("s.measure") == F.col("i.measure")) & F.col("s.key").eqNullSafe(F.col("i.key"))
     placed = seen.alias("s").join(ids.alias("i"), same).select(
         "s.moment", "s.measure", "i.slice", F.bitmap_bucket_number("i.number").alias("bucket"),
         F.bitmap_bit_position("i.number").alias("bit"))
+    if tasks:   # the narrow rows meet, not the bitmaps of every task
+        placed = placed.repartition(tasks, "moment", "measure", "slice", "bucket")
     return placed.groupBy("moment", "measure", "slice", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
@@ -84,8 +84,9 @@ class DaySets:
         pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("string").alias("key"))
                           for m, c in MEASURES.items()])
         seen = pre.select("moment", F.inline(pairs)).distinct()
-        self._ids.append(number_keys(seen.select("measure", "key"), self._ids.read(), self.per_slice), "all", part)
-        self._sets.append(day_bitmaps(seen, self._ids.read()), "all", part)
+        tasks = max(1, -(-len(MEASURES) * pre.count() // KEYS_PER_TASK))
+        self._ids.append(number_keys(seen, self._ids.read(), self.per_slice), "all", part)
+        self._sets.append(day_bitmaps(seen, self._ids.read(), tasks), "all", part)
         return self._sums.append(pre.groupBy("moment").agg(
             F.sum("rev").alias("rev"), F.sum("lines").alias("lines"), F.sum("returns").alias("returns")), "all", part)
 
@@ -97,8 +98,13 @@ class DaySets:
 
 
 def period_counts(sets: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, measure, n): exact distinct keys of each run's period, from bitmaps alone."""
-    merged = assign_runs(sets, runs, "moment").groupBy("run_id", "measure", "slice", "bucket").agg(
+    """(run_id, measure, n): exact distinct keys of each run's period, from bitmaps alone.
+    Bitmaps meet by bucket; days that the same runs see are merged before they fan out to these."""
+    tasks = max(1, -(-sets.count() // SETS_PER_TASK))
+    bucket = ["measure", "slice", "bucket"]
+    alike = sets.repartition(tasks, *bucket).join(F.broadcast(run_calendar(runs)), "moment") \
+        .groupBy(*bucket, "runs").agg(F.bitmap_or_agg("bits").alias("bits"))
+    merged = alike.select(F.explode("runs").alias("run_id"), *bucket, "bits").groupBy("run_id", *bucket).agg(
         F.bitmap_or_agg("bits").alias("bits"))
     return merged.groupBy("run_id", "measure").agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
