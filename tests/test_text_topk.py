@@ -117,3 +117,13 @@ def test_read_documents(spark, tmp_path):
     (tmp_path / "c.txt").write_text("not read")
     got = {r.source: r.text for r in read_documents(spark, str(tmp_path)).collect()}
     assert got == {"a.md": "One.\n\nTwo é", "sub/b.md": "Three"}
+
+
+def test_few_queries(spark):
+    corpus = spark.createDataFrame([(i, f"t{j}", 0.1 * (j + 1)) for i in range(50) for j in range(i % 5 + 1)], "id long, term string, w double")
+    queries = spark.createDataFrame([(q, f"t{j}", 0.5) for q in range(3) for j in range(q + 1)], "query_id long, term string, w double")
+    out = terms_topk(corpus, queries, k=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan      # the corpus is not shuffled by term
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in out.collect()) == [
+        (0, 1, 0, 0.05), (0, 2, 1, 0.05), (1, 1, 1, 0.15), (1, 2, 2, 0.15), (2, 1, 2, 0.3), (2, 2, 3, 0.3)]

@@ -41,8 +41,9 @@ class TermIndex:
 def term_index(corpus: DataFrame, id_col: str = "id", per_doubling: int = 16) -> TermIndex:
     """``corpus``: (id_col, term, w).  Blocks: ``per_doubling`` to a doubling of a row's terms."""
     p = corpus.where("w > 0").select(F.col(id_col).alias("id"), "term", F.col("w").alias("cw"))
-    size = p.groupBy("id").agg(F.floor(F.log2(F.count(F.lit(1)).cast("double")) * per_doubling).cast("int").alias("block"))
-    p = cut_lineage(p.join(size, "id"))
+    # a window over one row's terms, bounded by its text: the postings are shuffled once
+    size = F.count(F.lit(1)).over(Window.partitionBy("id")).cast("double")
+    p = cut_lineage(p.withColumn("block", F.floor(F.log2(size) * per_doubling).cast("int")))
     b = cut_lineage(p.groupBy("term", "block").agg(F.max("cw").alias("block_top"), F.count(F.lit(1)).alias("n")))
     t = cut_lineage(b.groupBy("term").agg(F.max("block_top").alias("top"), F.sum("n").alias("n")))
     return TermIndex(p, t, b)
@@ -50,7 +51,11 @@ def term_index(corpus: DataFrame, id_col: str = "id", per_doubling: int = 16) ->
 
 def _looked_up(rows: DataFrame, terms: DataFrame, on: list[str], index: TermIndex) -> DataFrame:
     """(q, id, more, hits): what the query's ``terms`` add to each of the ``rows`` (q, id, block)."""
-    return (rows.join(terms, on).join(index.postings.select("term", "id", "cw"), ["term", "id"])
+    # only the postings of these rows and terms are shuffled, where there are few of either
+    own = index.postings.select("term", "id", "cw")
+    for key, of in (("id", rows), ("term", terms)):
+        own = own.join(bounded_broadcast(of.select(key).distinct()), key, "left_semi")
+    return (rows.join(terms, on).join(own, ["term", "id"])
             .groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("cw")).alias("more"), F.count(F.lit(1)).alias("hits")))
 
 

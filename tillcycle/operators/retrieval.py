@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tillcycle.functions.text import strip_ws
 from tillcycle.functions.topk import top_k_per_group
+from tillcycle.session import bounded_broadcast, cut_lineage
 
 
 def read_documents(spark, path: str, pattern: str = "*.md") -> DataFrame:
@@ -118,18 +119,23 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str =
 
 
 # ------------------------------------------------------------ sparse text retrieval
+#: Terms of queries that are sent to all tasks.
+BROADCAST_TERMS = 100_000
+
+
 def tfidf_terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """TX2 (sparse): term frequency x inverse document frequency, L2-normalised:
     id_col, term, w.  Terms are the keys themselves, so no two are ever merged;
-    texts without a term have no rows.  Document frequencies are a partial
-    aggregate per term, joined back on the term."""
-    toks = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("term")) \
+    texts without a term have no rows.  The texts meet by id before they are
+    split, so that their terms and norms are aggregated where they arise;
+    document frequencies are a partial aggregate per term, joined back on it."""
+    toks = df.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+")).alias("term")) \
         .where(F.col("term") != "")
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     total = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("total"))   # one row
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("dfreq")).join(F.broadcast(total)) \
         .select("term", F.log((F.col("total") + 1.0) / (F.col("dfreq") + 1.0)).alias("idf"))
-    w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tf.join(bounded_broadcast(cut_lineage(idf), 500_000), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, id_col).select(id_col, "term", (F.col("w") / (F.col("norm") + 1e-9)).alias("w"))
 
@@ -142,12 +148,22 @@ def terms_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str =
     An equi-join on (term, salt): a term that most documents hold is split by
     document into ``salts`` keys, and the queries' few terms are sent to each.
     Partial sums per (query, row) are combined map-side before the shuffle.
+    Few queries are sent everywhere instead: only the rows' terms that a query
+    has are shuffled, by row, and what a row scores is ranked where it arises.
     """
+    if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(queries.select("term").distinct())
+        own = corpus.join(asked, "term", "left_semi").select(id_col, "term", F.col("w").alias("cw")).repartition(id_col)
+        hits = own.join(F.broadcast(queries.select(query_id, "term", F.col("w").alias("qw"))), "term")
+        return _best(hits, k, id_col, query_id)
     c = corpus.select(F.col(id_col), "term", F.col("w").alias("cw"),
                       F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
     q = queries.select(F.col(query_id), "term", F.col("w").alias("qw"),
                        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hits = q.join(c, ["term", "salt"]).groupBy(query_id, id_col).agg(
-        F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("score"))
+    return _best(q.join(c, ["term", "salt"]), k, id_col, query_id)
+
+
+def _best(hits: DataFrame, k: int, id_col: str, query_id: str) -> DataFrame:
+    hits = hits.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("score"))
     return top_k_per_group(hits, [query_id], [F.col("score").desc(), F.col(id_col)], k,
                            salt_cols=[id_col], buckets=16)
