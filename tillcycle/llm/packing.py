@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from tillcycle.llm.common import written
 
 WINDOW, END_ID = 1024, 0
+#: Rows that a worker holds as Python objects at once.
+ROWS = 512
 #: Beyond Latin letters the libraries' Unicode tables may differ: such texts go the plain way.
 _OTHER_SCRIPTS = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
 #: The byte-level pre-tokenizer's pattern, without needless backtracking.
@@ -56,14 +59,21 @@ class Encoder:
     scripts, and all other files, go through the tokenizers library."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._ranked(spec)
+        vocab = spec["model"].get("vocab")
+        size = len(set(vocab).union(self.special)) if isinstance(vocab, dict) else self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+    @cached_property
+    def tokenizer(self):
+        """Read when a text first needs it: a worker that keeps both takes about twice the memory."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
 
     def _ranked(self, spec: dict):
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -95,6 +105,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -106,7 +122,7 @@ def measured(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END
     """Per row: number of ids, checksums of full windows, and the remainder."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = np.append(encode(text or ""), np.array(end_id, encode.dtype))
@@ -260,7 +276,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = {v: np.array([p[0] for p in ps]) for v, ps in way["places"].items()}
-        for batch in batches:
+        for batch in _few(batches):
             out: list[tuple] = []
             for r in batch.to_pylist():
                 doc, tokens, start = r["doc_id"], r["tokens"], len(r["crcs"]) * window
