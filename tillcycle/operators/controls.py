@@ -199,9 +199,14 @@ def review_summary(reviews: DataFrame, runs: DataFrame) -> DataFrame:
 
 def executable(actions: DataFrame, reviews: DataFrame | None) -> DataFrame:
     """JO12/CR14: actions that may run now — the auto-released ones, or all
-    actions of a run that has no review at all."""
+    actions of a run that has no review at all.
+
+    The reviews themselves as ``actions`` (the same frame: each row is an
+    action with its own review) are filtered where they are, without a join."""
     if reviews is None:
         return actions
+    if reviews is actions:
+        return actions.where(F.col("execution_state") == AUTO).drop("execution_state")
     # the keys' hash comes first: sorting by a long is faster than by texts that begin alike
     keys = ["_h", "run_id", "action_id"]
     hashed = lambda df: df.withColumn("_h", F.xxhash64("run_id", "action_id"))

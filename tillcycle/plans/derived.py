@@ -257,20 +257,21 @@ def candidate_actions(sku_stats: DataFrame, runs: DataFrame, kpis_wide: DataFram
     rate = F.col("return_lines") / F.col("lines")
     qty = F.ceil(F.col("units") / 13.0 * 2 * 1.1).cast("double")
     tier = F.when(idle >= 112, 50).when(idle >= 84, 40).when(idle >= 56, 25).otherwise(10)
+    sku = F.coalesce("stock_code", F.lit("null"))   # joined texts, not formatted ones: a format is read for each row
 
     audit = s.where((F.col("return_lines") >= 2) & (rate > 0.5)).select(
         "run_id", F.lit("audit_returns").alias("action_type"), "stock_code",
         F.lit(None).cast("string").alias("category"),
-        F.format_string("Investigate returns of SKU %s: %d%% of lines returned",
-                        F.col("stock_code"), pct(rate)).alias("description"),
+        F.concat(F.lit("Investigate returns of SKU "), sku, F.lit(": "), pct(rate).cast("string"),
+                 F.lit("% of lines returned")).alias("description"),
         F.lit(None).cast("double").alias("quantity"),
         F.when(rate >= 0.75, "high").otherwise("medium").alias("urgency"),
         F.lit("Lower return losses").alias("expected_impact"))
     stock = s.where(F.col("units") >= 60).select(
         "run_id", F.when(F.col("units") >= 120, "reorder").otherwise("restock").alias("action_type"),
         "stock_code", F.lit(None).cast("string").alias("category"),
-        F.format_string("Replenish SKU %s: %d units sold in the period",
-                        F.col("stock_code"), F.col("units")).alias("description"),
+        F.concat(F.lit("Replenish SKU "), sku, F.lit(": "), F.col("units").cast("string"),
+                 F.lit(" units sold in the period")).alias("description"),
         qty.alias("quantity"),
         F.when(F.col("units") >= 150, "high").when(F.col("units") >= 90, "medium")
         .otherwise("low").alias("urgency"),
@@ -278,8 +279,8 @@ def candidate_actions(sku_stats: DataFrame, runs: DataFrame, kpis_wide: DataFram
     markdown = s.where(F.col("last_sale").isNotNull() & (idle >= 28)).select(
         "run_id", F.lit("markdown").alias("action_type"), "stock_code",
         F.lit(None).cast("string").alias("category"),
-        F.format_string("Mark down SKU %s by %d%% after %d days without a sale",
-                        F.col("stock_code"), tier, idle).alias("description"),
+        F.concat(F.lit("Mark down SKU "), sku, F.lit(" by "), tier.cast("string"), F.lit("% after "),
+                 idle.cast("string"), F.lit(" days without a sale")).alias("description"),
         F.lit(None).cast("double").alias("quantity"),
         F.when(idle >= 84, "high").otherwise("medium").alias("urgency"),
         F.lit("Clear slow stock").alias("expected_impact"))

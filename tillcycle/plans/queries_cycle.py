@@ -28,12 +28,13 @@ def cycle(spark, d) -> DV.RunTables:
             F.broadcast(t["runs"].select("run_id", "control_profile")), "run_id")
         return CR.with_citations(CR.review_actions(profiled))
 
-    # reviews, tasks and findings feed several outputs each: written once
+    # findings feed several outputs: written once.  Reviews and tasks are projections of the written
+    # actions, as large as these: computed where they are read, with the columns read there
     t._build.update(
-        reviews=lambda: t._cut(reviews()),
+        reviews=reviews,
         summary=lambda: CR.review_summary(t["reviews"], t["runs"]),
-        released=lambda: CR.executable(t["actions"], t["reviews"]),
-        tasks=lambda: t._cut(DI.derive_tasks(t["released"], t["runs"])),
+        released=lambda: CR.executable(t["reviews"], t["reviews"]),
+        tasks=lambda: DI.derive_tasks(t["released"], t["runs"]),
         findings=lambda: t._cut(AU.audit(t["runs"], t["kpis"], t["decisions"])),
         status=lambda: AU.audit_status(t["runs"], t["findings"]),
         reports=lambda: DI.dispatch_reports(t["runs"], t["summary"], t["status"], t["tasks"],
