@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcycle.session import bounded_broadcast
+from tillcycle.functions.topk import least_candidates
+from tillcycle.session import bounded_broadcast, cut_lineage
 
 # Owning team per action type (DI5).
 OWNERS = {"restock": "warehouse_team", "reorder": "warehouse_team",
@@ -144,13 +145,13 @@ def action_plan(actions: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     tt = tasks.withColumn("_t", F.lower("action_type"))
     # min_by per (run, type): a partial aggregate, so a type with millions of
-    # tasks never lands in one window partition.
-    first = tt.groupBy("run_id", "_t").agg(F.min_by(
+    # tasks never lands in one window partition; it sorts the candidates only.
+    first = least_candidates(tt, ["run_id", "_t"], "action_id").groupBy("run_id", "_t").agg(F.min_by(
         F.struct(F.col("assigned_to").alias("_owner"), F.col("due_date").alias("_due"),
                  F.col("expected_outcome").alias("_outcome")), F.col("action_id")).alias("f")) \
         .select("run_id", "_t", "f.*")
-    # at most seven rows per run
-    a = actions.withColumn("_t", F.lower("action_type")).join(bounded_broadcast(first), ["run_id", "_t"], "left")
+    # at most seven rows per run, written so that they are made once and their size is known
+    a = actions.withColumn("_t", F.lower("action_type")).join(cut_lineage(first), ["run_id", "_t"], "left")
     nz = lambda c: F.nullif(F.col(c), F.lit(""))
     return a.select(
         "run_id", "action_id", F.col("description").alias("action"),

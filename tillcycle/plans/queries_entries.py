@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcycle.functions.topk import least_candidates
 from tillcycle.operators import artifacts as AR
 from tillcycle.operators import dispatch as DI
 from tillcycle.operators import evals as EV
@@ -27,7 +28,7 @@ from tillcycle.plans.queries_evals import (
 from tillcycle.plans.queries_forecast import BRAND_SERIES, _features_sql, brand_series, forecast_sql
 from tillcycle.plans.queries_report import raw_lines
 from tillcycle.plans.registry import register
-from tillcycle.session import ensure_checkpoint_dir
+from tillcycle.session import cut_lineage, ensure_checkpoint_dir
 from tillcycle.sources.raw_sales import ingest
 from tillcycle.sources.tables import FACT_COLUMNS, FACT_SALES_SQL, fact_sales, read_table
 
@@ -197,10 +198,12 @@ SELECT run_id, CASE WHEN bool_and(status = 'dispatched') THEN 'dispatched' ELSE
        COUNT(*) AS n_records, COUNT(*) FILTER (WHERE external_id <> '') AS n_external, min(external_id) AS first_external
 FROM ext GROUP BY run_id""")
 def q_rollup(spark, d):
-    per_run, records = DI.dispatch_rollup(responses(cycle(spark, d)["tasks"]))
-    ids = records.groupBy("run_id").agg(F.count_if(F.col("external_id") != "").alias("n_external"),
-                                        F.min("external_id").alias("first_external"))
-    return per_run.join(ids, "run_id").select("run_id", "status", "n_records", "n_external", "first_external")
+    per_run, records = DI.dispatch_rollup(cut_lineage(responses(cycle(spark, d)["tasks"])))
+    ids = records.groupBy("run_id").agg(F.count_if(F.col("external_id") != "").alias("n_external"))
+    first = least_candidates(records.select("run_id", "external_id"), ["run_id"], "external_id").groupBy("run_id").agg(
+        F.min("external_id").alias("first_external"))
+    return per_run.join(ids, "run_id").join(first, "run_id").select(
+        "run_id", "status", "n_records", "n_external", "first_external")
 
 
 # ------------------------------------------------------------ policy and tree rows
