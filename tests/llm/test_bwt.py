@@ -72,6 +72,38 @@ def test_whole_texts_against_all_windows(spark):
             assert [(s["begin"], s["end"]) for s in r["spans"]] == spans
 
 
+def test_a_merge_holds_a_bounded_part_of_an_anchor(spark, monkeypatch):
+    rnd = random.Random(8)
+    names = ["k1", "k2", "k3", "doc_id", "crc", "begin", "lead", "seen", "bytes"]
+
+    def runs_of(anchor, n):  # runs of one anchor that share 450 bytes and differ on both sides
+        same = rnd.randbytes(450)
+        return [(anchor, 0, 0, i, 1, 0, 200, 0, rnd.randbytes(100) + same + rnd.randbytes(100)) for i in range(n)]
+
+    def few(n):  # as many that share 399 bytes at most, but for pairs: nothing is trimmed away
+        return [(99, 0, 0, i, 1, 0, 0, 0, a + rnd.randbytes(3)) for i in range(n // 2)
+                for a in [rnd.randbytes(660)] for _ in range(2)]
+
+    rows = [r for k in range(40) for r in runs_of(k, 150)] + few(8000)
+    sizes, found = [], bwt_dedup.repeated_windows
+
+    def watched(strings, *rest):
+        sizes.append(sum(map(len, strings)))
+        return found(strings, *rest)
+
+    monkeypatch.setattr(bwt_dedup, "repeated_windows", watched)
+    batch = bwt_dedup.pa.RecordBatch.from_arrays([bwt_dedup.pa.array(c) for c in zip(*rows)], names=names)
+    search = bwt_dedup._search(400, bwt_dedup.SHARD_BYTES, bwt_dedup.BATCH_BYTES, bwt_dedup.MAX_GROUP, bwt_dedup.MAX_MERGE)
+    out = [r for b in search(iter([batch])) for r in b.to_pylist()]
+    assert sizes and max(sizes) <= bwt_dedup.MAX_MERGE
+    assert [r["crc"] for r in out if r["size"] is None] == [99]
+    assert sorted(r["doc_id"] for r in out if r["size"] is not None) == sorted([*range(150)] * 40)
+    texts = hostile_texts()
+    want = plain([(t or "").encode() for t in texts])
+    for r in bwt_dedup.remove_repeats(docs_of(spark, texts), max_merge=2000).collect():
+        assert bytes(r["kept"]) == want[r["doc_id"]][1]
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     text = word_soup(1, 200)
     rows = [(5, text), (5, text), (None, word_soup(2, 200)), (5, word_soup(3, 200))]
