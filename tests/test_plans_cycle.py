@@ -37,6 +37,19 @@ def test_dimension_joins_only_when_read(spark):
     assert all(k in full for k in ("o_orderkey", "p_partkey", "c_custkey", "n_nationkey"))
 
 
+def test_lines_are_not_dealt_by_customer(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = fact_sales(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    at = next(i for i, x in enumerate(plan) if "SortMergeJoin [o_custkey" in x)
+    under = [x for i, x in enumerate(plan) if i > at and all(d > depth[at] for d in depth[at + 1:i + 1])]
+    assert any("c_nationkey" in x for x in under) and not any("l_orderkey" in x for x in under)
+
+
 def test_cycle_end_to_end_and_rerun_appends(spark):
     out = tempfile.mkdtemp(prefix="tillcycle-cycle-")
     small = TreeParams(rounds=5)     # the pipeline, not the model, is under test

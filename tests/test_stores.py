@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,65 @@ def test_refreshes_at_once_get_numbers_of_their_own(spark, folder):
     assert b.version() == 2 and b.refresh(spark.range(5)) == 10 and b.read().count() == 5
 
 
+def dated(spark):
+    """Facts of nine days, one of which has half of the lines; some come twice, some have no date."""
+    days = [dt.datetime(2011, 1, 28 + d) if d < 4 else dt.datetime(2011, 2, d - 3, 9, 30) for d in range(9)]
+    rows = [(str(i), days[2] if i % 2 else days[i % 9] if i % 14 else None, f"s{i % 7}", None if i % 5 else "x", i, 0.5, "c", "UK", i / 2)
+            for i in range(180)]
+    return spark.createDataFrame(rows + rows[:20], "invoice_no string, invoice_date timestamp_ntz, stock_code string, description string, "
+                                 "quantity int, unit_price double, customer_id string, country string, revenue double")
+
+
+def test_date_slices_hold_every_row_once(spark):
+    from tillcycle.sources.raw_sales import date_slices
+    df = dated(spark)
+    for lines_, most in ((10, 6), (10, 100), (50, 3), (1000, 6), (1, 1)):
+        slices, n = date_slices(df, df, lines_, most)
+        parts = [s.collect() for s in slices]
+        assert n == 200 and len(parts) <= max(1, min(most, -(-200 // lines_))) and all(parts)
+        assert sorted(map(str, sum(parts, []))) == sorted(map(str, df.collect()))
+        spans = [[r.invoice_date for r in p if r.invoice_date] for p in parts]
+        assert all(max(a) < min(b) for a, b in zip([s for s in spans if s], [s for s in spans if s][1:]))
+    assert len(date_slices(df, df, 10, 6)[0]) > 2
+    assert [s.count() for s in date_slices(df, df.where("invoice_date is null"), 1, 6)[0]] == [200]    # sizes only
+    assert sum(s.count() for s in date_slices(df, df.where("quantity < 30"), 1, 9)[0]) == 200
+    assert date_slices(df, df.limit(0), 10, 6)[1] == 0
+
+
+def test_a_sliced_refresh_writes_what_a_whole_one_does(spark, folder, monkeypatch):
+    from tillcycle.sources import raw_sales
+    monkeypatch.setattr(raw_sales, "SLICE_LINES", 10)
+    monkeypatch.setattr(raw_sales, "LINES_PER_TASK", 5)
+    df, t = dated(spark), VersionedTable(spark, f"{folder}/t")
+    assert raw_sales.refresh_curated(t, df, 4) == 1 and raw_sales.refresh_curated(t, df, 4, df) == 2
+    whole, sliced = (sorted(map(str, t.read(v).select(*raw_sales.FACT_COLUMNS).collect())) for v in (1, 2))
+    assert whole == sliced == sorted(map(str, df.collect()))
+    late = df.where(F.when(F.col("invoice_date") > "2011-02-04", F.raise_error(F.lit("lost")).isNull()).otherwise(True))
+    with pytest.raises(Exception, match="lost"):
+        raw_sales.refresh_curated(t, late, 4, df)               # the slices before were written
+    assert t.version() == 2 and sorted(os.listdir(f"{folder}/t")) == sorted(["_pointers", *(v for _, v in t._versions())])
+
+
+def test_a_refresh_leaves_no_shuffle_files(spark, folder):
+    from tillcycle.session import FREED
+    from tillcycle.sources.raw_sales import refresh_curated
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before, set_before = shuffled(), spark.conf.get(FREED)
+    t = VersionedTable(spark, f"{folder}/t")
+    for _ in range(2):
+        refresh_curated(t, dated(spark).repartition(7, "stock_code"), 4)
+    for _ in range(50):                                         # they are removed by another thread
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(FREED) == set_before
+
+
 # ---- appends
 def test_appends(spark, folder):
     log = AppendLog(spark, f"{folder}/log", "id long, v string")

@@ -118,10 +118,11 @@ FROM fact_sales GROUP BY month""")
 def q_curated_refresh(spark, d):
     """The curated facts refreshed from the lines up to a day, then from all; a third refresh fails
     midway.  Read back by month: the second."""
-    facts = fact_sales(spark, d)
-    table = VersionedTable(spark, new_folder(spark, "curated"))
-    _refresh_twice_fail_once(table, facts.where(F.col("invoice_date") < F.lit(STATEMENT_AS_OF).cast("timestamp_ntz")), facts,
-                             "invoice_no", refresh_curated)
+    facts, dates = fact_sales(spark, d), fact_sales(spark, d, ["invoice_date"])
+    old = F.col("invoice_date") < F.lit(STATEMENT_AS_OF).cast("timestamp_ntz")
+    table, first = VersionedTable(spark, new_folder(spark, "curated")), facts.where(old)
+    _refresh_twice_fail_once(table, first, facts, "invoice_no", lambda t, df: refresh_curated(
+        t, df, dates=dates.where(old) if df is first else dates))
     return read_facts(spark, table).groupBy(F.date_format("invoice_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.round(F.sum("revenue"), 2).alias("revenue"))
 

@@ -24,6 +24,10 @@ TIMESTAMP_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss",
                      "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
                      "M/d/yyyy"]
 
+# A sliced refresh: lines of a slice and of a task, and the number of slices, each of
+# which reads the source tables again.
+SLICE_LINES, LINES_PER_TASK, MAX_SLICES = 4_000_000, 500_000, 6
+
 
 def read_raw_sales(spark: SparkSession, path: str) -> DataFrame:
     """SC1: header CSV in latin-1, every column read as a string (no inference
@@ -91,9 +95,40 @@ def write_curated(df: DataFrame, path: str, mode: str = "overwrite",
     curated(df, partitions).write.mode(mode).partitionBy("invoice_month").parquet(path)
 
 
-def refresh_curated(table: VersionedTable, df: DataFrame, partitions: int = 64) -> int:
-    """SC4: full refresh of the curated table; readers see the old one until it is whole."""
-    return table.refresh(curated(df, partitions), ("invoice_month",))
+def date_slices(df: DataFrame, dates: DataFrame, lines: int, most: int) -> tuple[list[DataFrame], int]:
+    """``df`` in slices that follow one another by day, and the number of lines in ``dates``.
+
+    ``dates``, any frame with an invoice_date, decides the slices' sizes, not their rows: every row
+    is in one slice, those without a date in the first.  A slice has about ``lines`` lines, or more
+    where that would take over ``most`` slices; a day is not cut.  The driver gets one row per day.
+    """
+    day, at = F.to_date("invoice_date"), F.col("invoice_date")
+    days = dates.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day") \
+        .select(F.col("day").cast("string"), "n").collect()           # no day comes first
+    total, cuts, held = sum(r.n for r in days), [], 0
+    k = min(most, -(-total // lines))
+    for r in days:
+        if r.day is not None and held and held * k >= total:
+            cuts.append(F.lit(r.day).cast("timestamp_ntz"))
+            held = 0
+        held += r.n
+    if not cuts:
+        return [df], total
+    within = [at.isNull() | (at < cuts[0]), *[(at >= a) & (at < b) for a, b in zip(cuts, cuts[1:])], at >= cuts[-1]]
+    return [df.where(w) for w in within], total
+
+
+def refresh_curated(table: VersionedTable, df: DataFrame, partitions: int = 64, dates: DataFrame | None = None) -> int:
+    """SC4: full refresh of the curated table; readers see the old one until it is whole.
+
+    With ``dates`` (see `date_slices`) the rows are derived and written slice by slice, so that the
+    disk holds the shuffles of one slice at a time, and tasks follow the lines (``partitions`` at least).
+    """
+    if dates is None:
+        return table.refresh(curated(df, partitions), ("invoice_month",))
+    slices, lines = date_slices(df, dates, SLICE_LINES, MAX_SLICES)
+    tasks = -(-max(partitions, -(-lines // LINES_PER_TASK)) // len(slices))
+    return table.refresh((curated(s, tasks) for s in slices), ("invoice_month",))
 
 
 def read_facts(spark: SparkSession, path: str | VersionedTable) -> DataFrame:

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillcycle.session import bounded_broadcast
+from tillcycle.session import bounded_broadcast, shuffles_freed
 
 
 class Folder:
@@ -80,10 +81,17 @@ class VersionedTable:
     def exists(self) -> bool:
         return self.version() is not None
 
-    def refresh(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
-        """Replaces the table; returns the new version's number."""
+    def refresh(self, df: DataFrame | Iterable[DataFrame], partition_by: tuple[str, ...] = ()) -> int:
+        """Replaces the table by the rows of the frame, or of several, which are written one after
+        another; returns the new version's number.  What a failed refresh wrote is removed."""
         folder = f"v-{uuid.uuid4().hex[:12]}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
+        try:
+            with shuffles_freed(self.spark):
+                for part in [df] if isinstance(df, DataFrame) else df:
+                    part.write.mode("append").partitionBy(*partition_by).option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        except BaseException:
+            Folder(self.spark, self.path).delete(folder)
+            raise
         taken = [int(n) for n in self._pointers.names() if n.isdigit()]
         number = max(taken, default=0) + 1
         while not self._pointers.create(f"{number:012d}", folder):  # another refresh was first
